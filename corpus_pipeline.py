@@ -1,12 +1,62 @@
-"""From raw documents to an encoded training mix; each stage's rows are written and read again by the next."""
+"""From raw documents to an encoded training mix.
+
+Each stage works on all rows that the one before kept, is written as Parquet and read again by the next. All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.llm import bpe, lang_id, line_dedup, mixing, ngram_join
+from wardline.llm.common import saved, table, word_count
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _row(docs: DataFrame):
+    """Tells rows apart; rows that agree in every column are interchangeable."""
+    return F.xxhash64(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (no text, no letter) go; the others take the language found."""
+    docs = docs.select(*COLUMNS)
+    return lang_id.labelled(docs).filter(F.col("lang_pred") != lang_id.UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents hold go; the text and n_chars are those of the lines that stay."""
+    kept = line_dedup.dedup_lines(docs, carry=COLUMNS[2:4])
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays (then the smallest row hash); documents without words stay."""
+    docs = docs.select(*COLUMNS).withColumn("_row", _row(docs))
+    found = ngram_join.join(docs, row=F.col("_row")).filter("group IS NOT NULL AND doc_id <=> component_id")
+    stays = found.groupBy("group").agg(F.first("doc_id").alias("doc_id"), F.min("row").alias("_row"))
+    some = docs.join(stays.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "_row"), (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (docs["_row"] == stays["_row"]))
+    some = some.select("_id", docs["_row"], *COLUMNS).filter(word_count(F.col("text")) > 0).dropDuplicates(["_id", "_row"])
+    return some.select(*COLUMNS).unionByName(docs.filter(word_count(F.col("text")) == 0).select(*COLUMNS))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    docs = docs.select(*COLUMNS).withColumn("_row", _row(docs))
+    taken = mixing.mix(docs, row=F.col("_row")).groupBy("row").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    once = docs.join(taken, docs["_row"] == taken["row"]).dropDuplicates(["_row"])
+    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.op1(docs)
+
 
-from wardline.llm.common import saved, table
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("encoded", encoded)]
 
-STAGES: list = []
+#: The network and the rounding cannot be written in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

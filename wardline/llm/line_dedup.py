@@ -8,7 +8,7 @@ Runs that cross a partition border are settled from two summary rows per partiti
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,9 @@ def line_key(line: Column) -> Column:
     return lower_az(F.btrim(line, F.lit(BLANKS)))
 
 
-def _with_identity(docs: DataFrame) -> DataFrame:
+def _with_identity(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("copy"))
+    return docs.select(F.col("doc_id"), *carry, text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("copy"))
 
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -133,21 +133,21 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     return words.groupBy("doc", "copy").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, carry: Sequence[str] = ()) -> DataFrame:
     """Drops every line whose key at least ``min_docs`` documents hold.
 
     A key is the line without ASCII white space at its ends, A-Z lower-cased; keys under ``min_chars`` code points stay. Rows with
     one doc_id are one document; a null doc_id is one document too. Null and empty texts: one empty line. An empty table gives no
     rows; repeated rows give repeated results; other columns than doc_id and text are not looked at.
-    Returns doc_id, n_lines, n_dropped, kept_text.
+    Returns doc_id, n_lines, n_dropped, kept_text and the columns named in ``carry``.
     """
     gone = drop_bitmaps(docs, min_docs, min_chars)
-    joined = _with_identity(docs).join(gone.hint("shuffle_hash"), ["doc", "copy"], "left")
+    joined = _with_identity(docs, carry).join(gone.hint("shuffle_hash"), ["doc", "copy"], "left")
     bit = "coalesce(shiftright(words[shiftright(i, 6)], i % 64) & 1L, 0L) = 1L"
     kept = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.expr(f"filter(split(text, '\n', -1), (l, i) -> NOT ({bit}))"), "\n"))
     dropped = F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.expr("aggregate(map_values(words), 0, (a, b) -> a + bit_count(b))"))
     n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"), *carry)
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

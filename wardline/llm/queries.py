@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe, line_dedup
+from wardline.llm import bpe, lang_id, line_dedup, mixing, ngram_join
 from wardline.llm.common import table
 
 
@@ -18,6 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": _over("documents", bpe.op1),
         "op2_line_dedup": _over("documents", line_dedup.op2),
+        "op5_ngram_join": _over("documents", ngram_join.op5),
+        "op6_language": _over("documents", lang_id.op6),
+        "op10_mixing": _over("documents", mixing.op10),
     }
 
 
