@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe, lang_id, line_dedup, mixing, ngram_join
+from wardline.llm import ann, bpe, cover_tree, lang_id, line_dedup, mixing, ngram_join
 from wardline.llm.common import table
 
 
@@ -20,9 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": _over("documents", line_dedup.op2),
         "op5_ngram_join": _over("documents", ngram_join.op5),
         "op6_language": _over("documents", lang_id.op6),
+        "op8_hilbert": _over("embeddings", ann.op8),
+        "op9_cover_tree": _over("embeddings", cover_tree.op9),
         "op10_mixing": _over("documents", mixing.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op9_cover_tree": cover_tree.ORACLE}
