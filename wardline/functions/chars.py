@@ -32,10 +32,19 @@ def collapse(s: str) -> str:
     return _REPEATS.sub(r"\1", s)
 
 
+class _Table(dict):
+    def __missing__(self, code: int) -> str:
+        self[code] = folded(chr(code)) or ""
+        return self[code]
+
+
+_TABLE = _Table()
+
+
 def compact(s: str, collapsed: bool = True, normalized: bool = True) -> str:
     if normalized and not s.isascii():
         s = unicodedata.normalize("NFKC", s)
-    out = "".join(folded(ch) or "" for ch in s)
+    out = s.translate(_TABLE)
     return collapse(out) if collapsed else out
 
 
@@ -71,12 +80,16 @@ def is_subsequence(haystack: str, needle: str) -> bool:
     return all(ch in rest for ch in needle)
 
 
+def bigrams(s: str) -> set[str]:
+    return {s[i : i + 2] for i in range(max(1, len(s) - 1))}
+
+
 def ad_similarity(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
-    x, y = ({s[i : i + 2] for i in range(max(1, len(s) - 1))} for s in (a, b))
+    x, y = bigrams(a), bigrams(b)
     j = len(x & y) / len(x | y)
     short, long = sorted((len(a), len(b)))
     boost = 0.0

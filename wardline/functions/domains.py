@@ -11,6 +11,9 @@ from wardline.operators.spans import java
 
 _FOLD = str.maketrans(fixed.DOMAIN_FOLD)
 _LABEL = regex.compile(r"[A-Za-z0-9_-]{1,63}")
+_TAIL = regex.compile("[/?#].*", regex.S)
+_OTHER = regex.compile(r"[^\p{L}\p{N}]+")
+_EDGES = regex.compile(r"^[-.]+|[-.]+$")
 _CYRILLIC = regex.compile(r"\p{Script=Cyrillic}")
 
 
@@ -53,8 +56,7 @@ def is_domain_token(s: str) -> bool:
 def for_detection(s: str) -> str:
     s = java(fixed.INVISIBLE).sub("", s)
     s = java(fixed.SCHEME).sub("", s, count=1)
-    s = regex.split("[/?#]", s, maxsplit=1)[0]
+    s = _TAIL.sub("", s)
     s = java(fixed.OBFUSCATED_DOT).sub(".", s)
-    s = regex.sub(r"\.{2,}", ".", regex.sub(r"[^\p{L}\p{N}]+", ".", s))
-    s = regex.sub(r"^[-.]+|[-.]+$", "", s)
+    s = _EDGES.sub("", _OTHER.sub(".", s))
     return tld_alias(s.lower().translate(_FOLD))

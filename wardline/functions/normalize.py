@@ -55,7 +55,7 @@ def latin(c: Column | str) -> Column:
 
 
 def for_similarity(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(nfkc(F.lower(text(c))), r"(?iu)(\p{L})\1+", "$1"))
+    return F.regexp_replace(F.regexp_replace(nfkc(F.lower(text(c))), r"(?iu)(\p{L})\1+", "$1"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
 def lexical(c: Column | str) -> Column:

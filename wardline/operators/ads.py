@@ -10,7 +10,7 @@ import regex
 
 from wardline import fixed
 from wardline.config import Ads
-from wardline.functions.chars import ad_similarity, compact, is_alnum, is_subsequence, lexical
+from wardline.functions.chars import ad_similarity, bigrams, compact, is_alnum, is_subsequence, lexical
 from wardline.functions.domains import is_domain_token, latin_domain, latin_letters, tld_alias
 from wardline.operators.spans import java
 
@@ -170,10 +170,16 @@ class Templates:
 
     def best(self, s: str | None) -> Phrase | None:
         """The most similar template for any target cut out of the message; the first of equals."""
-        if not s or len(s) < self.min_length or len(compact(s)) < self.min_length - 2:
+        if not s or len(s) < self.min_length or not self.templates:
+            return None
+        form = compact(s)
+        if len(form) < self.min_length - 2 or self._hopeless(form, 400):
+            return None
+        found = targets(s)
+        if not found or self._hopeless(form, max(len(t.raw) for t in found)):
             return None
         shapes = []
-        for t in targets(s):
+        for t in found:
             if t.start >= 0:
                 cut = s[: t.start] + "\x01" + s[t.end :]
             else:
@@ -183,6 +189,12 @@ class Templates:
         scored = (Phrase(p.raw, t.raw, t.kind, sim) for p in self.templates for t, form in shapes if t.kind in p.kinds for sim in [self._similarity(p, t, form)] if sim is not None)
         return max(scored, key=lambda m: m.similarity, default=None)
 
+    def _hopeless(self, form: str, cut: int) -> bool:
+        """Whether a message is too long for any template even with ``cut`` characters gone: then a similarity of 0.93 is asked for, which
+        takes 0.8 of shared bigrams, but too many of the message's are in no template."""
+        longest = max(len(p.skeleton) for p in self.templates)
+        return len(form) - cut - 2 > 6 * longest + 40 and 0.8 * (len(bigrams(form)) - cut - 3) > longest
+
     def _similarity(self, p: Template, t: Target, form: str) -> float | None:
         anchors = _anchors_in(form, p.anchors)
         if len(form) < 2 or not anchors:
