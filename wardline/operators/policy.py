@@ -98,11 +98,9 @@ def notices(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 
 def fan_out(notes: DataFrame, admins: DataFrame, self_too: bool = False) -> DataFrame:
-    """Every notice to every admin (admin_id) but its author. Admins are few: they are broadcast once their number is seen to be small."""
+    """Every notice to every admin (admin_id) but its author. Up to 10,000 admins are broadcast, more are shuffled."""
     few = admins.select("admin_id").distinct()
-    if few.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 admins: notices go to a topic, not to rows")
-    out = notes.crossJoin(F.broadcast(few))
+    out = notes.crossJoin(F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few)
     return out if self_too else out.filter(F.col("admin_id") != F.col("user_id"))
 
 
