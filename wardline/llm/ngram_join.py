@@ -16,6 +16,7 @@ round runs over pairs of salts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,8 @@ SMALL = 8
 BLOCK = 4096
 #: Stand-ins for a key: each key takes one of so many orders of its members.
 ORDERS = 8
-SKETCH = 64
 BLOOM_BITS = 1 << 24
-FLUSH = 1_500_000
+FLUSH = 600_000
 
 _U = np.uint64
 _BYTE = np.random.default_rng(23).integers(0, 2**64, 256, dtype=_U)
@@ -65,18 +65,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word; words are runs without ASCII white space, A-Z lower-cased."""
     raw = np.frombuffer(b" " + text.encode().lower() + b" ", np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    blank = _BLANK[raw]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not len(edge):
         return np.empty(0, _U)
     start, end = edge[::2], edge[1::2]
     ahead, back = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_BYTE[raw] * ahead[: len(raw)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(_U))
+    sums = _BYTE[raw]
+    sums *= ahead[: len(raw)]
+    np.cumsum(sums, out=sums)
+    return _mix((sums[end - 1] - sums[start - 1]) * back[start] + (end - start).astype(_U))
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -89,7 +93,9 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     h = np.full(n, _U(width))
     for k in range(width):
         h = h * _U(0xD6E8FEB86659FD93) + words[k : k + n]
-    return np.unique(_mix(h))
+    h = _mix(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -97,8 +103,15 @@ def set_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63 if len(tokens) else 0
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((tokens & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16)
+def _level(n: np.ndarray) -> np.ndarray:
+    """log2 of the bits of the sketch of a set of n tokens: at least n, and one word."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Bits that tell whether an odd number of tokens fall on a place. Two sets differ in as many tokens at least as their sketches in bits."""
+    size = 1 << int(_level(np.array(len(tokens))))
+    return np.packbits((np.bincount((tokens & _U(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -264,63 +277,86 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
             if len(a):
-                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH) for c in ("sa", "sb"))
-                keep = _room(sa, sb, na, nb, percent)
+                both = Sketches(batch.column("sa").to_pylist() + batch.column("sb").to_pylist())
+                keep = both.room(np.arange(len(a)), np.arange(len(a)) + len(a), np.concatenate([na, nb]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(fit, "a long, b long")
 
 
-def _room(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    most = np.minimum(sa, sb).sum(1, dtype=np.int64)
-    full = (sa == 65535).any(1) | (sb == 65535).any(1)
-    return full | ((100 + percent) * most >= percent * (na.astype(np.int64) + nb))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, on whole sets. Sets are built again for the texts that a Bloom filter of the pairs' sets lets pass."""
+class Sketches:
+    """Sketches of many sets, those of one size as rows of a matrix; a sketch of twice the size folds to the smaller one's."""
+
+    def __init__(self, blobs: list[bytes]):
+        sizes = np.array([len(b) for b in blobs], np.int64)
+        self.level = np.round(np.log2(np.maximum(sizes, 1) * 8)).astype(np.int64)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own = {int(k): np.flatnonzero(self.level == k) for k in np.unique(self.level)}
+        plain = {k: np.frombuffer(b"".join(blobs[i] for i in at), _U).reshape(len(at), -1) for k, at in own.items()}
+        for k in own:
+            place = np.full(len(blobs), -1)
+            place[own[k]] = np.arange(len(own[k]))
+            words = plain[k]
+            if k + 1 in own:
+                twice = plain[k + 1].shape[1] // 2
+                place[own[k + 1]] = len(words) + np.arange(len(own[k + 1]))
+                words = np.concatenate([words, plain[k + 1][:, :twice] ^ plain[k + 1][:, twice:]])
+            self.rows[k] = place, words
+
+    def room(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs may still reach the threshold: sets with s tokens in all differ in (100 - percent) / (100 + percent) of them at most."""
+        differ = np.zeros(len(i), np.int64)
+        low = np.minimum(self.level[i], self.level[j])
+        for k in np.unique(low):
+            place, words = self.rows[int(k)]
+            step = max(1, (1 << 22) // words.shape[1])
+            at = np.flatnonzero(low == k)
+            for part in (at[x : x + step] for x in range(0, len(at), step)):
+                a, b = place[i[part]], place[j[part]]
+                known = (a >= 0) & (b >= 0)  # sizes further apart than twice cannot link, nor be compared
+                differ[part] = np.where(known, np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64), 0)
+        return (100 + percent) * differ <= (100 - percent) * (n[i].astype(np.int64) + n[j])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link, on whole sets. Sets are built again for one text each; a Bloom filter of these texts' hashes, of a fixed size,
+    spares Python the other texts, and what it wrongly lets pass finds no partner."""
     spark = pairs.sparkSession
+    used = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    texts = nodes.join(used, "set", "left_semi").select("hash")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
         for batch in batches:
-            for c in (0, 1):
-                for at in _bloom_places(batch.column(c).to_numpy()):
-                    np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at in _bloom_places(batch.column(0).to_numpy()):
+                np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bloom.tobytes()], pa.binary())], names=["bloom"])
 
     bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in pairs.coalesce(8).mapInArrow(mark, "bloom binary").toLocalIterator():
+    for r in texts.coalesce(8).mapInArrow(mark, "bloom binary").toLocalIterator():
         bloom |= np.frombuffer(r.bloom, np.uint8)
     sent = spark.sparkContext.broadcast(bloom)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        kinds = {"set": pa.int64(), "tokens": pa.list_(pa.int64())}
         for batch in batches:
-            rows = []
-            for text in batch.column(0):
-                tokens = shingles(text.as_py(), width)
-                sid = set_id(tokens)
-                if sid not in seen and all(sent.value[at >> 3] >> (at & 7) & 1 for at in (int(x[0]) for x in _bloom_places(np.array([sid])))):
-                    rows.append((sid, tokens.tobytes()))
-                    seen.add(sid)
+            rows, size = [], 0
+            passes = np.logical_and.reduce([sent.value[at >> 3] >> (at & 7) & 1 for at in _bloom_places(batch.column(1).to_numpy())]).astype(bool)
+            for i in np.flatnonzero(passes):
+                tokens = shingles(batch.column(0)[int(i)].as_py(), width)
+                rows.append((set_id(tokens), tokens.view(np.int64)))
+                size += len(tokens)
+                if size > 200_000:
+                    yield _rows(kinds, rows)
+                    rows, size = [], 0
             if rows:
-                yield _rows({"set": pa.int64(), "tokens": pa.binary()}, rows)
+                yield _rows(kinds, rows)
 
-    sets = docs.select("text").mapInArrow(build, "set long, tokens binary").dropDuplicates(["set"])
+    sets = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(build, "set long, tokens array<long>").join(used, "set", "left_semi").dropDuplicates(["set"])
     left, right = (sets.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(ta.as_py(), _U), np.frombuffer(tb.as_py(), _U)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return saved(joined.mapInArrow(verify, "a long, b long"), "links")
+    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    links = F.col("both") * 100 >= (F.size("ta") + F.size("tb") - F.col("both")) * percent
+    return saved(joined.filter(links).select("a", "b"), "links")
 
 
 def _bloom_places(sets: np.ndarray) -> list[np.ndarray]:
@@ -338,22 +374,48 @@ def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
     dealt = open_.withColumn("salt", salt).select("key", "set", "n", "label", "sketch", "salt", "salts", other)
     dealt = dealt.select("key", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "set", "n", "label", "sketch")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        sets, n, label, salt = (pdf[c].to_numpy() for c in ("set", "n", "label", "salt"))
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, SKETCH)
-        split = pdf["low"].iloc[0] != pdf["high"].iloc[0]
-        out = []
-        ends = np.searchsorted(n, n * 100 // percent, side="right")
-        for i in range(len(sets)):
-            j = np.arange(i + 1, ends[i])
-            j = j[(label[j] != label[i]) & ((salt[j] != salt[i]) if split else True)]
-            if len(j):
-                j = j[_room(sketch[i : i + 1], sketch[j], n[i : i + 1], n[j], percent)]
-                out += [(min(sets[i], x), max(sets[i], x)) for x in sets[j]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    order = ["key", "low", "high", "n"]
+    placed = dealt.repartition(shuffle_partitions(post.sparkSession), "key", "low", "high").sortWithinPartitions(*order)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                cols = [batch.column(c).to_numpy() for c in (*order, "salt", "set", "label")]
+                cols.append(np.array(batch.column("sketch").to_pylist() + [None], object)[:-1])
+                held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
+            if not held:
+                continue
+            same = np.logical_and.reduce([c == c[-1] for c in held[:3]])
+            end = len(same) if batch is None else int(len(same) - np.argmin(same[::-1]) if not same.all() else 0)
+            pairs = _pairs([c[:end] for c in held], percent)
+            held = [c[end:] for c in held]
+            if len(pairs[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=["a", "b"])
+
+    return placed.select(*order, "salt", "set", "label", "sketch").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _pairs(cols: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets within the runs of one key whose labels differ, unless sizes or sketches rule them out. Rows are sorted by key and size."""
+    key, low, high, n, salt, sets, label, sketch = cols
+    out = [np.empty((0, 2), np.int64)]
+    sketches = Sketches(list(sketch))
+    left, gap = np.arange(len(key)), 0
+    while len(left):
+        gap += 1
+        left = left[left + gap < len(key)]
+        right = left + gap
+        on = (key[left] == key[right]) & (low[left] == low[right]) & (high[left] == high[right]) & (n[right] * percent <= n[left].astype(np.int64) * 100)
+        left, right = left[on], right[on]  # sizes only grow, so what has ended stays so
+        i = np.flatnonzero((label[left] != label[right]) & ((low[left] == high[left]) | (salt[left] != salt[right])))
+        i = i[sketches.room(left[i], right[i], n, percent)]
+        a, b = sets[left[i]], sets[right[i]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    both = np.unique(np.concatenate(out), axis=0)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = FREQUENT, block: int = BLOCK, row: Column | None = None) -> DataFrame:
@@ -365,30 +427,30 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = FRE
     Returns doc_id, n_shingles, component_id, group (one value for each component of documents with words, null for the others) and row,
     a long that the caller may give to tell rows apart.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text", (F.lit(0) if row is None else row).cast("long").alias("row"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), (F.lit(0) if row is None else row).cast("long").alias("row"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc_id": pa.int64(), "row": pa.int64(), "n": pa.int32(), "set": pa.int64(), "sketch": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "row": pa.int64(), "hash": pa.int64(), "n": pa.int32(), "set": pa.int64(), "sketch": pa.binary()}
         for batch in batches:
             rows = []
-            for doc_id, text, own in zip(*batch.columns, strict=True):
+            for doc_id, text, code, own in zip(*batch.columns, strict=True):
                 tokens = shingles(text.as_py(), width)
-                rows.append((doc_id.as_py(), own.as_py(), len(tokens), set_id(tokens), _sketch(tokens).tobytes()))
+                rows.append((doc_id.as_py(), own.as_py(), code.as_py(), len(tokens), set_id(tokens), _sketch(tokens)))
             yield _rows(kinds, rows)
 
-    members = saved(docs.mapInArrow(describe, "doc_id long, row long, n int, set long, sketch binary"), "members")
-    nodes = members.filter("n > 0").groupBy("set").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    members = saved(docs.mapInArrow(describe, "doc_id long, row long, hash long, n int, set long, sketch binary"), "members")
     keys, counts = frequent_tokens(docs, width, frequent, MOST_FREQUENT)
     post = postings(docs, width, percent, keys, counts, block)
-    nodes = saved(nodes.join(post.select("set").distinct(), "set", "left_semi"), "nodes")
+    met = members.filter("n > 0").join(post.select("set").distinct(), "set", "left_semi")
+    nodes = saved(met.groupBy("set").agg(F.min(F.struct("hash", "n", "sketch")).alias("x")).select("set", "x.*"), "nodes")
     near = saved(_possible(_stand_ins(post, percent), nodes, percent), "pairs")
-    links = _verified(near, docs, width, percent)
+    links = _verified(near, nodes, docs, width, percent)
     labels = components(links)
     rest = _across(post, nodes, labels, percent)
     turned = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = saved(rest.join(turned, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.union(_verified(rest, docs, width, percent))
+        links = links.union(_verified(rest, nodes, docs, width, percent))
         labels = components(links)
     groups = members.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     smallest = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
