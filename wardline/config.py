@@ -208,4 +208,4 @@ class Settings:
     caps: Caps = field(default_factory=Caps)
     spam: Spam = field(default_factory=Spam)
     stages: tuple[int, ...] = (1, 3, 5, 7)
-    commands: tuple[str, ...] = ("msg", "tell", "w", "m", "r", "reply")
+    commands: tuple[str, ...] = fixed.COMMANDS

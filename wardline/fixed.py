@@ -34,6 +34,7 @@ SAFE_WORDS = tuple(
     "поддержка bypass bypassed hello shell button grape therapy document documents".split()
 )
 BLOCKED_WORDS = ("нурик", "нурсултан", "арбузклиент", "кфг", "xray", "искрей", "импакт", "бустит", "дельта")
+COMMANDS = ("broadcast", "bc", "say", "msg", "tell", "m", "whisper", "r", "reply", "me", "em", "ad", "message")
 CAPS_WHITELIST = ("ЛОЛ", "ГГ", "АФК")
 
 TLDS = tuple(
