@@ -72,9 +72,9 @@ def test_links(text, standard, final):
 
 
 def test_link_lists():
-    f = LinkFinder(Links(list_on=True))
+    f = LinkFinder(Links(list_on=True, domains=("https://t.me/x",)))
     assert f.is_allowed("t.me/other") and not f.is_allowed("example.com")
-    deny = LinkFinder(Links(list_on=True, list_mode="blacklist"))
+    deny = LinkFinder(Links(list_on=True, list_mode="blacklist", domains=("https://t.me/x",)))
     assert not deny.is_allowed("t.me/other") and deny.is_allowed("example.com")
     assert LinkFinder(Links(regex="(")).links("see example.com")[0].text == "example.com"
     spans = f.links("a.com b.net") + LinkFinder().links("a.com b.net")

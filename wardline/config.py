@@ -135,7 +135,7 @@ class Links:
     regex: str = fixed.LINK
     list_on: bool = False
     list_mode: str = "whitelist"
-    domains: tuple[str, ...] = fixed.LIST_DOMAINS
+    domains: tuple[str, ...] = ()
     smart: bool = True
     tlds: tuple[str, ...] = fixed.TLDS
     triggers: tuple[str, ...] = fixed.QUICK_TRIGGERS

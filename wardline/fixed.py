@@ -47,7 +47,6 @@ SPACED_TLD_STOP = frozenset(
     "click games host website".split()
 )
 QUICK_TRIGGERS = ("http", "https", "www", "bitly", "clck", "discord", "telegram", "youtube", "youtu", "twitch", "дискорд", "телеграм")
-LIST_DOMAINS = ("https://t.me/gornasqd", "https://t.me/vkusniy_milkyway")
 
 # Patterns, in the dialect of java.util.regex; the spans module says how Python reads them.
 LINK = r"(?i)(?:https?://)?[\w\p{L}\-]+(?:\.[\w\p{L}\-]+){1,}"
@@ -100,7 +99,7 @@ TARGET_TLDS = frozenset(
     "ru su com net org io me gg fun top pro space site online xyz club shop store host icu games world link click info biz cc tv us uk "
     "de app live tech".split()
 )
-# Of the reference list only entries that a folded Latin name can equal.
+# Only entries that a folded Latin name can equal.
 TARGET_STOP = frozenset("tgk tgc tg telegram discord dsc invite donate mini games mc ip the best server".split())
 FILLER_ANCHORS = frozenset(
     "sami samii lucwi lucwii lucsi luci topovi topovii moi nas eto kak dla ili ocen prosto ochen i na v po za ot do iz so the and best top "
