@@ -37,6 +37,10 @@ SMALL = 8
 BLOCK = 4096
 #: Stand-ins for a key: each key takes one of so many orders of its members.
 ORDERS = 8
+#: Smallest keys of a set that its rows carry, so that most pairs come out under one key only.
+FIRSTS = 8
+#: Bits of the sketch that travels with each key of a set; the full one, as long as the set asks for, joins pairs only.
+BRIEF = 1024
 BLOOM_BITS = 1 << 24
 FLUSH = 600_000
 
@@ -104,8 +108,8 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    """log2 of the bits of the sketch of a set of n tokens: at least n, and one word."""
-    return np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    """log2 of the bits of the sketch of a set of n tokens: at least 4 n, and one word."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
@@ -114,6 +118,14 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens & _U(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
 
 
+def _brief(sketch: bytes) -> bytes:
+    """A sketch folded to BRIEF bits at most."""
+    words = np.frombuffer(sketch, _U)
+    while len(words) * 64 > BRIEF:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words.tobytes()
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Bytes by place: sorted values compress better so."""
     return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
@@ -368,11 +380,14 @@ def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
     """All pairs under one key whose components differ, less those that sizes or sketches rule out."""
     named = post.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_ = named.join(mixed, "key").join(nodes.select("set", "sketch"), "set")
+    open_ = named.join(mixed, "key")
+    few = F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS)
+    firsts = open_.groupBy("set").agg(F.concat(few, F.array_repeat(F.lit(2**63 - 1), FIRSTS - F.size(few))).alias("firsts"))
+    open_ = open_.join(nodes.select("set", F.col("brief").alias("sketch")).join(firsts, "set"), "set")
     salt = F.pmod(F.xxhash64("set"), F.col("salts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")
-    dealt = open_.withColumn("salt", salt).select("key", "set", "n", "label", "sketch", "salt", "salts", other)
-    dealt = dealt.select("key", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "set", "n", "label", "sketch")
+    dealt = open_.withColumn("salt", salt).select("key", "set", "n", "label", "sketch", "firsts", "salt", "salts", other)
+    dealt = dealt.select("key", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "set", "n", "label", "sketch", "firsts")
 
     order = ["key", "low", "high", "n"]
     placed = dealt.repartition(shuffle_partitions(post.sparkSession), "key", "low", "high").sortWithinPartitions(*order)
@@ -384,6 +399,7 @@ def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
                 continue
             if batch is not None:
                 cols = [batch.column(c).to_numpy() for c in (*order, "salt", "set", "label")]
+                cols.append(batch.column("firsts").flatten().to_numpy().reshape(-1, FIRSTS))
                 cols.append(np.array(batch.column("sketch").to_pylist() + [None], object)[:-1])
                 held = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
             if not held:
@@ -395,12 +411,13 @@ def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
             if len(pairs[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=["a", "b"])
 
-    return placed.select(*order, "salt", "set", "label", "sketch").mapInArrow(compare, "a long, b long").distinct()
+    return placed.select(*order, "salt", "set", "label", "firsts", "sketch").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _pairs(cols: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets within the runs of one key whose labels differ, unless sizes or sketches rule them out. Rows are sorted by key and size."""
-    key, low, high, n, salt, sets, label, sketch = cols
+    """Pairs of sets within the runs of one key whose labels differ, unless sizes or sketches rule them out or both sets' first keys hold
+    a smaller one. Rows are sorted by key and size."""
+    key, low, high, n, salt, sets, label, firsts, sketch = cols
     out = [np.empty((0, 2), np.int64)]
     sketches = Sketches(list(sketch))
     left, gap = np.arange(len(key)), 0
@@ -412,6 +429,9 @@ def _pairs(cols: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
         left, right = left[on], right[on]  # sizes only grow, so what has ended stays so
         i = np.flatnonzero((label[left] != label[right]) & ((low[left] == high[left]) | (salt[left] != salt[right])))
         i = i[sketches.room(left[i], right[i], n, percent)]
+        x, y = firsts[left[i]], firsts[right[i]]
+        before = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] < key[left[i]][:, None, None])).any((1, 2))
+        i = i[~before]  # these met under a smaller key already
         a, b = sets[left[i]], sets[right[i]]
         out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
     both = np.unique(np.concatenate(out), axis=0)
@@ -430,25 +450,25 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = FRE
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), (F.lit(0) if row is None else row).cast("long").alias("row"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"doc_id": pa.int64(), "row": pa.int64(), "hash": pa.int64(), "n": pa.int32(), "set": pa.int64(), "sketch": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "row": pa.int64(), "hash": pa.int64(), "n": pa.int32(), "set": pa.int64(), "sketch": pa.binary(), "brief": pa.binary()}
         for batch in batches:
             rows = []
             for doc_id, text, code, own in zip(*batch.columns, strict=True):
                 tokens = shingles(text.as_py(), width)
-                rows.append((doc_id.as_py(), own.as_py(), code.as_py(), len(tokens), set_id(tokens), _sketch(tokens)))
+                rows.append((doc_id.as_py(), own.as_py(), code.as_py(), len(tokens), set_id(tokens), sketch := _sketch(tokens), _brief(sketch)))
             yield _rows(kinds, rows)
 
-    members = saved(docs.mapInArrow(describe, "doc_id long, row long, hash long, n int, set long, sketch binary"), "members")
+    members = saved(docs.mapInArrow(describe, "doc_id long, row long, hash long, n int, set long, sketch binary, brief binary"), "members")
     keys, counts = frequent_tokens(docs, width, frequent, MOST_FREQUENT)
     post = postings(docs, width, percent, keys, counts, block)
     met = members.filter("n > 0").join(post.select("set").distinct(), "set", "left_semi")
-    nodes = saved(met.groupBy("set").agg(F.min(F.struct("hash", "n", "sketch")).alias("x")).select("set", "x.*"), "nodes")
+    nodes = saved(met.groupBy("set").agg(F.min(F.struct("hash", "n", "sketch", "brief")).alias("x")).select("set", "x.*"), "nodes")
     near = saved(_possible(_stand_ins(post, percent), nodes, percent), "pairs")
     links = _verified(near, nodes, docs, width, percent)
     labels = components(links)
     rest = _across(post, nodes, labels, percent)
     turned = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = saved(rest.join(turned, ["a", "b"], "left_anti"), "pairs")
+    rest = saved(_possible(rest.join(turned, ["a", "b"], "left_anti"), nodes, percent), "pairs")
     if not rest.isEmpty():
         links = links.union(_verified(rest, nodes, docs, width, percent))
         labels = components(links)
