@@ -9,6 +9,7 @@ point of one chunk and the first of the next is encoded again, over as many chun
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import re
@@ -93,7 +94,7 @@ class Codec:
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.digits = {i: str(i) for i in self.pieces}
-        self.cache: dict[bytes, tuple[str, list[int], str] | None] = {}
+        self.cache: dict[bytes, tuple[str, array.array, str] | None] = {}
         self.cached = 0
 
     def plain(self, text: str) -> list[int]:
@@ -101,7 +102,7 @@ class Codec:
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
-    def chunk(self, data: bytes) -> tuple[str, list[int], str] | None:
+    def chunk(self, data: bytes) -> tuple[str, array.array, str] | None:
         """Text before the first sync point, ids from there to the last one, text after it; None without two sync points."""
         key = xxhash.xxh128_digest(data)
         if key in self.cache:
@@ -111,14 +112,17 @@ class Codec:
         last = text.rfind(" ")
         while first and last > first.start() and not SYNC.match(text, last):
             last = text.rfind(" ", 0, last)
-        got = (text[: first.start()], self.plain(text[first.start() : last]), text[last:]) if first and last > first.start() else None
+        got = (text[: first.start()], array.array("I", self.plain(text[first.start() : last])), text[last:]) if first and last > first.start() else None
         if self.cached > CACHE_CHARS:
-            self.cache.clear()
-            self.cached = 0
+            self.forget()
         self.cache[key] = got
         self.cached += len(text)
         return got
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.cached = 0
+
     def segment(self, text: str) -> list[int]:
         data = text.encode()
         ends = cuts(data)
@@ -197,6 +201,7 @@ def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *names])
+        bpe.forget()  # a worker outlives its task
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
