@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import BLANKS, NO_ID, checkpointed, lower_az, shuffle_partitions
+from wardline.llm.common import BLANKS, NO_ID, checkpointed, lower_az, saved, shuffle_partitions
 
 ORDER = ["h1", "h2", "doc", "copy", "pos"]
 
@@ -124,6 +124,7 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     spark = docs.sparkSession
     lines = _with_identity(docs).select("doc", "copy", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     hashed = lines.filter(F.length("key") >= max(1, min_chars)).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc", "copy", "pos")
+    hashed = saved(hashed, "lines")  # range partitioning reads its input twice; hashes are short, texts are not
     dealt = checkpointed(hashed.repartitionByRange(shuffle_partitions(spark), *ORDER).sortWithinPartitions(*ORDER))
     borders = dealt.mapInArrow(_border_runs, "pid long, alone boolean, h1 long, h2 long, n long, first_doc long, last_doc long").collect()  # two rows per partition
     # one row per partition comes first by its place in the partition: the runs of one partition are in hash order
