@@ -7,7 +7,7 @@ from wardline.operators.ads import AdScorer, Templates, compile_template, handle
 from wardline.operators.lexicon import Matchers, active_words, add_words, completions, deletion_variants, lexicon, list_words, remove_words
 from wardline.operators.links import LinkFinder, Span, disjoint
 from wardline.operators.words import Engine, engine, greedy
-from wardline.plans.moderate import moderate
+from wardline.plans.moderate import moderate, moderate_distinct
 
 
 @pytest.mark.parametrize(
@@ -99,3 +99,5 @@ def test_moderate(spark):
     assert (rows[2].final_text, rows[2].decided_by, rows[2].blocked) == ("hello you", "caps", False)
     assert (rows[3].decided_by, rows[3].blocked, rows[4].final_text) == (None, False, "")
     assert rows[5].links == ["see example.com"] and rows[5].blocked
+    again = {r.id: r for r in moderate_distinct(df.union(df.filter("id = 1")), Settings()).collect()}
+    assert all(again[k].final_text == rows[k].final_text and again[k].decided_by == rows[k].decided_by for k in rows)

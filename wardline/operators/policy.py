@@ -66,13 +66,21 @@ def not_exempt(df: DataFrame, exemptions: DataFrame, keys: Iterable[str] = ("use
     return df.join(exemptions.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def violations(events: DataFrame, stages: DataFrame | Iterable[int] = (1, 3, 5, 7), order: Iterable[str] = ("ts", "event_id")) -> DataFrame:
+def violations(events: DataFrame, stages: DataFrame | Iterable[int] = (1, 3, 5, 7), order: Iterable[str] = ("ts", "event_id"), keep_ms: int | None = None) -> DataFrame:
     """Adds at_count, the running number of a user's violations of a filter, and fires, whether a stage has exactly that number.
 
+    With ``keep_ms`` the count starts anew after a gap longer than that; ``order`` then begins with the time.
+
     The count runs along the partitions of a user and a filter. A frequent violator's rows are sorted by their window, not collected.
     """
-    running = F.row_number().over(Window.partitionBy("filter", "user_id").orderBy(*order))
-    counted = events.withColumn("at_count", running)
+    order, own = list(order), ["filter", "user_id"]
+    if keep_ms is None:
+        counted = events.withColumn("at_count", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    else:
+        line = Window.partitionBy(*own).orderBy(*order)
+        gap = F.unix_millis(F.to_timestamp(order[0])) - F.unix_millis(F.to_timestamp(F.lag(order[0]).over(line)))
+        spans = events.withColumn("_new", F.coalesce((gap > keep_ms).cast("int"), F.lit(0))).withColumn("_span", F.sum("_new").over(line))
+        counted = spans.withColumn("at_count", F.row_number().over(Window.partitionBy(*own, "_span").orderBy(*order))).drop("_new", "_span")
     if isinstance(stages, DataFrame):
         return counted.join(F.broadcast(stages.select("at_count").distinct().withColumn("fires", F.lit(True))), "at_count", "left").withColumn("fires", F.coalesce("fires", F.lit(False)))
     return counted.withColumn("fires", F.col("at_count").isin(*stages))

@@ -45,6 +45,12 @@ def moderate(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = (
     return policy.decide(analyzed(df, cfg, names), cfg)
 
 
+def moderate_distinct(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = ()) -> DataFrame:
+    """moderate() where texts repeat: every text is analyzed once and joined back to its rows."""
+    once = moderate(df.select(text("text").alias("text")).distinct(), cfg, names).withColumnRenamed("text", "_text")
+    return df.join(once, text("text") == once["_text"], "left").drop("_text")
+
+
 def moderate_chat(messages: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = ()) -> DataFrame:
     """Moderation of msg_id, ts, user_id, text with each user's spam and advertising record.
 

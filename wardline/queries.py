@@ -445,6 +445,14 @@ def violation_stages(spark, d):
     return policy.violations(own, stages).select("event_id", "at_count", "fires")
 
 
+@q("""WITH g AS (SELECT event_id, user_id, event_type, ts, coalesce((epoch_us(ts) // 1000) - lag(epoch_us(ts) // 1000) OVER w > 604800000, FALSE)::INT AS fresh FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS span FROM g)
+ SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type, user_id, span ORDER BY ts, event_id) AS INTEGER) AS at_count FROM s""")
+def violation_retention(spark, d):
+    own = table(spark, d, "events").withColumnRenamed("event_type", "filter")
+    return policy.violations(own, keep_ms=7 * 24 * HOUR).select("event_id", "at_count")
+
+
 _FLAGS = rf"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)license') AS blocked_w, regexp_matches(coalesce(text, ''), '(?i)worthless') AS bad_w, regexp_matches(coalesce(text, ''), '\d+\.\d+\.\d+\.\d+') AS link, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: {sql_shouts('w')})) > 0 AS caps FROM documents"
 
 
