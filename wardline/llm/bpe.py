@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import shuffle_partitions
+from wardline.llm.common import release_memory, shuffle_partitions
 
 #: Mean bytes of a chunk are 2 ** CHUNK_BITS; the rolling hash covers 16 bytes.
 CHUNK_BITS = 11
@@ -202,6 +202,7 @@ def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *names])
         bpe.forget()  # a worker outlives its task
+        release_memory()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"

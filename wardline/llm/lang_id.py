@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.llm.common import release_memory
+
 #: Hidden units in each direction; bytes of a window; windows that run side by side.
 HIDDEN, WINDOW, LANES = 8, 160, 2048
 #: Bound of the training sample: rows, and bytes of each.
@@ -220,6 +222,7 @@ def _predict(docs: DataFrame, net: Network | None) -> DataFrame:
                         lang[j], score[j] = net.labels[k], min(1.0, top)
                     group, size = [], 0
             yield pd.DataFrame({"lang_pred": lang, "score": score})
+        release_memory()
 
     lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
     found = docs.withColumn("_found", predict.asNondeterministic()(lettered))  # else a filter on it runs the network twice

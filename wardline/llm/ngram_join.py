@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import saved, shuffle_partitions
+from wardline.llm.common import release_memory, saved, shuffle_partitions
 from wardline.llm.components import components
 
 #: Documents from which a token is frequent, at least; most frequent tokens that are broadcast (12 bytes each).
@@ -169,6 +169,8 @@ def frequent_tokens(docs: DataFrame, width: int, least: int, most: int) -> tuple
                     held, size = [], 0
         if size:
             yield flush()
+        held.clear()
+        release_memory()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n = np.unique(np.concatenate([_from_planes(b, np.uint32) for b in pdf["blob"]]), return_counts=True)
@@ -253,6 +255,8 @@ def postings(docs: DataFrame, width: int, percent: int, keys: np.ndarray, counts
                     held, size, seen = [], 0, set()
         if size:
             yield flush()
+        held.clear()
+        release_memory()
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         key, sets, n, salts = (np.concatenate([_from_planes(b, k) for b in pdf[c]]) for c, k in (("keys", _U), ("sets", np.int64), ("sizes", np.uint32), ("salts", np.int32)))
@@ -363,6 +367,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
                     rows, size = [], 0
             if rows:
                 yield _rows(kinds, rows)
+        release_memory()
 
     sets = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(build, "set long, tokens array<long>").join(used, "set", "left_semi").dropDuplicates(["set"])
     left, right = (sets.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
@@ -457,6 +462,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = FRE
                 tokens = shingles(text.as_py(), width)
                 rows.append((doc_id.as_py(), own.as_py(), code.as_py(), len(tokens), set_id(tokens), sketch := _sketch(tokens), _brief(sketch)))
             yield _rows(kinds, rows)
+        release_memory()
 
     members = saved(docs.mapInArrow(describe, "doc_id long, row long, hash long, n int, set long, sketch binary, brief binary"), "members")
     keys, counts = frequent_tokens(docs, width, frequent, MOST_FREQUENT)
