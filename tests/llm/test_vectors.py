@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import ann, cover_tree
@@ -55,6 +56,34 @@ def test_neighbours(spark):
     assert ann.op8(frame(spark, few).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-1, 1e-3, 1e-6, 1e-13])
+def test_neighbours_among_near_copies(spark, noise):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4500, 32))
+    x[3000:] = x[0] + noise * r.normal(size=(1500, 32))
+    x = x[r.permutation(len(x))]
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    hits = 0
+    for i in range(0, len(x), 100):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hits += sum(g.score <= np.sort(d)[9] for g in got if g.query_id == i)
+    assert len(got) == 450 and hits >= 0.9 * len(got)
+
+
+def test_neighbours_in_full_cells(spark):
+    """Vectors that no key tells apart are compared one by one."""
+    x = np.random.default_rng(7).normal(size=(600, 8))
+    x[:400] = 1e9 + np.arange(400)[:, None] * 1e-6
+    x[599] = 1e30
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), every=50).collect()
+    for i in range(0, 400, 50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [(g.vec_id, g.score) for g in sorted(got, key=lambda g: g.rank) if g.query_id == i] == [(j, d[j]) for j in np.lexsort((np.arange(600), d))[:10]]
+
+
 def test_products(spark):
     data = rows(3, 1500, copies=200)
     assert sorted(map(tuple, cover_tree.op9(frame(spark, data)).collect())) == sorted(brute(data, 20, 20, True))

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Distinct vectors are projected at random onto a few dimensions, shifted, cut into cells and ordered along a Hilbert curve; several such
-orderings are range-partitioned in Spark. A query's window is a share of all ranks on both sides of its own; it may span partitions. The
-windows of all orderings merge and are reranked by exact distances on the original vectors.
+orderings are range-partitioned in Spark. Cells are so fine that a tight group of near copies is ordered by place too, on every curve by its
+own projections. A query's window is a share of all ranks on both sides of its own, and the whole of its cell if that holds more; it may span
+partitions. The windows of all orderings merge and are reranked by exact distances on the original vectors.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +21,14 @@ from pyspark.sql import functions as F
 from wardline.llm.common import checkpointed, saved, shuffle_partitions
 from wardline.llm.vectors import distinct, queries, ranked, valid
 
-#: Orderings; projected dimensions and bits of each (60 bits of key); share of the ranks on each side of a query.
-CURVES, DIMENSIONS, BITS, SHARE = 18, 12, 5, 0.035
+#: Orderings; projected dimensions and bits of each (66 bytes of key); share of the ranks on each side of a query.
+CURVES, DIMENSIONS, BITS, SHARE = 18, 12, 44, 0.035
 #: Ranks on each side at least; rows that the scales are fitted on.
 LEAST, FIT_ROWS = 64, 4096
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place of each row of cells (n, d), integers under 2 ** bits, along the Hilbert curve; by the transposed form of Skilling (2004)."""
+def hilbert_bits(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each row of cells (n, d), integers under 2 ** bits, along the Hilbert curve, as (n, bits * d) binary digits; by the transposed form of Skilling (2004)."""
     x = cells.T.astype(np.int64).copy()
     d = len(x)
     q = 1 << (bits - 1)
@@ -46,10 +48,14 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
         t ^= np.where((x[d - 1] & q) != 0, q - 1, 0)
         q >>= 1
     x ^= t
-    key = np.zeros_like(x[0])
-    for b in range(bits - 1, -1, -1):
-        for i in range(d):
-            key = (key << 1) | ((x[i] >> b) & 1)
+    return np.stack([(x[i] >> b & 1).astype(np.uint8) for b in range(bits - 1, -1, -1) for i in range(d)], axis=1)
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The places as integers, where they have at most 63 digits."""
+    key = np.zeros(len(cells), np.int64)
+    for digit in hilbert_bits(cells, bits).T:
+        key = (key << 1) | digit
     return key
 
 
@@ -64,9 +70,12 @@ class Curves:
         self.middle = sample.mean(0)
         self.scales = [np.maximum(((sample - self.middle) @ a).std(0), 1e-12) for a in self.axes]
 
-    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
+    def keys(self, x: np.ndarray, curve: int) -> list[bytes]:
+        """Beyond 3 standard deviations space narrows towards 4, so that far vectors keep their order too."""
         z = (x - self.middle) @ self.axes[curve] / self.scales[curve] + self.shifts[curve][: self.axes[curve].shape[1]]
-        return hilbert_keys(np.clip((z + 4) / 8 * (1 << self.bits), 0, (1 << self.bits) - 1).astype(np.int64), self.bits)
+        z = np.where(np.abs(z) > 3, np.sign(z) * (4 - 1 / np.maximum(np.abs(z) - 2, 1)), z)
+        cells = np.clip((z + 4) / 8 * (1 << self.bits), 0, (1 << self.bits) - 1).astype(np.int64)
+        return [row.tobytes() for row in np.packbits(hilbert_bits(cells, self.bits), axis=1)]
 
 
 def _matrix(blobs) -> np.ndarray:
@@ -95,27 +104,55 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
             if batch.num_rows:
                 x = _matrix(batch.column("vector").to_pylist())
                 for c in range(curves):
-                    keys = pa.array(plan.value.keys(x, c))
+                    keys = pa.array(plan.value.keys(x, c), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), keys, *batch.columns], names=["curve", "key", *batch.schema.names])
 
-    placed = marked.select("h", "vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks")).mapInArrow(place, "curve int, key long, h long, vector binary, ids array<long>, asks boolean")
-    order = ["curve", "key", "h", "vector"]
+    placed = marked.select("vector", "ids", F.coalesce("asks", F.lit(False)).alias("asks")).mapInArrow(place, "curve int, key binary, vector binary, ids array<long>, asks boolean")
+    order = ["curve", "key", "vector"]
     dealt = checkpointed(placed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order))
 
+    width = max(LEAST, int(np.ceil(share * units.count())))
+    run = pa.struct([("key", pa.binary()), ("first", pa.int64()), ("n", pa.int64())])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of each curve, and its runs of one key that are longer than a window's side or touch an end of the partition."""
         n = np.zeros(curves, np.int64)
+        runs: dict[int, list[list]] = {}
         for batch in batches:
-            n += np.bincount(batch.column(0).to_numpy(), minlength=curves)
+            if not batch.num_rows:
+                continue
+            curve, key = batch.column(0).to_numpy(), batch.column(1)
+            new = (curve[1:] != curve[:-1]) | pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.flatnonzero(new) + 1])
+            size = np.diff(np.append(start, len(curve)))
+            of = curve[start]
+            edge = np.append(True, of[1:] != of[:-1])
+            for i in np.flatnonzero((size > width) | edge | np.append(edge[1:], True)):
+                c, k = int(of[i]), key[int(start[i])].as_py()
+                first = int(n[c] + start[i] - np.searchsorted(curve, c))
+                own = runs.setdefault(c, [])
+                if own and own[-1][0] == k:
+                    own[-1][2] += int(size[i])
+                else:
+                    own.append([k, first, int(size[i])])
+            n += np.bincount(curve, minlength=curves)
         has = np.flatnonzero(n)
+        kept = [[dict(zip(("key", "first", "n"), r, strict=True)) for i, r in enumerate(runs[c]) if i in (0, len(runs[c]) - 1) or r[2] > width] for c in has]
         pid = np.full(len(has), TaskContext.get().partitionId(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(has.astype(np.int64)), pa.array(n[has])], names=["pid", "curve", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(has.astype(np.int64)), pa.array(n[has]), pa.array(kept, pa.list_(run))], names=["pid", "curve", "n", "runs"])
 
-    counts = sorted(dealt.select("curve").mapInArrow(count, "pid long, curve long, n long").collect(), key=lambda r: (r.curve, r.pid))
+    counts = dealt.select("curve", "key").mapInArrow(count, "pid long, curve long, n long, runs array<struct<key: binary, first: long, n: long>>").collect()
     pieces: dict[int, list[tuple[int, int, int]]] = {}  # curve: (partition, first rank, rows); partitions + curves of them
-    for r in counts:
-        own = pieces.setdefault(r.curve, [])
+    cells: dict[int, list[list]] = {}  # curve: [key, first rank, last rank] of the runs, over the partitions' ends
+    for r in sorted(counts, key=lambda r: (r.curve, r.pid)):
+        own, full = pieces.setdefault(r.curve, []), cells.setdefault(r.curve, [])
         own.append((r.pid, own[-1][1] + own[-1][2] if own else 0, r.n))
-    width = max(LEAST, int(np.ceil(share * (pieces[0][-1][1] + pieces[0][-1][2]))))
+        for key, first, n in r.runs:
+            if full and full[-1][0] == key:
+                full[-1][2] += n
+            else:
+                full.append([key, own[-1][1] + first, own[-1][1] + first + n - 1])
+    full = {c: [(first, last) for _, first, last in own if last - first >= width] for c, own in cells.items()}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -136,18 +173,20 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
         for batch in batches:
             out = []
             for curve, rank, vector in zip(*(batch.column(c).to_pylist() for c in ("curve", "rank", "vector")), strict=True):
-                out += [(p, curve, rank, vector) for p, first, n in pieces[curve] if first <= rank + width and first + n > rank - width]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["pid", "curve", "rank", "vector"])
+                cell = next((f for f in full[curve] if f[0] <= rank <= f[1]), (rank, rank))
+                low, high = min(cell[0], rank - width), max(cell[1], rank + width)
+                out += [(p, curve, low, high, vector) for p, first, n in pieces[curve] if first <= high and first + n > low]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["pid", "curve", "low", "high", "vector"])
 
-    wanted = ranks.filter("asks").select("curve", "rank", "vector").mapInArrow(windows, "pid long, curve int, rank long, vector binary")
+    wanted = ranks.filter("asks").select("curve", "rank", "vector").mapInArrow(windows, "pid long, curve int, low long, high long, vector binary")
 
     def rerank(data: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out = []
         for curve, own in query.groupby("curve"):
             part = data[data["curve"] == curve].sort_values("rank")
             x, rank, ids = _matrix(list(part["vector"])), part["rank"].to_numpy(), part["ids"].to_numpy()
-            for r, vector in zip(own["rank"], own["vector"], strict=True):
-                a, b = np.searchsorted(rank, [r - width, r + width + 1])
+            for low, high, vector in zip(own["low"], own["high"], own["vector"], strict=True):
+                a, b = np.searchsorted(rank, [low, high + 1])
                 d = np.sqrt(((x[a:b] - np.frombuffer(vector, np.float64)) ** 2).sum(1))
                 near = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
                 near = np.flatnonzero(d <= d[near].max()) if len(near) else near
