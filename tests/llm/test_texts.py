@@ -197,6 +197,20 @@ def test_scores(spark):
     assert lm_score.op7(docs(spark, []).limit(0)).count() == 0
 
 
+def test_scores_of_words_alike_in_47_bits(spark):
+    """The hashes of the two words differ in their last 17 bits only."""
+    import math
+
+    texts = ["one w17237794 two", "one w31453840 two", "w6903173 w2109134 one"]
+    words = [t.split() for t in texts]
+    one, two = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
+    for known in (1, 2):
+        got = {x.doc_id: x.score_micros for x in lm_score.score(docs(spark, texts), known=known).collect()}
+        for i, ws in enumerate(words):
+            shares = [one[ws[0]] / 9] + [two[a, b] / one[a] if two[a, b] >= known else 0.4 * one[b] / 9 for a, b in zip(ws, ws[1:], strict=False)]
+            assert got[i] == sum(round(math.log(x) * 1e6) for x in shares)
+
+
 def brute_repair(roles, costs):
     """Least cost over all legal readings, by search over positions and states."""
     best = {None: 0}

@@ -1,8 +1,9 @@
 """Stupid-backoff scores of documents under the bigram counts of the whole corpus.
 
-The exploded n-grams of a batch of documents (neighbours by doc_id) travel once each, as sorted runs of packed hashes dealt by hash, to the
-part of the count table that holds them; there counts add up, and every batch gets back the counts of its own n-grams. Joined to the batch's
-documents they give each word's score, summed per document. A frequent word or bigram is one entry a batch, never a hot key.
+The exploded n-grams of a batch of documents (neighbours by doc_id) travel once each, as sorted runs of 64-bit hashes dealt by hash, to the
+part of the count table that holds them; there counts add up, and every batch gets back the counts of its own n-grams, in the order of their
+hashes, which it knows. Joined to the batch's documents they give each word's score, summed per document. A frequent word or bigram is one
+entry a batch, never a hot key.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from wardline.llm.ngram_join import _from_planes, _mix, _planes, _rows, word_has
 
 #: Documents of a batch, by neighbouring doc_ids; occurrences from which a bigram is known; the backoff factor.
 BATCH, KNOWN, BACKOFF = 2048, 2, 0.4
-#: Bits of an n-gram's hash besides those of its part.
-BITS = 40
 FLUSH = 1_500_000
 #: Scores are summed as whole millionths, which is the same in any order.
 UNIT = 1_000_000
@@ -30,26 +29,31 @@ _U = np.uint64
 
 
 def _grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and bigrams of a document as hashes; the lowest bit tells which."""
-    pairs = _mix(words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else np.empty(0, _U)
-    return words & ~_U(1), pairs | _U(1)
+    """Words and bigrams of a document as 64-bit hashes."""
+    return words, _mix(words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else np.empty(0, _U)
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Five bytes a key, by place."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+    """Seven bytes a key, by place; the part's number, of eight bits or more, has the highest one."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(5, -1)
+    planes = np.frombuffer(blob, np.uint8).reshape(7, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :5] = planes.T
+    out[:, :7] = planes.T
     return out.view(_U).ravel()
 
 
-def _short(h: np.ndarray, bits: int) -> np.ndarray:
-    """The part (its number in the top bits) and 40 bits of a hash; the lowest bit stays."""
-    return ((h >> _U(64 - BITS - bits + 1)) << _U(1)) | (h & _U(1))
+def _distinct(docs: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams of documents, given by their words."""
+    found, held, size = np.empty(0, _U), [], 0
+    for words in docs:
+        held += _grams(words)
+        size += len(words)
+        if size >= FLUSH:
+            found, held, size = np.unique(np.concatenate([found, *held])), [], 0
+    return np.unique(np.concatenate([found, *held]))
 
 
 def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: float = BACKOFF) -> DataFrame:
@@ -58,7 +62,8 @@ def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: floa
     Words: runs without ASCII white space, A-Z lower-cased. S is the bigram's share of its first word's count if the bigram occurs at least
     ``known`` times in the corpus, else ``backoff`` times the word's share of all words; a first word has its share alone. Counts are over
     all rows. Null and empty texts have no words and score 0; repeated rows count as often as they occur; an empty table gives no rows;
-    other columns than doc_id and text are not looked at. Hashes of 48 bits and more stand for n-grams.
+    other columns than doc_id and text are not looked at. 64-bit hashes stand for n-grams: with D
+    different ones about D * D / 2^65 pairs share theirs.
     Returns doc_id, n_words, score_micros (the sum, each word's log rounded to millionths).
     """
     spark = docs.sparkSession
@@ -70,8 +75,8 @@ def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: floa
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(number: int) -> pa.RecordBatch:
-            keys, counts = np.unique(_short(np.concatenate(held[number]), bits), return_counts=True)
-            ends = np.searchsorted(keys, np.arange(1, (1 << bits) + 1, dtype=_U) << _U(BITS))
+            keys, counts = np.unique(np.concatenate(held[number]), return_counts=True)
+            ends = np.append(np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)), len(keys))
             return _rows(kinds, [(p, number, _pack(keys[a:b]), _planes(counts[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a])
 
         held: dict[int, list[np.ndarray]] = {}
@@ -94,40 +99,36 @@ def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: floa
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [_unpack(b) for b in pdf["keys"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([_from_planes(b, np.uint32) for b in pdf["counts"]])).astype(np.int64)
-        sums = np.minimum(sums, 2**32 - 1).astype(np.uint32)
-        out, ends = [], np.cumsum([len(k) for k in keys])
-        for number, own, start, end in zip(pdf["batch"], keys, [0, *ends[:-1]], ends, strict=True):
-            c = sums[at[start:end]]
-            keep = c >= np.where(own & _U(1) == 1, max(2, known), 2)  # what is not sent back has occurred once, or is not known
-            out.append((int(pdf["part"].iloc[0]), number, _pack(own[keep]), _planes(c[keep])))
-        return pd.DataFrame(out, columns=list(kinds))
-
-    schema = "part int, batch long, keys binary, counts binary"
-    counted = rows.select("text", "batch").mapInArrow(send, schema).groupBy("part").applyInPandas(count, schema)
+        sums = np.bincount(at, weights=np.concatenate([_from_planes(b, np.uint32) for b in pdf["counts"]])).astype(_U)
+        own: dict[int, list[np.ndarray]] = {}
+        ends = np.cumsum([len(k) for k in keys])
+        for number, start, end in zip(pdf["batch"], [0, *ends[:-1]], ends, strict=True):
+            own.setdefault(int(number), []).append(at[start:end])
+        part = int(pdf["part"].iloc[0])
+        out = [(part, number, _planes(sums[np.unique(np.concatenate(a)) if len(a) > 1 else a[0]])) for number, a in own.items()]
+        return pd.DataFrame(out, columns=["part", "batch", "counts"])
+
+    sent = rows.select("text", "batch").mapInArrow(send, "part int, batch long, keys binary, counts binary")
+    counted = sent.groupBy("part").applyInPandas(count, "part int, batch long, counts binary")
 
     def sums(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack(b) | (_U(p) << _U(BITS)) for p, b in zip(replies["part"], replies["keys"], strict=True)]
-        keys = np.concatenate([np.empty(0, _U), *keys])
-        counts = np.concatenate([np.empty(0, np.uint32), *(_from_planes(b, np.uint32) for b in replies["counts"])])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-
-        def look(h: np.ndarray, missing: int) -> np.ndarray:
-            short = _short(h, bits)
-            if not len(keys):
-                return np.full(len(h), missing, np.int64)
-            at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-            return np.where(keys[at] == short, counts[at].astype(np.int64), missing)
+        docs = [word_hashes(text or "") for text in own["text"]]
+        keys = _distinct(docs)
+        counts = np.concatenate([np.empty(0, _U), *(_from_planes(b, _U) for b in replies.sort_values("part")["counts"])]).astype(np.int64)
+        if len(keys) != len(counts):
+            raise ValueError(f"{len(keys)} n-grams in a batch, {len(counts)} counts")
+
+        def look(h: np.ndarray) -> np.ndarray:
+            return counts[np.searchsorted(keys, h)]
 
         out = []
-        for doc_id, text in zip(own["doc_id"], own["text"], strict=True):
-            words, pairs = _grams(word_hashes(text or ""))
+        for doc_id, words in zip(own["doc_id"], docs, strict=True):
+            words, pairs = _grams(words)
             micros = 0
             if len(words):
-                ones, twos = look(words, 1), look(pairs, 0 if known > 1 else 1)
+                ones, twos = look(words), look(pairs)
                 logs = np.log(ones / total)
-                logs[1:] = np.where(twos >= known, np.log(np.maximum(twos, 1) / ones[:-1]), np.log(backoff * ones[1:] / total))
+                logs[1:] = np.where(twos >= known, np.log(twos / ones[:-1]), np.log(backoff * ones[1:] / total))
                 micros = int(np.rint(logs * UNIT).astype(np.int64).sum())
             out.append((doc_id, len(words), micros))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "score_micros"]).astype({"doc_id": "Int64", "n_words": "int64", "score_micros": "int64"})
