@@ -261,6 +261,19 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0), field).count() == 0
 
 
+def test_elements_without_end_tag():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    rest = "<p>b</p>"
+    for tag in ('<svg class="i"/>', "<svg hidden />", "<svg>", "<select>", "<select name='s'>", "<object data=x>", "<template>", "<select-box>", "<select-box></select-box>", "<template-x></template-x>"):
+        assert texts("<p>a</p>" + tag + rest) == ["a", "b"], tag
+        assert texts("<p>a</p>" + tag + rest + "<svg>no</svg><select>no</select><p>c</p>") == ["a", "b", "c"], tag
+    for name in ("svg", "select", "object", "template"):
+        assert texts(f"<p>a</p><{name} id=x/>no<{name}>no</{name}>no</{name.upper()}>{rest}") == ["a", "b"]
+    for name in ("script", "style", "textarea", "iframe", "noscript"):
+        assert texts(f"<p>a</p><{name}/>no{rest}") == ["a"]
+        assert texts(f"<p>a</p><{name}>no<svg></{name} >{rest}</svg>") == ["a", "b"]
+
+
 def test_viterbi_is_best():
     import itertools
 

@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea)(?=[\s/>]|\Z)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements left out with all they hold, from a start tag to its own end tag; without one the tag alone is left out.
+UNSHOWN = frozenset("template svg select object".split())
+#: Attributes that end in the slash of an unquoted value, which closes nothing.
+SLASH_VALUE = re.compile(r"=\s*[^\s\"'>]+/\Z")
 ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
@@ -51,6 +55,24 @@ def _names(tag: str, attrs: str) -> str:
     return ".".join(words)
 
 
+def _unshown(tokens: list[re.Match]) -> dict[int, int]:
+    """Tokens that are start tags of UNSHOWN elements, with the token of their end tag (their own, if they have none)."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        tag = m["tag"]
+        if not tag or tag.lower() not in UNSHOWN:
+            continue
+        tag = tag.lower()
+        if not m["close"]:
+            found[i] = i
+            if tag != "svg" or not m["attrs"].endswith("/") or SLASH_VALUE.search(m["attrs"]):
+                opened.setdefault(tag, []).append(i)
+        elif opened.get(tag):
+            found[opened[tag].pop()] = i
+    return found
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, character references decoded, white space single; scripts, styles and markup are not text."""
     page = page or ""
@@ -75,16 +97,26 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at = past = 0
+    tokens = list(TOKEN.finditer(page))
+    unshown = _unshown(tokens)
+    for i, m in enumerate(tokens):
+        if i < past:
+            continue
         say(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
-            if m["raw"] and m["raw"].lower() not in ("script", "style", "template", "noscript", "svg"):
+            if m["raw"] and m["raw"].lower() not in ("script", "style", "noscript"):
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag in UNSHOWN:
+            last = unshown.get(i, i)
+            past, at = last + 1, tokens[last].end()
+            if tag in ("select", "object"):
+                parts.append(" ")
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
