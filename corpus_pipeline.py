@@ -21,9 +21,11 @@ def _row(docs: DataFrame):
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (no text, no letter) go; the others take the language found."""
+    """Documents without a text or a letter go; the others take the language found, or keep their own (else ``und``) where no row can be learned from."""
     docs = docs.select(*COLUMNS)
-    return lang_id.labelled(docs).filter(F.col("lang_pred") != lang_id.UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    net = lang_id.train(lang_id.training_sample(docs))
+    lang = F.col("lang_pred") if net.labels else F.coalesce("lang", F.lit(lang_id.UNKNOWN))
+    return lang_id.labelled(docs, net).filter(lang_id.has_letter()).select("doc_id", "text", lang.alias("lang"), "source", "n_chars")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

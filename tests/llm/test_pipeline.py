@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_texts import brute_groups, brute_lines, sentence
-from wardline.llm import bpe
+from wardline.llm import bpe, lang_id
 from wardline.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,3 +51,13 @@ def test_stages(spark, table):
             assert len(after) == len(before)
             ids = {x.doc_id: lib.encode(x.text, add_special_tokens=False).ids for x in before}
             assert all(x.ids_sha256 == hashlib.sha256(",".join(map(str, ids[x.doc_id])).encode()).hexdigest() for x in after)
+
+
+def test_language_without_labels(spark, table):
+    docs = spark.read.parquet(f"{table}/documents.parquet")
+    lettered = {x.doc_id for x in docs.collect() if any(c.isalpha() for c in x.text or "")}
+    got = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), table).collect()
+    assert {x.doc_id for x in got} == lettered and {x.lang for x in got} == {"und"}
+    held = docs.filter(lang_id.held_out())
+    got = corpus_pipeline.language(spark, held, table).collect()
+    assert {(x.doc_id, x.lang) for x in got} == {(x.doc_id, x.lang) for x in held.collect() if x.doc_id in lettered} and got

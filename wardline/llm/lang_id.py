@@ -187,6 +187,10 @@ def training_sample(docs: DataFrame) -> list[tuple[bytes, str]]:
     return [(r.piece.encode(), r.lang) for r in taken]
 
 
+def has_letter():
+    return F.col("text").rlike(r"\p{L}")
+
+
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """lang_pred and score of each document.
 
@@ -224,7 +228,7 @@ def _predict(docs: DataFrame, net: Network | None) -> DataFrame:
             yield pd.DataFrame({"lang_pred": lang, "score": score})
         release_memory()
 
-    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
+    lettered = F.when(has_letter(), F.col("text"))
     found = docs.withColumn("_found", predict.asNondeterministic()(lettered))  # else a filter on it runs the network twice
     return found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
 
