@@ -53,7 +53,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.op1(docs)
+    """The token ids of each document of the mix, with their number and digests."""
+    return bpe.encoded(docs)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("encoded", encoded)]

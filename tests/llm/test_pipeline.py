@@ -53,6 +53,16 @@ def test_stages(spark, table):
             assert all(x.ids_sha256 == hashlib.sha256(",".join(map(str, ids[x.doc_id])).encode()).hexdigest() for x in after)
 
 
+def test_encoded_mix_has_ids(spark, table):
+    docs = spark.read.parquet(f"{table}/documents.parquet")
+    lib = bpe.codec(bpe.default_path()).library
+    got = {x.doc_id: x for x in corpus_pipeline.encoded(spark, docs, table).collect()}
+    for x in docs.collect():
+        ids = lib.encode(x.text or "", add_special_tokens=False).ids
+        assert got[x.doc_id].ids == ids and got[x.doc_id].n_tokens == len(ids)
+        assert got[x.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_language_without_labels(spark, table):
     docs = spark.read.parquet(f"{table}/documents.parquet")
     lettered = {x.doc_id for x in docs.collect() if any(c.isalpha() for c in x.text or "")}

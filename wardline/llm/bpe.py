@@ -184,30 +184,44 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts have no ids. Repeated rows give repeated results, a null doc_id stays null, an empty table gives no rows;
     other columns than doc_id and text are dropped. Returns doc_id, ids (array<int>), decoded.
     """
-    return _run(docs, path, False)
+    return _run(docs, path, ["ids", "decoded"])
 
 
-def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
+_KINDS = {"n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string"), "ids": (pa.list_(pa.int32()), "array<int>"), "decoded": (pa.string(), "string")}
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def _run(docs: DataFrame, path: str | None, names: list[str]) -> DataFrame:
     path = path or default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
+        make = {
+            "n_tokens": lambda ids, text: len(ids),
+            "ids_sha256": lambda ids, text: hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest(),
+            "decoded_sha256": lambda ids, text: hashlib.sha256(text.encode()).hexdigest(),
+            "ids": lambda ids, text: np.array(ids, np.int32),
+            "decoded": lambda ids, text: text,
+        }
         for batch in batches:
-            rows = []
+            cols: dict[str, list] = {n: [] for n in names}
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text or "")
                 text = bpe.decode(ids)
-                rows.append((len(ids), hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digest else (ids, text))
-            kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *names])
+                for n in names:
+                    cols[n].append(make[n](ids, text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[n], _KINDS[n][0]) for n in names)], names=["doc_id", *names])
         bpe.forget()  # a worker outlives its task
         release_memory()
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
+    schema = ", ".join(["doc_id long", *(f"{n} {_KINDS[n][1]}" for n in names)])
     return by_content(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(work, schema)
 
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The digests of op1 and the ids themselves: doc_id, n_tokens, ids_sha256, decoded_sha256, ids (array<int>)."""
+    return _run(docs, path, [*DIGESTS, "ids"])
+
+
 def op1(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return _run(docs, path, True)
+    return _run(docs, path, DIGESTS)
