@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, chat_format, html_extract, lang_id, line_dedup, lm_score, mixing, ngram_join
+from wardline.llm import bpe, chat_format, common, components, html_extract, lang_id, line_dedup, lm_score, mixing, ngram_join
 
 CLASH = ("h1", "batch", "key", "ids", "_near", "size", "set", "hash")
 
@@ -135,6 +135,44 @@ def test_ngram_join(spark, frequent, block):
     assert got == brute_groups(texts)
 
 
+def test_ngram_join_splits_hot_sets(spark, monkeypatch):
+    """With stars, copies and labels split over salts, and with the join in place of the Bloom filter, the groups are the same."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[: 55 + r.randrange(5)], f"n{k}"]) for k in range(60)] + [" ".join(base)] * 30 + [sentence(r, 8) for _ in range(20)]
+    monkeypatch.setattr(common, "SPLIT", 4)
+    for most in (ngram_join.BLOOM_MOST, 0):
+        monkeypatch.setattr(ngram_join, "BLOOM_MOST", most)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.op5(docs(spark, texts)).collect()}
+        assert got == brute_groups(texts)
+    monkeypatch.setattr(common, "MOST_HOT", 0)
+    left, right = spark.createDataFrame([(k % 3, k) for k in range(40)], "k long, x long"), spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k long, y string")
+    assert sorted(map(tuple, common.split_join(left, right, "k", "x").collect())) == sorted((k % 3, k, "ab"[k % 3]) for k in range(40) if k % 3 < 2)
+
+
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(components, "HELD", 50)
+    r = random.Random(2)
+    links = [(0, k) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(150)] + [(r.randrange(5000, 5200), r.randrange(5000, 5200)) for _ in range(120)] + [(-5, -5), (None, 3), (2, 1), (1, 2)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    df = spark.createDataFrame(links, "a long, b long")
+    got = components.components(df).collect()
+    assert {x.node: x.label for x in got} == {x: top(x) for x in up} and len(got) == len(up)
+    assert components.components(df.limit(0)).count() == 0
+    few = components.spanned(df.coalesce(1)).collect()
+    assert len(few) <= len(up) and max(Counter(x for row in few for x in row).values()) <= 3
+
+
 def test_ngram_join_odd_rows(spark):
     df = docs(spark, ["a b c d e f"] * 3).withColumn("doc_id", F.when(F.col("doc_id") == 0, None).otherwise(F.lit(7)))
     assert sorted(map(tuple, ngram_join.op5(df).collect()), key=str) == [(7, 2, 7), (7, 2, 7), (None, 2, 7)]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The ASCII white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of a key that go to one salt; most keys beyond that which are broadcast (16 bytes each).
+SPLIT, MOST_HOT = 512, 1 << 18
 #: Stands for a null id inside the operators.
 NO_ID = -(2**63)
 
@@ -37,6 +39,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def split_join(rows: DataFrame, other: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join on ``key`` where a few keys may own a large part of ``rows``; ``other`` has few rows a key.
+
+    A key with more than SPLIT rows is dealt over as many salts as it takes, by the hash of ``spread``, and the other side's rows of that key
+    are copied to each. Keys like that are broadcast up to MOST_HOT of them, else joined. ``rows`` is read twice, so it should be a table.
+    """
+    hot = rows.groupBy(key).count().filter(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") / SPLIT).cast("int").alias("_parts"))
+    hot = saved(hot, "hot")
+    n = hot.count()
+    if not n:
+        return rows.join(other, key)
+    parts = F.coalesce("_parts", F.lit(1))
+    small = F.broadcast(hot) if n <= MOST_HOT else hot
+    left = rows.join(small, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    right = other.join(small, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, which also keeps the rows' partitions and order."""
     shared_dir(df.sparkSession)

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import release_memory, saved, shuffle_partitions
-from wardline.llm.components import components
+from wardline.llm.common import release_memory, saved, shuffle_partitions, split_join
+from wardline.llm.components import components, spanned
 
 #: Documents from which a token is frequent, at least; most frequent tokens that are broadcast (12 bytes each).
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
@@ -41,7 +41,8 @@ ORDERS = 8
 FIRSTS = 8
 #: Bits of the sketch that travels with each key of a set; the full one, as long as the set asks for, joins pairs only.
 BRIEF = 1024
-BLOOM_BITS = 1 << 24
+#: Bits of a Bloom filter for each text hash, of one of its blocks, and of the largest that is broadcast.
+BLOOM_EACH, BLOOM_BLOCK, BLOOM_MOST = 12, 1 << 16, 1 << 28
 FLUSH = 600_000
 
 _U = np.uint64
@@ -137,7 +138,7 @@ def _from_planes(blob: bytes, kind) -> np.ndarray:
 
 
 def _part_bits(df: DataFrame) -> int:
-    return max(8, (shuffle_partitions(df.sparkSession) - 1).bit_length())
+    return max(10, (4 * shuffle_partitions(df.sparkSession) - 1).bit_length())
 
 
 def _rows(kinds: dict, rows: list) -> pa.RecordBatch:
@@ -286,7 +287,7 @@ def _stand_ins(post: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches leave room for a link."""
+    """The pairs, a table, whose sketches leave room for a link. Sets with many pairs are split over tasks."""
     left, right = (nodes.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +298,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep = both.room(np.arange(len(a)), np.arange(len(a)) + len(a), np.concatenate([na, nb]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(fit, "a long, b long")
+    met = split_join(pairs, left, "a", "b").join(right, "b")
+    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(fit, "a long, b long")
 
 
 class Sketches:
@@ -335,50 +337,65 @@ class Sketches:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, on whole sets. Sets are built again for one text each; a Bloom filter of these texts' hashes, of a fixed size,
-    spares Python the other texts, and what it wrongly lets pass finds no partner."""
-    spark = pairs.sparkSession
+    """A forest of the pairs that link, on whole sets. Sets are built again for one text each; the other texts are kept from Python."""
     used = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    texts = nodes.join(used, "set", "left_semi").select("hash")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for batch in batches:
-            for at in _bloom_places(batch.column(0).to_numpy()):
-                np.bitwise_or.at(bloom, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bloom.tobytes()], pa.binary())], names=["bloom"])
-
-    bloom = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in texts.coalesce(8).mapInArrow(mark, "bloom binary").toLocalIterator():
-        bloom |= np.frombuffer(r.bloom, np.uint8)
-    sent = spark.sparkContext.broadcast(bloom)
+    texts = nodes.join(used, "set", "left_semi").select("hash").distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"set": pa.int64(), "tokens": pa.list_(pa.int64())}
+        rows, size = [], 0
         for batch in batches:
-            rows, size = [], 0
-            passes = np.logical_and.reduce([sent.value[at >> 3] >> (at & 7) & 1 for at in _bloom_places(batch.column(1).to_numpy())]).astype(bool)
-            for i in np.flatnonzero(passes):
-                tokens = shingles(batch.column(0)[int(i)].as_py(), width)
+            for text in batch.column(0):
+                tokens = shingles(text.as_py(), width)
                 rows.append((set_id(tokens), tokens.view(np.int64)))
                 size += len(tokens)
                 if size > 200_000:
                     yield _rows(kinds, rows)
                     rows, size = [], 0
-            if rows:
-                yield _rows(kinds, rows)
+        if rows:
+            yield _rows(kinds, rows)
         release_memory()
 
-    sets = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(build, "set long, tokens array<long>").join(used, "set", "left_semi").dropDuplicates(["set"])
+    sets = _with_hash(docs.select("text", "hash"), saved(texts, "texts")).select("text").mapInArrow(build, "set long, tokens array<long>")
+    sets = sets.join(used, "set", "left_semi").dropDuplicates(["set"])
     left, right = (sets.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    joined = split_join(pairs, left, "a", "b").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
     links = F.col("both") * 100 >= (F.size("ta") + F.size("tb") - F.col("both")) * percent
-    return saved(joined.filter(links).select("a", "b"), "links")
+    return saved(spanned(joined.filter(links)), "links")
+
 
+def _with_hash(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The docs whose hash is wanted, and some others: by a Bloom filter of BLOOM_MOST bits at most, or exactly, by a join, where that is too small."""
+    blocks = 1 << max(0, (BLOOM_EACH * wanted.count() // BLOOM_BLOCK).bit_length())
+    if blocks * BLOOM_BLOCK > BLOOM_MOST:
+        return docs.join(wanted, "hash", "left_semi")
+
+    def places(hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        h = _mix(hashes.astype(np.int64).view(_U))
+        return (h >> _U(48)).astype(np.int64) & (blocks - 1), [(h >> _U(16 * k)).astype(np.int64) & (BLOOM_BLOCK - 1) for k in range(3)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(places(hashes)[0]), pa.array(hashes)], names=["block", "hash"])
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BLOOM_BLOCK // 8, np.uint8)
+        for at in places(pdf["hash"].to_numpy())[1]:
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [bits.tobytes()]})
+
+    bloom = np.zeros((blocks, BLOOM_BLOCK // 8), np.uint8)
+    for r in wanted.mapInArrow(deal, "block long, hash long").groupBy("block").applyInPandas(mark, "block long, bits binary").toLocalIterator():
+        bloom[r.block] = np.frombuffer(r.bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, at = places(batch.column("hash").to_numpy())
+            yield batch.filter(pa.array(np.logical_and.reduce([sent.value[block, x >> 3] >> (x & 7) & 1 for x in at]).astype(bool)))
 
-def _bloom_places(sets: np.ndarray) -> list[np.ndarray]:
-    h = _mix(sets.astype(np.int64).view(_U))
-    return [(h & _U(BLOOM_BITS - 1)).astype(np.int64), (h >> _U(40)).astype(np.int64)]
+    return docs.mapInArrow(select, docs.schema)
 
 
 def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -469,24 +486,25 @@ def join(docs: DataFrame, width: int = 5, percent: int = 75, frequent: int = FRE
     post = postings(docs, width, percent, keys, counts, block)
     met = members.filter("n > 0").join(post.select("set").distinct(), "set", "left_semi")
     nodes = saved(met.groupBy("set").agg(F.min(F.struct("hash", "n", "sketch", "brief")).alias("x")).select("set", "x.*"), "nodes")
-    near = saved(_possible(_stand_ins(post, percent), nodes, percent), "pairs")
+    near = saved(_possible(saved(_stand_ins(post, percent), "stars"), nodes, percent), "pairs")
     links = _verified(near, nodes, docs, width, percent)
     labels = components(links)
     rest = _across(post, nodes, labels, percent)
     turned = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = saved(_possible(rest.join(turned, ["a", "b"], "left_anti"), nodes, percent), "pairs")
+    rest = saved(_possible(saved(rest.join(turned, ["a", "b"], "left_anti"), "rest"), nodes, percent), "pairs")
     if not rest.isEmpty():
         links = links.union(_verified(rest, nodes, docs, width, percent))
         labels = components(links)
     groups = members.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    groups = saved(groups, "groups")
     smallest = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(smallest, "label").select("set", "component_id", F.col("label").alias("group"))
+    named = split_join(groups, smallest, "label", "set").select("set", "component_id", F.col("label").alias("group"))
     return _labelled(members, named)
 
 
 def _labelled(members: DataFrame, named: DataFrame) -> DataFrame:
     """Joins components to documents; empty sets, which may be many, keep out of the join."""
-    some = members.filter("n > 0").join(named, "set").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "group", "row")
+    some = split_join(members.filter("n > 0").select("doc_id", "row", "n", "hash", "set"), named, "set", "doc_id").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "group", "row")
     none = members.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "row")
     return some.unionByName(none)
 
