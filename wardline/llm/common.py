@@ -39,13 +39,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def split_join(rows: DataFrame, other: DataFrame, key: str, spread: str) -> DataFrame:
+def split_join(rows: DataFrame, other: DataFrame, key: str, spread: str, counted: DataFrame | None = None) -> DataFrame:
     """Inner join on ``key`` where a few keys may own a large part of ``rows``; ``other`` has few rows a key.
 
     A key with more than SPLIT rows is dealt over as many salts as it takes, by the hash of ``spread``, and the other side's rows of that key
-    are copied to each. Keys like that are broadcast up to MOST_HOT of them, else joined. ``rows`` is read twice, so it should be a table.
+    are copied to each. Keys like that are broadcast up to MOST_HOT of them, else joined. Keys are counted in ``counted``, which has the
+    keys of ``rows`` as often, or in ``rows``; that is read twice then, so it should be a table.
     """
-    hot = rows.groupBy(key).count().filter(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") / SPLIT).cast("int").alias("_parts"))
+    hot = (rows if counted is None else counted).groupBy(key).count().filter(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") / SPLIT).cast("int").alias("_parts"))
     hot = saved(hot, "hot")
     n = hot.count()
     if not n:

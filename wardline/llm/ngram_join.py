@@ -298,7 +298,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep = both.room(np.arange(len(a)), np.arange(len(a)) + len(a), np.concatenate([na, nb]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    met = split_join(pairs, left, "a", "b").join(right, "b")
+    met = split_join(split_join(pairs, left, "a", "b"), right, "b", "a", pairs)
     return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(fit, "a long, b long")
 
 
@@ -359,7 +359,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     sets = _with_hash(docs.select("text", "hash"), saved(texts, "texts")).select("text").mapInArrow(build, "set long, tokens array<long>")
     sets = sets.join(used, "set", "left_semi").dropDuplicates(["set"])
     left, right = (sets.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    joined = split_join(pairs, left, "a", "b").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    joined = split_join(split_join(pairs, left, "a", "b"), right, "b", "a", pairs).withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
     links = F.col("both") * 100 >= (F.size("ta") + F.size("tb") - F.col("both")) * percent
     return saved(spanned(joined.filter(links)), "links")
 
