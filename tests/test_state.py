@@ -4,10 +4,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from wardline.config import Links, Spam
+from wardline.config import Caps, Links, Spam
 from wardline.operators import policy, retention
 from wardline.operators.spam import SpamFold, State, step
-from wardline.operators.suspicion import SuspicionFold
+from wardline.operators.suspicion import SuspicionFold, suspicion
 
 START = datetime(2024, 1, 1)
 SEQUENCE = [
@@ -34,7 +34,8 @@ def _chat(spark, rows):
 
 
 def test_batch_and_stream_agree(spark, tmp_path):
-    rows = [(t + 0.001 * u, u, s) for u in (1, 2, None) for t, s, _ in SEQUENCE if u is not None] + [(30.0, 2, "see example.com and @friend"), (31.0, 2, "see example.com again")]
+    rows = [(t + 0.001 * (u or 3), u, s) for u in (1, 2) for t, s, _ in SEQUENCE] + [(30.0, 2, "see example.com and @friend"), (31.0, 2, "see example.com again")]
+    rows += [(40.0, None, "see example.com now"), (40.1, None, "see example.com now"), (40.1, 1, None), (40.1, 1, "twice"), (40.1, 1, "twice")]
     df = _chat(spark, rows)
     for fold, name in ((SpamFold(), "spam"), (SuspicionFold(Links()), "ads")):
         batch = {r.msg_id: tuple(r) for r in fold.batch(df).collect()}
@@ -44,11 +45,12 @@ def test_batch_and_stream_agree(spark, tmp_path):
         query.awaitTermination(120)
         got = {r.msg_id: tuple(r) for r in spark.table(name).collect()}
         assert {k: v for k, v in got.items() if k != 99} == batch
-    assert [batch[i][4] for i in (16, 17)] == [1, 2]
+    assert [batch[i][4] for i in (16, 17, 18, 19)] == [1, 2, 1, 1]  # rows without a user stand alone
 
 
 def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, START, None, "")], "msg_id long, ts timestamp_ntz, user_id long, text string")
+    assert {(r.msg_id, r.level) for r in SuspicionFold().batch(df).collect()} == {(1, None), (2, 0)}
     assert SuspicionFold().batch(df.filter("ts is not null")).count() == 1
     assert SpamFold().batch(df.limit(0)).count() == 0
 
@@ -62,9 +64,20 @@ def test_violations_and_logs(spark):
     assert {r.seq for r in retention.keep_latest(log, 1).collect()} == {2, 3}
 
 
+def test_texts_are_looked_at_once(spark):
+    df = _chat(spark, [(k, k % 3, f"see example.com and @friend{k % 4}") for k in range(24)])
+    both = [sorted(map(str, suspicion(df, distinct=d).collect())) for d in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 24
+
+
 def test_sides_and_punishments(spark):
     cfg = policy.Settings()
     row = spark.range(1).select(*[c.alias(f"{n}_{k}") for k in (True, False) for n, c in policy.sides(F.lit(True), F.lit(True), F.lit(False), cfg, k).items()]).first()
     assert row["caps_True"] is False and row["blocked_words_True"] and row["caps_False"] and row["blocked_words_False"]
+    # blocked words, bad words and capitals at once: the setting of blocked words alone says whether capitals act
+    for blocked, bad, want in (("both", "badwords", True), ("blockedwords", "caps", False), ("caps", "badwords", True)):
+        own = policy.Settings(caps=Caps(filter_blocked=blocked, filter_bad=bad))
+        got = spark.range(1).select(*[c.alias(n) for n, c in policy.sides(F.lit(True), F.lit(True), F.lit(True), own, False).items()]).first()
+        assert (got.caps, got.blocked_words, got.bad_words) == (want, blocked != "caps", bad != "caps")
     made = spark.range(1).select(policy.punish(F.array(F.lit("[console-command] mute {player}"), F.lit("[title] x"), F.lit("kick {player}")), {"player": F.lit("a%{b}")}).alias("x")).first().x
     assert made == ["mute ab", "kick ab"]

@@ -2,11 +2,10 @@
 
 # Folding of look-alikes for words: every character on the left counts as the letter on the right.
 FOLD = {
-    "a": "аa@4àáâãäå", "b": "бb6", "v": "вv", "g": "гgґ", "d": "дd", "e": "еёэe3éèêë", "j": "ж", "z": "зz2",
+    "a": "аa@4àáâãäåя", "b": "бb6", "v": "вv", "g": "гgґ", "d": "дd", "e": "еёэe3éèêë", "j": "ж", "z": "зz2",
     "i": "ийыi1!|íìîïyý", "k": "кk", "l": "лlł", "m": "мm", "n": "нnñ", "o": "оo0óòôõö", "p": "пpр", "r": "r",
     "s": "сs5$śš", "c": "cçцч", "t": "тt7ť", "u": "уuúùûüю", "f": "фf", "h": "хxh×", "w": "шщw",
 }
-FOLD["a"] += "я"
 # Characters that count for nothing inside a word.
 IGNORED = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e" + "ъь'`´\"′"
 LEET = "013457@$*!"

@@ -14,6 +14,7 @@ _LABEL = regex.compile(r"[A-Za-z0-9_-]{1,63}")
 _TAIL = regex.compile("[/?#].*", regex.S)
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 _EDGES = regex.compile(r"^[-.]+|[-.]+$")
+_GAP, _FOREIGN, _DOTS, _LATIN = (regex.compile(p) for p in (r"[․·,;\s]", "[^a-z0-9_.-]", r"\.+", "[A-Za-z]"))
 _CYRILLIC = regex.compile(r"\p{Script=Cyrillic}")
 
 
@@ -27,11 +28,12 @@ def tld_alias(domain: str) -> str:
 
 @lru_cache(maxsize=65536)
 def latin_domain(s: str) -> str:
-    s = regex.sub(r"[․·,;\s]", ".", s.lower()).translate(_FOLD)
-    s = regex.sub(r"\.+", ".", regex.sub("[^a-z0-9_.-]", "", s))
+    s = _GAP.sub(".", s.lower()).translate(_FOLD)
+    s = _DOTS.sub(".", _FOREIGN.sub("", s))
     return tld_alias(s.strip("."))
 
 
+@lru_cache(maxsize=65536)
 def latin_letters(s: str) -> int:
     return sum("a" <= ch <= "z" for ch in s.lower())
 
@@ -46,7 +48,7 @@ def is_domain_token(s: str) -> bool:
         return False
     if is_latin_label(s):
         return True
-    if len(s) > 3 and _CYRILLIC.search(s) and not regex.search("[A-Za-z]", s):
+    if len(s) > 3 and _CYRILLIC.search(s) and not _LATIN.search(s):
         return False
     out = latin_domain(s)
     return len(out) <= 24 and is_latin_label(out)

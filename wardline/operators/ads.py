@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import NamedTuple
 
 import regex
@@ -20,8 +21,13 @@ def handles(s: str) -> list[str]:
     return [h for h in dict.fromkeys(map(compact, found)) if 4 <= len(h) <= 32]
 
 
+_WORDS = regex.compile(r"[^\p{L}\p{N}@]+")
+_NAME = regex.compile(r"[A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*")
+_form = lru_cache(maxsize=65536)(compact)
+
+
 def significant_tokens(s: str) -> list[str]:
-    words = [compact(w.removeprefix("@")) for w in regex.split(r"[^\p{L}\p{N}@]+", s.lower())]
+    words = [_form(w.removeprefix("@")) for w in dict.fromkeys(_WORDS.split(s.lower()))]
     return [t for t in dict.fromkeys([compact(s), *words]) if len(t) >= 4]
 
 
@@ -117,13 +123,20 @@ def targets(s: str) -> list[Target]:
         if _is_domain(norm):
             found.append(Target(norm, "domain", s[a:b], a, b))
     for t in tokens:
-        form = compact(t[0])
-        if regex.fullmatch(r"[A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*", t[0]) and 4 <= len(form) <= 32 and latin_letters(t[0]) >= 4:
-            if form not in fixed.TARGET_STOP and form not in fixed.TARGET_TLDS:
-                found.append(Target(form, "name", t[0], *t.span()))
+        if form := _name_form(t[0]):
+            found.append(Target(form, "name", t[0], *t.span()))
     return list({(t.kind, t.form): t for t in reversed(found)}.values())[::-1]
 
 
+@lru_cache(maxsize=65536)
+def _name_form(token: str) -> str | None:
+    """The folded form of a token that can be a Latin name."""
+    form = compact(token)
+    if not _NAME.fullmatch(token) or not 4 <= len(form) <= 32 or latin_letters(token) < 4 or form in fixed.TARGET_STOP or form in fixed.TARGET_TLDS:
+        return None
+    return form
+
+
 @dataclass(frozen=True)
 class Template:
     raw: str
@@ -173,7 +186,7 @@ class Templates:
         if not s or len(s) < self.min_length or not self.templates:
             return None
         form = compact(s)
-        if len(form) < self.min_length - 2 or self._hopeless(form, 400):
+        if len(form) < self.min_length - 2:
             return None
         found = targets(s)
         if not found or self._hopeless(form, max(len(t.raw) for t in found)):

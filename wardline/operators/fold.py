@@ -7,8 +7,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 KEYS = ("msg_id", "ts", "user_id")
 
@@ -42,30 +45,8 @@ class Fold(ABC):
         return messages.select(F.col("msg_id").cast("long"), F.col("ts").cast("timestamp_ntz"), F.col("user_id").cast("long"), F.unix_millis(F.col("ts").cast("timestamp")).alias("_ms"), *own)
 
     def batch(self, messages: DataFrame) -> DataFrame:
-        """msg_id, ts, user_id and the added columns. Users are dealt over tasks and streamed in order of (ts, msg_id): a task holds one
-        user's state, never a user's messages."""
-        n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = self.prepared(messages).repartition(n, "user_id").sortWithinPartitions("user_id", "ts", "msg_id")
-        names = [*KEYS, *(n for n, _ in self.adds)]
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            user, state, started = None, None, False
-            for pdf in batches:
-                out = []
-                for row in pdf.to_dict("records"):
-                    who = None if pd.isna(row["user_id"]) else row["user_id"]
-                    if not started or who != user:
-                        user, state, started = who, self.new(), True
-                    out.append(self.step(state, int(row["_ms"]), clean(row)))
-                added = pd.DataFrame(out, columns=names[3:], index=pdf.index, dtype=object)
-                for n, t in self.adds:
-                    if t in ("int", "long"):
-                        added[n] = added[n].astype("Int64")
-                    elif t == "boolean":
-                        added[n] = added[n].astype("boolean")
-                yield pd.concat([pdf[list(KEYS)], added], axis=1)
-
-        return dealt.mapInPandas(work, self.schema())
+        """msg_id, ts, user_id and the added columns; see along()."""
+        return along(self.prepared(messages), (self, {c: c for c in self.needs})).select(*KEYS, *(n for n, _ in self.adds))
 
     def stream(self, messages: DataFrame, late: str = "10 seconds") -> DataFrame:
         """The same over a stream: rows wait for the watermark, then run in order; rows later than that are dropped by Spark."""
@@ -74,5 +55,45 @@ class Fold(ABC):
         return run(self, messages, late)
 
 
+def along(messages: DataFrame, *folds: tuple[Fold, dict[str, str]]) -> DataFrame:
+    """The messages with what folds add, in one pass. Each fold comes with the column that each of its needs is read from.
+
+    Users are dealt over tasks and streamed in order of (ts, msg_id): a task holds one user's state, never a user's messages, and a row
+    comes out once whatever its msg_id. Rows without a user have no record and stand alone; rows without a time (``_ms``, if there is that
+    column, else from ts) change no record and get nulls. Rows that agree in user, time, msg_id and the columns that are read are interchangeable.
+    """
+    if not folds:
+        return messages
+    timed = messages if "_ms" in messages.columns else messages.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    reads = list(dict.fromkeys(c for _, own in folds for c in own.values()))
+    plain = [c for c in reads if timed.schema[c].dataType.typeName() not in ("struct", "array", "map")]
+    n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alone = F.when(F.col("user_id").isNull(), F.xxhash64("ts", "msg_id", *plain))
+    dealt = timed.repartition(n, "user_id", alone).sortWithinPartitions("user_id", "ts", "msg_id", *plain)
+    kept = [c for c in messages.columns if c != "_ms"]
+    fields = [T.StructField(c, timed.schema[c].dataType) for c in kept]
+    adds = [T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in fold.adds)).fields for fold, _ in folds]
+    kinds = [[to_arrow_type(f.dataType) for f in own] for own in adds]
+    names = [*kept, *(f.name for own in adds for f in own)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, states = None, []
+        for batch in batches:
+            users, times = batch.column("user_id").to_pylist(), batch.column("_ms").to_pylist()
+            values = {c: batch.column(c).to_pylist() for c in reads}
+            made = [[[] for _ in own] for own in kinds]
+            for i, (who, at) in enumerate(zip(users, times, strict=True)):
+                if not states or who is None or who != user:
+                    user, states = who, [fold.new() for fold, _ in folds]
+                for (fold, own), state, cols in zip(folds, states, made, strict=True):
+                    got = (None,) * len(cols) if at is None else fold.step(state, at, {need: values[c][i] for need, c in own.items()})
+                    for col, value in zip(cols, got, strict=True):
+                        col.append(value)
+            new = [pa.array(col, kind) for cols, own in zip(made, kinds, strict=True) for col, kind in zip(cols, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=names)
+
+    return dealt.mapInArrow(work, T.StructType([*fields, *(T.StructField(f.name, f.dataType) for own in adds for f in own)]))
+
+
 def clean(row: dict) -> dict:
     return {k: None if not isinstance(v, (list, dict)) and pd.isna(v) else v for k, v in row.items()}

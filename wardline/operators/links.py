@@ -18,12 +18,18 @@ from wardline.functions.normalize import text
 from wardline.operators.ads import AdScorer
 from wardline.operators.spans import java
 
+#: Different words whose reading as a last label a finder remembers.
+REMEMBERED = 100_000
 SPAN = "array<struct<start: int, end: int, text: string>>"
 _HARD = r"[.,;/\\․·]"
 _ALIAS = r"(?:точка|тчк|dot)(?![\p{L}\p{Nd}_-])"
 _LABEL = regex.compile(r"[\p{L}\p{Nd}_-]+")
 _BREAK = regex.compile(rf"(?:{_ALIAS}|{_HARD}|[()\[\]{{}}]|\s)+", regex.I)
 _REAL_BREAK = regex.compile(rf"{_HARD}|{_ALIAS}", regex.I)
+_ALIAS_WORD = regex.compile(_ALIAS, regex.I)
+_QUICK = regex.compile(r"[.,;/\\․·:@\[({]")
+_PARTS = regex.compile(rf"(?:\s|{_HARD})+")
+_SPACE = regex.compile(r"\s")
 _SHORT_DOMAIN = regex.compile(r"[a-z0-9-]{2,}\.[a-z0-9-]{2,}")
 _TRAIL = ".,;!?)]\"'"
 
@@ -61,12 +67,13 @@ class LinkFinder:
         self.domains = frozenset(d for d in (host(for_detection(x)) for x in cfg.domains if x.strip()) if d)
         self.pattern = link_pattern(cfg.regex)
         self.ads = AdScorer(cfg.ads, names)
+        self.endings: dict[str, bool] = {}
 
     def may_hold_link(self, s: str) -> bool:
         low = s.lower()
-        if regex.search(r"[.,;/\\․·:@\[({]", s) or any(w in low for w in (*self.cfg.triggers, "dot", "точка", "тчк")):
+        if _QUICK.search(s) or any(w in low for w in (*self.cfg.triggers, "dot", "точка", "тчк")):
             return True
-        return any(2 <= len(t) <= 24 and t.lower().rstrip(_TRAIL) in self.tlds and len(t.rstrip(_TRAIL)) >= 2 for t in regex.split(rf"(?:\s|{_HARD})+", s))
+        return any(2 <= len(t) <= 24 and t.lower().rstrip(_TRAIL) in self.tlds and len(t.rstrip(_TRAIL)) >= 2 for t in _PARTS.split(s))
 
     def is_valid(self, norm: str) -> bool:
         parts = norm.rstrip(".").split(".")
@@ -97,9 +104,12 @@ class LinkFinder:
         while label := _LABEL.search(s, at):
             start, end, real = label.start(), label.end(), 0
             while gap := _BREAK.match(s, end):
-                hard = _REAL_BREAK.search(gap[0]) is not None or self._alias_within(s, gap)
+                spaces = gap[0].isspace()
+                hard = not spaces and (_REAL_BREAK.search(gap[0]) is not None or _ALIAS_WORD.search(s, gap.start(), gap.end()) is not None)
+                if not hard and not (real and (spaces or _SPACE.search(gap[0]))):
+                    break
                 label = _LABEL.match(s, gap.end())
-                if not label or not (hard or (real and regex.search(r"\s", gap[0]))):
+                if not label:
                     break
                 real += hard
                 end = label.end()
@@ -107,16 +117,22 @@ class LinkFinder:
                 yield Span(start, end, s[start:end])
             at = max(start + 1, end)
 
-    @staticmethod
-    def _alias_within(s: str, gap: regex.Match) -> bool:
-        return regex.compile(_ALIAS, regex.I).search(s, gap.start(), gap.end()) is not None
+    def _ends(self, label: str) -> bool:
+        """Whether a word by itself can end a domain spelt with spaces."""
+        got = self.endings.get(label)
+        if got is None:
+            last = for_detection(label)
+            got = last in self.tlds and last not in fixed.SPACED_TLD_STOP
+            if len(self.endings) >= REMEMBERED:
+                self.endings.clear()
+            self.endings[label] = got
+        return got
 
     def spaced(self, s: str) -> Iterator[Span]:
         """A known last label after up to six words that could be labels, with enough Latin letters."""
         labels = list(_LABEL.finditer(s))
         for i, m in enumerate(labels):
-            last = for_detection(m[0])
-            if last not in self.tlds or last in fixed.SPACED_TLD_STOP:
+            if not self._ends(m[0]):
                 continue
             first = i
             while first > max(0, i - 6) and is_domain_token(labels[first - 1][0]):

@@ -34,26 +34,50 @@ def blocked_by(decider: Column, cfg: Settings = Settings()) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in modes.items() for x in kv))[decider] == BLOCKS, F.lit(False))
 
 
-def side(caps: Column, words: Column, choice: str, own: str) -> tuple[Column, Column]:
-    """(capitals act, the word filter acts) where both are active: ``caps``, ``both``, or the word filter."""
-    together = caps & words
-    return ~together | F.lit(choice in ("caps", "both")), ~together | F.lit(choice in (own, "both"))
-
-
 def sides(caps: Column, blocked: Column, bad: Column, cfg: Settings, notices: bool) -> dict[str, Column]:
-    """Which of capitals, blocked words and bad words act on a message, for its text or for its notices."""
+    """Which of capitals, blocked words and bad words act on a message, for its text or for its notices.
+
+    Where blocked words are active their setting alone says whether capitals act, else that of bad words.
+    """
     c = cfg.caps
-    choice = (c.notify_blocked, c.notify_bad) if notices else (c.filter_blocked, c.filter_bad)
-    caps_1, blocked_on = side(caps, blocked, choice[0], "blockedwords")
-    caps_2, bad_on = side(caps, bad, choice[1], "badwords")
-    return {"caps": caps & caps_1 & caps_2, "blocked_words": blocked & blocked_on, "bad_words": bad & bad_on}
+    by_blocked, by_bad = (c.notify_blocked, c.notify_bad) if notices else (c.filter_blocked, c.filter_bad)
+    caps_on = F.when(blocked, F.lit(by_blocked != "blockedwords")).when(bad, F.lit(by_bad != "badwords")).otherwise(True)
+    return {"caps": caps & caps_on, "blocked_words": blocked & (~caps | F.lit(by_blocked != "caps")), "bad_words": bad & (~caps | F.lit(by_bad != "caps"))}
+
 
+def applies(name: str, bypass: str | None) -> Column:
+    """Whether a filter looks at a row; ``bypass`` names a column with the filters that do not, null for none."""
+    return F.lit(True) if bypass is None else ~F.coalesce(F.array_contains(bypass, name), F.lit(False))
 
-def decide(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Adds decided_by and blocked to blocked_words, bad_words, links (arrays) and is_caps."""
-    active = {name: F.size(name) > 0 for name in PRIORITY[:3]} | {"caps": F.col("is_caps")}
-    decider = first_active(active)
-    return df.withColumn("decided_by", decider).withColumn("blocked", blocked_by(F.col("decided_by"), cfg))
+
+def decide(df: DataFrame, cfg: Settings = Settings(), bypass: str | None = None) -> DataFrame:
+    """Adds decided_by and blocked to blocked_words, bad_words, links (arrays) and is_caps.
+
+    The first filter in order of priority that is enabled, not bypassed, has found something, and is not passed over for capitals or words.
+    """
+    enabled = {name: F.lit(on) & applies(name, bypass) for name, _, _, on in filter_types(cfg)}
+    active = {name: (F.size(name) > 0) & enabled[name] for name in PRIORITY[:3]} | {"caps": F.col("is_caps") & enabled["caps"]}
+    active |= sides(active["caps"], active["blocked_words"], active["bad_words"], cfg, False)
+    return df.withColumn("decided_by", first_active(active)).withColumn("blocked", blocked_by(F.col("decided_by"), cfg))
+
+
+def bypass_sets(messages: DataFrame, users: DataFrame | None = None, groups: DataFrame | None = None, members: DataFrame | None = None, cfg: Settings = Settings()) -> DataFrame:
+    """Adds ``bypassed``, the sorted names of the filters that do not look at a message.
+
+    These are the disabled ones, those that its user is exempt from (users: user_id, filter, from permissions or lists of names), and those
+    that one of the user's groups is exempt from (groups: group, filter; members: user_id, group). Messages without a user have the
+    disabled ones only; null and repeated rows of the tables add nothing.
+    """
+    off = F.array(*[F.lit(name) for name, _, _, on in filter_types(cfg) if not on]).cast("array<string>")
+    exempt = [] if users is None else [users.select("user_id", "filter")]
+    if groups is not None and members is not None:
+        exempt.append(members.join(groups, "group").select("user_id", "filter"))
+    if not exempt:
+        return messages.withColumn("bypassed", F.array_sort(off))
+    both = exempt[0] if len(exempt) == 1 else exempt[0].union(exempt[1])
+    own = both.filter("user_id IS NOT NULL AND filter IS NOT NULL").groupBy("user_id").agg(F.collect_set("filter").alias("_own"))
+    none = F.array().cast("array<string>")
+    return messages.join(own, "user_id", "left").withColumn("bypassed", F.array_sort(F.array_union(F.coalesce("_own", none), off))).drop("_own")
 
 
 def spam_blocks(reason: Column) -> Column:
@@ -82,17 +106,18 @@ def violations(events: DataFrame, stages: DataFrame | Iterable[int] = (1, 3, 5,
         spans = events.withColumn("_new", F.coalesce((gap > keep_ms).cast("int"), F.lit(0))).withColumn("_span", F.sum("_new").over(line))
         counted = spans.withColumn("at_count", F.row_number().over(Window.partitionBy(*own, "_span").orderBy(*order))).drop("_new", "_span")
     if isinstance(stages, DataFrame):
-        return counted.join(F.broadcast(stages.select("at_count").distinct().withColumn("fires", F.lit(True))), "at_count", "left").withColumn("fires", F.coalesce("fires", F.lit(False)))
+        own = stages.select("at_count").distinct().withColumn("fires", F.lit(True))  # as large as the settings say; Spark chooses the join
+        return counted.join(own, "at_count", "left").withColumn("fires", F.coalesce("fires", F.lit(False)))
     return counted.withColumn("fires", F.col("at_count").isin(*stages))
 
 
-def notices(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+def notices(df: DataFrame, cfg: Settings = Settings(), bypass: str | None = None) -> DataFrame:
     """msg_id, user_id, filter, item: a row for every filter that announces a message and each distinct thing it found.
 
     Where links block, the item is the whole message.
     """
-    active = {name: F.size(name) > 0 for name in PRIORITY[:3]}
-    acts = sides(F.col("is_caps"), active["blocked_words"], active["bad_words"], cfg, True)
+    active = {name: (F.size(name) > 0) & applies(name, bypass) for name in PRIORITY[:3]}
+    acts = sides(F.col("is_caps") & applies("caps", bypass), active["blocked_words"], active["bad_words"], cfg, True)
     whole = F.array("text")
     items = {
         "blocked_words": F.array_distinct("blocked_words"),
@@ -105,11 +130,37 @@ def notices(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     return df.select("msg_id", "user_id", F.inline(rows)).select("msg_id", "user_id", "filter", F.explode("items").alias("item"))
 
 
-def fan_out(notes: DataFrame, admins: DataFrame, self_too: bool = False) -> DataFrame:
-    """Every notice to every admin (admin_id) but its author. Up to 10,000 admins are broadcast, more are shuffled."""
-    few = admins.select("admin_id").distinct()
-    out = notes.crossJoin(F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few)
-    return out if self_too else out.filter(F.col("admin_id") != F.col("user_id"))
+#: Admins that a notice is copied to by each task; more are dealt out first.
+ADMINS = 10_000
+
+
+def fan_out(notes: DataFrame, admins: DataFrame, self_too: bool = False, preferences: DataFrame | None = None) -> DataFrame:
+    """Every notice to every admin (admin_id) but its author: by definition as many rows as notices times admins.
+
+    Only admins who are online count, where the table says so (online), and who have not switched notices off (preferences: user_id,
+    enabled; the last word is the table's only row of a user). Notices without an author go to all. Admins are folded into sorted blocks of
+    ADMINS ids, so notices meet blocks, not rows.
+    """
+    few = admins.filter(F.coalesce(F.col("online"), F.lit(False))) if "online" in admins.columns else admins
+    few = few.select("admin_id").filter("admin_id IS NOT NULL").distinct()
+    if preferences is not None:
+        few = few.join(preferences.filter(~F.col("enabled")).select(F.col("user_id").alias("admin_id")), "admin_id", "left_anti")
+    n = few.count()
+    if n <= ADMINS:
+        blocks = few.agg(F.array_sort(F.collect_list("admin_id")).alias("_admins"))
+        met = notes.join(F.broadcast(blocks))
+    else:
+        parts = -(-n // ADMINS)
+        blocks = few.groupBy(F.pmod(F.xxhash64("admin_id"), F.lit(parts)).alias("_part")).agg(F.collect_list("admin_id").alias("_admins"))
+        met = notes.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(blocks, "_part").drop("_part")
+    out = met.withColumn("admin_id", F.explode("_admins")).drop("_admins")
+    return out if self_too else out.filter(~F.col("admin_id").eqNullSafe(F.col("user_id")))
+
+
+def preferred(preferences: DataFrame, changes: DataFrame) -> DataFrame:
+    """user_id, enabled after changes (user_id, enabled, ord) in order; a user without a row gets notices."""
+    last = changes.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.max_by("enabled", "ord").alias("enabled"))
+    return preferences.select("user_id", "enabled").join(last.select("user_id"), "user_id", "left_anti").unionByName(last)
 
 
 def punish(actions: Column, values: dict[str, Column]) -> Column:

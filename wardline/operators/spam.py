@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,6 @@ class Result(NamedTuple):
 class Recent(NamedTuple):
     at: int
     form: str
-    words: frozenset[str]
 
 
 @dataclass
@@ -36,8 +37,10 @@ class State:
 
 
 _LETTERS = regex.compile(r"(\p{L})\1+", regex.I)
+_WORD_GAPS = regex.compile(r"[^\p{L}\p{N}\s\x1c-\x1f]")
 
 
+@lru_cache(maxsize=256)
 def similarity_form(s: str) -> str:
     s = s.lower()
     if not s.isascii():
@@ -45,23 +48,25 @@ def similarity_form(s: str) -> str:
     return _LETTERS.sub(r"\1", s).strip("".join(map(chr, range(33))))
 
 
+@lru_cache(maxsize=256)
 def words_of(form: str) -> frozenset[str]:
-    return frozenset(w for w in (regex.sub(r"[^\p{L}\p{N}]", "", t) for t in form.split()) if w)
+    return frozenset(_WORD_GAPS.sub("", form).split())
 
 
 def distance_up_to(a: str, b: str, most: int) -> int:
-    """Levenshtein distance within a band; most + 1 for anything above."""
+    """Levenshtein distance, of which only the band around the diagonal is worked out; most + 1 for anything above."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
+    over = most + 1
+    row = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)) if abs(i - j) <= most else most + 1)
+        new, low, high = {}, max(0, i - most), min(len(b), i + most)
+        for j in range(low, high + 1):
+            new[j] = i if j == 0 else min(new.get(j - 1, over) + 1, row.get(j, over) + 1, row.get(j - 1, over) + (x != b[j - 1]))
+        if min(new.values()) > most:
+            return over
         row = new
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+    return min(row[len(b)], over)
 
 
 def similar(a: Recent, b: Recent, percent: int) -> bool:
@@ -70,17 +75,30 @@ def similar(a: Recent, b: Recent, percent: int) -> bool:
     if abs(len(a.form) - len(b.form)) > 6:
         return False
     short = min(len(a.form), len(b.form)) < 8
-    union = len(a.words | b.words)
-    if union and len(a.words & b.words) / union >= (0.85 if short else percent / 100):
+    x, y = words_of(a.form), words_of(b.form)
+    if x | y and len(x & y) / len(x | y) >= (0.85 if short else percent / 100):
         return True
     most = 2 if short else 4
     return distance_up_to(a.form, b.form, most) <= most
 
 
-def is_flood(s: str, cfg: Spam) -> bool:
-    if regex.search(rf"(.)\1{{{cfg.flood_chars},}}", s, regex.S):
+def _longest_run(codes: np.ndarray, gap: int) -> int:
+    """The longest row of characters that equal the one ``gap`` places on."""
+    apart = np.flatnonzero(codes[:-gap] != codes[gap:])
+    return int(np.diff(apart, prepend=-1, append=max(0, len(codes) - gap)).max()) - 1
+
+
+@lru_cache(maxsize=256)
+def _is_flood(s: str, chars: int, patterns: int) -> bool:
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) > 1 and _longest_run(codes, 1) >= max(1, chars) or (chars < 1 and s != ""):
         return True
-    return cfg.flood_patterns > 1 and regex.search(rf"(.{{2,4}})\1{{{cfg.flood_patterns},}}", s, regex.S) is not None
+    return patterns > 1 and any(len(codes) > n and _longest_run(codes, n) >= n * patterns for n in (2, 3, 4))
+
+
+def is_flood(s: str, cfg: Spam) -> bool:
+    """A character followed by as many of itself as the limit, or two to four characters that do the same."""
+    return _is_flood(s, cfg.flood_chars, cfg.flood_patterns)
 
 
 def _within(s: str, least: int, most: int) -> bool:
@@ -93,11 +111,10 @@ def _left(ms: int) -> int:
 
 def step(cfg: Spam, state: State, at: int, s: str, first_seen: int | None = None) -> Result | None:
     """Result for a message (None: accepted), changing the state. first_seen None: the user is new at this moment."""
-    now = Recent(at, similarity_form(s), frozenset())
+    now = Recent(at, similarity_form(s))
     if state.checked and at - state.checked[1] <= cfg.dedupe_ms and state.checked[0] == now.form:
         old = state.checked[2]
         return old and old._replace(duplicate=True)
-    now = now._replace(words=words_of(now.form))
     state.history = [r for r in state.history if at - r.at <= cfg.state_ttl_ms]
     result = _locked(cfg, at, first_seen) or _flooded(cfg, state, at, s) or _repeated(cfg, state, now, s) or _hasty(cfg, state, at, s)
     if result is None:
@@ -150,6 +167,8 @@ class SpamFold(Fold):
         return State()
 
     def step(self, state: State, at: int, row: dict) -> tuple:
+        if row.get("watched") is False:  # bypassed messages leave no trace
+            return None, None, None
         first = row.get("first_seen")
         got = step(self.cfg, state, at, row["text"] or "", at - self.cfg.lock_ms if first is None else first)
         return (None, None, None) if got is None else tuple(got)
@@ -165,7 +184,7 @@ class SpamFold(Fold):
         history, checked, flooded = json.loads(text)
         if checked:
             checked = (checked[0], checked[1], checked[2] and Result(*checked[2]))
-        return State([Recent(at, form, words_of(form)) for at, form in history], checked, flooded)
+        return State([Recent(at, form) for at, form in history], checked, flooded)
 
 
 def spam(messages: DataFrame, cfg: Spam = Spam()) -> DataFrame:

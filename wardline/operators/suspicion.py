@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.config import Links
 from wardline.functions.chars import ad_similarity, compact, contains_spaced
+from wardline.functions.normalize import text
 from wardline.operators.ads import Hit, Signals, is_weak
-from wardline.operators.fold import Fold
-from wardline.operators.links import LinkFinder, Span, disjoint
+from wardline.operators.fold import Fold, along
+from wardline.operators.links import SPAN, LinkFinder, Span, disjoint
+
+#: What a text alone says about links and advertising; the record of its user decides the rest.
+ADS = f"struct<links: {SPAN}, hinted: boolean, handles: array<string>, keywords: array<string>, phrase: boolean, urlish: boolean>"
 
 
 class Print(NamedTuple):
@@ -33,11 +39,12 @@ class Record:
 class SuspicionFold(Fold):
     """Blocked spans of each message under its user's record. Any blocked link raises the level, hit or not; time without one clears it."""
 
-    needs = ("text",)
     adds = (("links", "array<struct<start: int, end: int, text: string>>"), ("level", "int"), ("ad_score", "int"))
 
-    def __init__(self, cfg: Links = Links(), names: Iterable[str] = ()):
-        self.cfg, self.names = cfg, tuple(names)
+    def __init__(self, cfg: Links = Links(), names: Iterable[str] = (), ready: bool = False):
+        """ready: messages come with ads(), which is then not worked out again."""
+        self.cfg, self.names, self.ready = cfg, tuple(names), ready
+        self.needs = ("text", "ads") if ready else ("text",)
         self.ttl_ms = 2 * cfg.ads.ttl_ms
         self._finder: LinkFinder | None = None
 
@@ -53,15 +60,24 @@ class SuspicionFold(Fold):
     def new(self) -> Record:
         return Record()
 
-    def evaluate(self, r: Record, at: int, s: str, linked: bool) -> tuple[list[Hit], int]:
-        ads, cfg = self.finder.ads, self.cfg.ads
+    def view(self, s: str) -> dict:
+        """What ads() gives for a text."""
+        links, ads = self.finder.links(s), self.finder.ads
+        x = ads.signals(s, bool(links), 1) if self.cfg.ads.enabled and len(s) >= 3 else None
+        if x is None:
+            return {"links": [m._asdict() for m in links], "hinted": False, "handles": [], "keywords": [], "phrase": False, "urlish": False}
+        hinted = bool(links) or "@" in s or x.urlish or x.phrase is not None
+        return {"links": [m._asdict() for m in links], "hinted": hinted, "handles": list(x.handles), "keywords": list(x.keywords), "phrase": x.phrase is not None, "urlish": x.urlish}
+
+    def evaluate(self, r: Record, at: int, s: str, v: dict) -> tuple[list[Hit], int]:
+        ads, cfg, linked = self.finder.ads, self.cfg.ads, bool(v["links"])
         if not cfg.enabled or len(s) < 3:
             return [], 0
         if r.level and at - r.at > cfg.ttl_ms:
             r.level, r.history, r.handles, r.keywords = 0, [], [], []
-        x = ads.signals(s, linked, r.level)
-        if x is None:
+        if not r.level and not v["hinted"]:
             return [], 0
+        x = Signals(s, compact(s), tuple(v["handles"]), tuple(v["keywords"]), any(not is_weak(k) for k in v["keywords"]), linked, v["urlish"], v["phrase"])
         score, hits = ads.first_hits(x, r.level)
         if r.level:
             hits += self._elevated(r, x, score)
@@ -70,7 +86,7 @@ class SuspicionFold(Fold):
             r.level, r.at = min(cfg.max_level, r.level + 1), at
             r.handles = list(dict.fromkeys([*r.handles, *(h for h in x.handles if len(h) >= 4)]))
             r.keywords = list(dict.fromkeys([*r.keywords, *(k for k in x.keywords if not is_weak(k))]))
-            r.history = [*r.history, Print(compact(s), x.handles)][-cfg.history :]
+            r.history = [*r.history, Print(x.form, x.handles)][-cfg.history :]
         return accepted, score
 
     def _elevated(self, r: Record, x: Signals, base: int) -> list[Hit]:
@@ -97,11 +113,16 @@ class SuspicionFold(Fold):
         return hits
 
     def step(self, state: Record, at: int, row: dict) -> tuple:
+        """Blocked spans, the level after the message, its score. A message whose ads are null, where those are ready, is not looked at."""
         s = row["text"] or ""
-        found = self.finder.links(s)
-        hits, score = self.evaluate(state, at, s, bool(found))
-        spans = disjoint([*found, *(Span(h.start, h.end, h.text) for h in hits)]) if hits else found
-        return [m._asdict() for m in spans], state.level, score
+        v = row["ads"] if self.ready else self.view(s)
+        if v is None:
+            return [], state.level, 0
+        hits, score = self.evaluate(state, at, s, v)
+        if not hits:
+            return v["links"], state.level, score
+        found = [Span(**m) for m in v["links"]]
+        return [m._asdict() for m in disjoint([*found, *(Span(h.start, h.end, h.text) for h in hits)])], state.level, score
 
     def dump(self, state: Record) -> str:
         return json.dumps([state.level, state.at, state.history, state.handles, state.keywords])
@@ -111,5 +132,24 @@ class SuspicionFold(Fold):
         return Record(level, at, [Print(f, tuple(h)) for f, h in history], handles, keywords)
 
 
-def suspicion(messages: DataFrame, cfg: Links = Links(), names: Iterable[str] = ()) -> DataFrame:
-    return SuspicionFold(cfg, names).batch(messages)
+def ads(spark: SparkSession, cfg: Links = Links(), names: Iterable[str] = ()):
+    """A function from a text column to what it says by itself, for a fold that is ready; null for null. Settings are broadcast."""
+    sent = spark.sparkContext.broadcast((cfg, tuple(names)))
+
+    @F.pandas_udf(ADS)
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fold = SuspicionFold(*sent.value)
+        for s in batches:
+            yield pd.DataFrame([None if t is None else fold.view(t) for t in s], columns=list(fold.view("")), index=s.index) if len(s) else pd.DataFrame(columns=list(fold.view("")))
+
+    return lambda c: F.when(c.isNotNull(), look(F.coalesce(c, F.lit(""))))
+
+
+def suspicion(messages: DataFrame, cfg: Links = Links(), names: Iterable[str] = (), distinct: bool = True) -> DataFrame:
+    """msg_id, ts, user_id, links, level and ad_score; with ``distinct`` each different text is looked at once and joined back by its digest."""
+    if not distinct:
+        return SuspicionFold(cfg, names).batch(messages)
+    own = messages.select("msg_id", "ts", "user_id", text("text").alias("text")).withColumn("_key", F.sha2("text", 256))
+    once = own.select("_key", "text").dropDuplicates(["_key"]).select("_key", ads(messages.sparkSession, cfg, names)(F.col("text")).alias("ads"))
+    fold = SuspicionFold(cfg, names, True)
+    return fold.batch(own.join(once, "_key"))

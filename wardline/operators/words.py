@@ -15,6 +15,8 @@ from wardline.config import Words
 from wardline.functions.chars import alnum_span, compact, folded, has_obfuscation, lexical, one_deletion
 from wardline.operators.lexicon import FUZZY_FROM, SHORTEST, Matchers, matches_of
 
+#: Different tokens, of at most so many characters, whose analysis an engine remembers.
+REMEMBERED, MEMO_CHARS = 100_000, 64
 MATCH = "array<struct<start: int, end: int, dict_word: string, text: string, confidence: int, reason: string>>"
 _TOKEN = regex.compile(r"\S+")
 _ALNUM = regex.compile(r"[\p{L}\p{Nd}]+")
@@ -70,26 +72,60 @@ def greedy(matches: Iterable[Match]) -> list[Match]:
     return out
 
 
+class Token(NamedTuple):
+    """What is known of a token wherever it stands; places count from its start."""
+
+    form: str
+    matches: tuple[Match, ...]
+    safe: tuple[tuple[int, int], ...]
+
+
+def _holds(automaton, form: str) -> bool:
+    return any(True for _ in matches_of(automaton, form))
+
+
 class Engine:
     def __init__(self, matchers: Matchers, level: str = "high", names: frozenset[str] = frozenset(), fuzzy_from: int = FUZZY_FROM):
         self.m, self.level, self.names, self.fuzzy_from = matchers, level.lower(), names, fuzzy_from
         self.fuzzy = self.level == "high"
         self.gap = {"low": 0, "medium": 2}.get(self.level, 3)
         self.least = 80 if self.fuzzy else 70
+        self.memo: dict[str, Token] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
+    def token(self, text: str) -> Token:
+        got = self.memo.get(text)
+        if got is None:
+            form, matches, safe = compact(text), [], []
+            other = not text.isascii()  # the views of an ASCII token are parts of its form, so what is not in that is in no view
+            if max(len(form), len(text)) >= SHORTEST:
+                if other or _holds(self.m.exact_automaton, form):
+                    matches += self._streams(text)
+                if self.fuzzy and self.m.fuzzy and (other or _holds(self.m.fuzzy_automaton, form)) and has_obfuscation(text):
+                    matches += self._fuzzy(text)
+            if len(text) >= SHORTEST and self.m.safe_automaton is not None and (other or _holds(self.m.safe_automaton, form)):
+                safe = [(view.last[a], view.last[b - 1] + 1) for view in views(text, None) for a, b, _ in matches_of(self.m.safe_automaton, view.text)]
+            got = Token(form, tuple(matches), tuple(safe))
+            if len(text) <= MEMO_CHARS:
+                if len(self.memo) >= REMEMBERED:
+                    self.memo.clear()
+                self.memo[text] = got
+        return got
 
     def find(self, s: str | None) -> list[Match]:
         if not s or len(s) < SHORTEST or not self.m.words:
             return []
         if self.level == "low":
             return greedy(self._whole_tokens(s))
-        tokens = [(t.start(), t[0], compact(t[0])) for t in _TOKEN.finditer(s)]
-        found: list[Match] = []
-        for start, text, form in tokens:
-            if max(len(form), len(text)) >= SHORTEST:
-                own = [*self._streams(text)]
-                if self.fuzzy and self.m.fuzzy and has_obfuscation(text):
-                    own += self._fuzzy(text)
-                found += [m._replace(start=m.start + start, end=m.end + start) for m in own]
+        tokens, found = [], []
+        for t in _TOKEN.finditer(s):
+            form, matches, _ = self.token(t[0])
+            start = t.start()
+            tokens.append((start, t[0], form))
+            if matches:
+                found += [m._replace(start=m.start + start, end=m.end + start) for m in matches]
         found += self._fragments(s, tokens)
         if not found:
             return []
@@ -188,13 +224,12 @@ class Engine:
         for start, text, form in tokens:
             if self.names and lexical(text) in self.names and not self._profane(form):
                 out.append((start, start + len(text)))
-            elif self.m.safe_automaton is not None and len(text) >= SHORTEST:
-                for view in views(text, None):
-                    out += [(start + view.last[a], start + view.last[b - 1] + 1) for a, b, _ in matches_of(self.m.safe_automaton, view.text)]
+            else:
+                out += [(start + a, start + b) for a, b in self.token(text).safe]
         return out
 
     def _profane(self, form: str) -> bool:
-        return any(True for automaton in (self.m.exact_automaton, self.m.fuzzy_automaton) for _ in matches_of(automaton, form))
+        return _holds(self.m.exact_automaton, form) or _holds(self.m.fuzzy_automaton, form)
 
 
 def engine(cfg: Words, names: Iterable[str] = ()) -> Engine:

@@ -11,59 +11,103 @@ from wardline.config import Settings
 from wardline.functions.normalize import text
 from wardline.operators import policy
 from wardline.operators.caps import fix_caps, is_caps
-from wardline.operators.links import find_links
+from wardline.operators.fold import along
+from wardline.operators.links import SPAN, find_links
 from wardline.operators.spam import SpamFold
-from wardline.operators.suspicion import SuspicionFold
-from wardline.operators.words import find_words, found_words, replace_spans, rewrite
-
-
-
-def analyzed(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = ()) -> DataFrame:
-    """Adds blocked_words, bad_words, links, is_caps, filtered and final_text to rows with a text; disabled filters add no work."""
-    spark = df.sparkSession
-    out = df.withColumn("filtered", text("text"))
-    for column, own in (("blocked_words", cfg.blocked), ("bad_words", cfg.bad)):
-        if own.enabled and own.words:
-            spans = find_words(spark, own, names)("filtered")
-            out = out.withColumn("_spans", spans).withColumn("filtered", rewrite(F.col("filtered"), F.col("_spans"), own)).withColumn(column, found_words(F.col("_spans"))).drop("_spans")
-        else:
-            out = out.withColumn(column, F.array().cast("array<string>"))
-    if cfg.links.enabled:
-        out = out.withColumn("_spans", find_links(spark, cfg.links, names)("filtered"))
-        if cfg.links.mode != policy.BLOCKS:
-            out = out.withColumn("filtered", replace_spans(F.col("filtered"), F.col("_spans"), lambda m: F.lit(cfg.links.replacement)))
-        out = out.withColumn("links", F.transform("_spans", lambda m: m["text"])).drop("_spans")
+from wardline.operators.suspicion import SuspicionFold, ads
+from wardline.operators.words import MATCH, find_words, found_words, replace_spans, rewrite
+
+#: Columns that moderation adds; those of a table that have these names are replaced.
+ADDED = ("blocked_words", "bad_words", "links", "is_caps", "filtered", "final_text", "decided_by", "blocked")
+
+
+def _words(df: DataFrame, cfg: Settings, names: Iterable[str], bypass: str | None) -> DataFrame:
+    """Adds is_caps, blocked_words, bad_words and filtered; disabled filters add no work.
+
+    Where capitals take precedence over a word filter that found something, the message is looked at again without that filter.
+    """
+    spark, s = df.sparkSession, text("text")
+    none = F.array().cast(MATCH)
+    out = df.withColumn("is_caps", is_caps("text", cfg.caps) & policy.applies("caps", bypass) if cfg.caps.enabled else F.lit(False))
+    look = {name: find_words(spark, own, names) if own.enabled and own.words else None for name, own in (("blocked_words", cfg.blocked), ("bad_words", cfg.bad))}
+
+    def found(name: str, c, on=True):
+        return look[name](F.when(policy.applies(name, bypass) & F.lit(True) & on, c)) if look[name] else none
+
+    out = out.withColumn("_blocked", found("blocked_words", s)).withColumn("_bad", found("bad_words", rewrite(s, F.col("_blocked"), cfg.blocked)))
+    if cfg.caps.enabled and cfg.caps.filter_bad == "caps":
+        out = out.withColumn("_bad_gone", F.col("is_caps") & (F.size("_bad") > 0)).withColumn("_bad", F.when(F.col("_bad_gone"), none).otherwise(F.col("_bad")))
     else:
-        out = out.withColumn("links", F.array().cast("array<string>"))
-    out = out.withColumn("is_caps", is_caps("text", cfg.caps) if cfg.caps.enabled else F.lit(False))
+        out = out.withColumn("_bad_gone", F.lit(False))
+    if cfg.caps.enabled and cfg.caps.filter_blocked == "caps":
+        gone = F.col("is_caps") & (F.size("_blocked") > 0)
+        out = out.withColumn("_gone", gone).withColumn("_again", found("bad_words", s, F.col("_gone") & ~F.col("_bad_gone")))
+        out = out.withColumn("_bad", F.when(F.col("_gone"), F.col("_again")).otherwise(F.col("_bad"))).withColumn("_blocked", F.when(F.col("_gone"), none).otherwise(F.col("_blocked")))
+    masked = rewrite(rewrite(s, F.col("_blocked"), cfg.blocked), F.col("_bad"), cfg.bad)
+    out = out.withColumn("filtered", masked).withColumn("blocked_words", found_words(F.col("_blocked"))).withColumn("bad_words", found_words(F.col("_bad")))
+    return out.drop("_blocked", "_bad", "_bad_gone", "_gone", "_again")
+
+
+def _finished(df: DataFrame, cfg: Settings, bypass: str | None) -> DataFrame:
+    """From the spans of links in filtered (_spans) to links, the final text and the decision."""
+    out = df
+    if cfg.links.mode != policy.BLOCKS:
+        out = out.withColumn("filtered", replace_spans(F.col("filtered"), F.col("_spans"), lambda m: F.lit(cfg.links.replacement)))
+    out = out.withColumn("links", F.transform("_spans", lambda m: m["text"])).drop("_spans")
     acts = policy.sides(F.col("is_caps"), F.size("blocked_words") > 0, F.size("bad_words") > 0, cfg, False)
-    return out.withColumn("final_text", F.when(acts["caps"], fix_caps("filtered", cfg.caps)).otherwise(F.col("filtered")))
+    return policy.decide(out.withColumn("final_text", F.when(acts["caps"], fix_caps("filtered", cfg.caps)).otherwise(F.col("filtered"))), cfg, bypass)
+
+
+def moderate(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = (), bypass: str | None = None) -> DataFrame:
+    """Stateless moderation of rows with a text: adds blocked_words, bad_words, links, is_caps, filtered, final_text, decided_by and blocked.
+
+    ``bypass`` names a column with the filters that do not look at a row (see policy.bypass_sets). Null texts count as empty.
+    """
+    out = _words(df.drop(*ADDED), cfg, names, bypass)
+    spans = find_links(df.sparkSession, cfg.links, names)(F.when(policy.applies("links", bypass), F.col("filtered"))) if cfg.links.enabled else F.array().cast(SPAN)
+    return _finished(out.withColumn("_spans", spans), cfg, bypass)
 
 
-def moderate(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = ()) -> DataFrame:
-    """Stateless moderation of rows with a text; also decided_by and blocked."""
-    return policy.decide(analyzed(df, cfg, names), cfg)
+def _once(df: DataFrame, bypass: str | None, analyze) -> DataFrame:
+    """Adds to each row what ``analyze`` makes of its text and bypassed filters, which is worked out once for each and joined by their digest."""
+    own = F.lit("") if bypass is None else F.array_join(F.array_sort(F.coalesce(bypass, F.array().cast("array<string>"))), ",")
+    keyed = df.drop(*ADDED).withColumn("_key", F.sha2(F.concat(own, F.lit("\x1f"), text("text")), 256))
+    some = keyed.select("_key", text("text").alias("text"), *([bypass] if bypass else [])).dropDuplicates(["_key"])
+    return keyed.join(analyze(some).drop("text", *([bypass] if bypass else [])), "_key").drop("_key")
 
 
-def moderate_distinct(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = ()) -> DataFrame:
+def moderate_distinct(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = (), bypass: str | None = None) -> DataFrame:
     """moderate() where texts repeat: every text is analyzed once and joined back to its rows."""
-    once = moderate(df.select(text("text").alias("text")).distinct(), cfg, names).withColumnRenamed("text", "_text")
-    return df.join(once, text("text") == once["_text"], "left").drop("_text")
+    return _once(df, bypass, lambda some: moderate(some, cfg, names, bypass))
 
 
-def moderate_chat(messages: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = ()) -> DataFrame:
+def moderate_chat(messages: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = (), bypass: str | None = None) -> DataFrame:
     """Moderation of msg_id, ts, user_id, text with each user's spam and advertising record.
 
-    A spam result blocks before anything else; content is analyzed all the same and raises suspicion.
+    Every different text is analyzed once; then one pass over each user's messages steps both records, so a row comes out once whatever its
+    msg_id, null and repeated ones included. Messages without a user stand alone, those without a time have no record. A spam result
+    blocks before anything else; content is analyzed all the same and raises suspicion.
     """
-    done = moderate(messages, cfg, names)
-    spam = SpamFold(cfg.spam).batch(messages).drop("ts", "user_id") if cfg.spam.enabled else None
-    record = SuspicionFold(cfg.links, names).batch(done.select("msg_id", "ts", "user_id", F.col("filtered").alias("text"))) if cfg.links.enabled else None
-    if record is not None:
-        done = done.drop("links").join(record.select("msg_id", F.transform("links", lambda m: m["text"]).alias("links"), "level"), "msg_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
-        done = policy.decide(done.drop("decided_by", "blocked"), cfg)
-    if spam is not None:
-        done = done.join(spam, "msg_id", "left")
+    spark, on = messages.sparkSession, cfg.links.enabled
+
+    def analyze(some: DataFrame) -> DataFrame:
+        out = _words(some, cfg, names, bypass)
+        return out.withColumn("_ads", ads(spark, cfg.links, names)(F.when(policy.applies("links", bypass), F.col("filtered")))) if on else out
+
+    folds = [(SuspicionFold(cfg.links, names, True), {"text": "filtered", "ads": "_ads"})] if on else []
+    done = _once(messages.drop("level", "ad_score", "spam_reason", "spam_remaining_s", "spam_duplicate"), bypass, analyze)
+    if cfg.spam.enabled:
+        watched = policy.applies(policy.SPAM, bypass)
+        first = F.unix_millis(F.col("first_seen").cast("timestamp")) if "first_seen" in messages.columns else F.lit(None).cast("long")
+        done = done.withColumn("_first", first).withColumn("_watched", watched)
+        folds.append((SpamFold(cfg.spam), {"text": "text", "first_seen": "_first", "watched": "_watched"}))
+    out = along(done, *folds)
+    if on:
+        out = out.withColumn("_spans", F.coalesce("links", F.col("_ads.links"), F.array().cast(SPAN))).drop("links", "_ads")
+    else:
+        out = out.withColumn("_spans", F.array().cast(SPAN))
+    out = _finished(out, cfg, bypass)
+    if cfg.spam.enabled:
         stops = policy.spam_blocks(F.col("spam_reason"))
-        done = done.withColumn("decided_by", F.when(stops, F.lit(policy.SPAM)).otherwise(F.col("decided_by"))).withColumn("blocked", stops | F.col("blocked"))
-    return done
+        out = out.withColumn("decided_by", F.when(stops, F.lit(policy.SPAM)).otherwise(F.col("decided_by"))).withColumn("blocked", stops | F.col("blocked"))
+    return out.drop("_first", "_watched")

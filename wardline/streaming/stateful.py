@@ -15,7 +15,10 @@ from wardline.operators.fold import KEYS, Fold, clean
 
 
 class Ordered(StatefulProcessor):
-    """Keeps a user's rows until the watermark has passed them, then steps through them in order of (ts, msg_id)."""
+    """Keeps a user's rows by time until the watermark has passed them, then steps through them in order of (ts, msg_id).
+
+    Each timer reads and removes the rows of its own millisecond; timers of a user fire in order of time. Rows without a user stand alone.
+    """
 
     def __init__(self, fold: Fold):
         self.fold = fold
@@ -23,7 +26,7 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "text string, at long")
-        self.waiting = handle.getListState("waiting", "row string")
+        self.waiting = handle.getMapState("waiting", "ms long", "rows string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -31,29 +34,34 @@ class Ordered(StatefulProcessor):
                 continue
             pdf.columns = [*KEYS, "_ms", *self.fold.needs, "_event"]  # Spark names computed columns by place here
             own = pdf[["msg_id", "user_id", "_ms", *self.fold.needs]].assign(ts=pdf["ts"].astype("datetime64[ns]").astype("int64").astype("string"))
-            items = [(json.dumps({k: _plain(v) for k, v in clean(r).items()}),) for r in own.to_dict("records")]
-            self.waiting.appendList(items)
-            for at in {int(x) for x in pdf["_ms"]}:
+            fresh: dict[int, list[dict]] = {}
+            for r in own.to_dict("records"):
+                fresh.setdefault(int(r["_ms"]), []).append({k: _plain(v) for k, v in clean(r).items()})
+            for at, items in fresh.items():
+                old = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
+                self.waiting.updateValue((at,), (json.dumps(old + items),))
                 self.handle.registerTimer(at + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        rows = [json.loads(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
-        now = sorted((r for r in rows if r["_ms"] < due), key=lambda r: (int(r["ts"]), r["msg_id"]))
-        later = [(json.dumps(r),) for r in rows if r["_ms"] >= due]
-        self.waiting.put(later) if later else self.waiting.clear()
+        at = expiredTimerInfo.getExpiryTimeInMs() - 1
         old = self.state.get() if self.state.exists() else None
-        if not now:
-            if old is not None and old[1] + self.fold.ttl_ms < due and not later:
+        if not self.waiting.containsKey((at,)):
+            if old is not None and old[1] + self.fold.ttl_ms <= at:
                 self.state.clear()
             return
-        state = self.fold.load(old[0]) if old is not None else self.fold.new()
-        out = [(r["msg_id"], pd.Timestamp(int(r["ts"])), r["user_id"], *self.fold.step(state, r["_ms"], r)) for r in now]
-        self.state.update((self.fold.dump(state), now[-1]["_ms"]))
-        self.handle.registerTimer(now[-1]["_ms"] + self.fold.ttl_ms + 2)
+        now = sorted(json.loads(self.waiting.getValue((at,))[0]), key=lambda r: (int(r["ts"]), r["msg_id"] is not None, r["msg_id"] or 0, str(r.get("text"))))
+        self.waiting.removeKey((at,))
+        state, out = self.fold.load(old[0]) if old is not None else self.fold.new(), []
+        for r in now:
+            if r["user_id"] is None:
+                state = self.fold.new()
+            out.append((r["msg_id"], pd.Timestamp(int(r["ts"])), r["user_id"], *self.fold.step(state, at, r)))
+        if now[0]["user_id"] is not None:
+            self.state.update((self.fold.dump(state), at))
+            self.handle.registerTimer(at + self.fold.ttl_ms + 2)
         pdf = pd.DataFrame(out, columns=[*KEYS, *(n for n, _ in self.fold.adds)])
-        for n, t in self.fold.adds:
+        for n, t in [("msg_id", "long"), ("user_id", "long"), *self.fold.adds]:
             if t in ("int", "long"):
                 pdf[n] = pdf[n].astype("Int64")
             elif t == "boolean":
