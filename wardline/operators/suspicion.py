@@ -150,6 +150,7 @@ def suspicion(messages: DataFrame, cfg: Links = Links(), names: Iterable[str] =
     if not distinct:
         return SuspicionFold(cfg, names).batch(messages)
     own = messages.select("msg_id", "ts", "user_id", text("text").alias("text")).withColumn("_key", F.sha2("text", 256))
-    once = own.select("_key", "text").dropDuplicates(["_key"]).select("_key", ads(messages.sparkSession, cfg, names)(F.col("text")).alias("ads"))
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for is not merged for its few bytes
+    once = own.select("_key", "text").dropDuplicates(["_key"]).repartition(parts, "_key").select("_key", ads(messages.sparkSession, cfg, names)(F.col("text")).alias("ads"))
     fold = SuspicionFold(cfg, names, True)
     return fold.batch(own.join(once, "_key"))

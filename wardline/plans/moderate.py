@@ -73,6 +73,7 @@ def _once(df: DataFrame, bypass: str | None, analyze) -> DataFrame:
     own = F.lit("") if bypass is None else F.array_join(F.array_sort(F.coalesce(bypass, F.array().cast("array<string>"))), ",")
     keyed = df.drop(*ADDED).withColumn("_key", F.sha2(F.concat(own, F.lit("\x1f"), text("text")), 256))
     some = keyed.select("_key", text("text").alias("text"), *([bypass] if bypass else [])).dropDuplicates(["_key"])
+    some = some.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")  # analysis is dear; a number that is asked for is not merged
     return keyed.join(analyze(some).drop("text", *([bypass] if bypass else [])), "_key").drop("_key")
 
 

@@ -82,7 +82,7 @@ def sql_domain(x: str) -> str:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return tables.spread(table(spark, d, "documents"))
 
 
 def per_doc(**columns: Column) -> Query:
@@ -91,7 +91,7 @@ def per_doc(**columns: Column) -> Query:
 
 def chat(spark: SparkSession, d: str) -> DataFrame:
     """The events as a chat: each takes the text of a document, in turn."""
-    own = docs(spark, d).select("doc_id", "text")
+    own = table(spark, d, "documents").select("doc_id", "text")
     events, n = table(spark, d, "events"), own.count()
     return events.join(own, events["event_id"] % F.lit(max(1, n)) == own["doc_id"]).select(F.col("event_id").alias("msg_id"), "ts", "user_id", "text", "event_type")
 
@@ -379,7 +379,7 @@ def ad_signals(spark, d):
 
 @q()
 def blocked_links(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.concat_ws(" ", F.lit("see"), "url").alias("text"))
+    pages = tables.spread(table(spark, d, "pages")).select("page_id", F.concat_ws(" ", F.lit("see"), "url").alias("text"))
     return pages.select("page_id", F.inline(links.find_links(spark)("text")))
 
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from wardline.config import clean_list, dictionary, load_yaml, lookup
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows over all cores where a scan gives fewer parts than there are cores, as a file of one row group does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
