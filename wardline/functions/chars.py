@@ -76,22 +76,35 @@ def one_deletion(full: str, reduced: str) -> bool:
 
 
 def is_subsequence(haystack: str, needle: str) -> bool:
-    rest = iter(haystack)
-    return all(ch in rest for ch in needle)
+    at = -1
+    for ch in needle:
+        at = haystack.find(ch, at + 1)
+        if at < 0:
+            return False
+    return True
 
 
-def bigrams(s: str) -> set[str]:
-    return {s[i : i + 2] for i in range(max(1, len(s) - 1))}
+@lru_cache(maxsize=512)
+def bigrams(s: str) -> frozenset[str]:
+    return frozenset(map("".join, zip(s, s[1:], strict=False))) if len(s) > 1 else frozenset((s,))
 
 
-def ad_similarity(a: str, b: str) -> float:
+def ad_similarity(a: str, b: str, least: float = 0.0) -> float:
+    """Shared bigrams, more for texts that hold one another or are as long. Below ``least``, any value below it."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
     x, y = bigrams(a), bigrams(b)
-    j = len(x & y) / len(x | y)
     short, long = sorted((len(a), len(b)))
+    top = lambda j: max(j, j * 0.7 + 0.25 + short / long * 0.1)
+    most = min(len(x), len(y)) / max(len(x), len(y))
+    if top(most) < least:
+        return 0.0
+    both = len(x & y)
+    j = both / (len(x) + len(y) - both)
+    if top(j) < least:
+        return 0.0
     boost = 0.0
     if short >= 6:
         boost = 0.25 if a in b or b in a else 0.15 if is_subsequence(a, b) or is_subsequence(b, a) else 0.0

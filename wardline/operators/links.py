@@ -163,7 +163,8 @@ def find_links(spark: SparkSession, cfg: Links = Links(), names: Iterable[str] =
         for s in batches:
             yield s.map(lambda t: [m._asdict() for m in one(t)])
 
-    return lambda c: find(text(c))
+    once = find.asNondeterministic()
+    return lambda c: once(text(c))
 
 
 def best_templates(spark: SparkSession, cfg: Links = Links()):
@@ -177,7 +178,8 @@ def best_templates(spark: SparkSession, cfg: Links = Links()):
             got = [own.templates.best(t) or (None,) * 4 for t in s]
             yield pd.DataFrame(got, columns=["template", "target", "kind", "similarity"], index=s.index)
 
-    return lambda c: best(text(c))
+    once = best.asNondeterministic()
+    return lambda c: once(text(c))
 
 
 def link_candidate(c: Column | str, cfg: Links = Links()) -> Column:

@@ -97,12 +97,12 @@ class SuspicionFold(Fold):
         for known in (h for h in r.handles if len(h) >= 4):
             if contains_spaced(x.form, known):
                 hits.append(hit(x.text, f"known-handle:{known}", base + 50))
-            if any(h == known or ad_similarity(h, known) >= 0.9 for h in x.handles):
+            if any(h == known or ad_similarity(h, known, 0.9) >= 0.9 for h in x.handles):
                 hits.append(hit(x.text, f"handle-match:{known}", base + 55))
         if cfg.track_similarity and (x.strong or x.handles or x.linked or x.urlish or r.level >= 3):
             least = (cfg.similar_percent_high if r.level >= 3 else cfg.similar_percent) / 100
             for p in r.history:
-                sim = ad_similarity(x.form, p.form)
+                sim = ad_similarity(x.form, p.form, least)
                 if sim >= least and min(len(x.form), len(p.form)) >= 8:
                     hits.append(hit(x.text, f"similar-ad:{int(sim * 100)}", base + int(sim * 40)))
                     break
@@ -142,7 +142,8 @@ def ads(spark: SparkSession, cfg: Links = Links(), names: Iterable[str] = ()):
         for s in batches:
             yield pd.DataFrame([None if t is None else fold.view(t) for t in s], columns=list(fold.view("")), index=s.index) if len(s) else pd.DataFrame(columns=list(fold.view("")))
 
-    return lambda c: F.when(c.isNotNull(), look(F.coalesce(c, F.lit(""))))
+    once = look.asNondeterministic()
+    return lambda c: F.when(c.isNotNull(), once(F.coalesce(c, F.lit(""))))
 
 
 def suspicion(messages: DataFrame, cfg: Links = Links(), names: Iterable[str] = (), distinct: bool = True) -> DataFrame:

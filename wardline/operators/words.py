@@ -247,7 +247,8 @@ def find_words(spark: SparkSession, cfg: Words, names: Iterable[str] = ()):
         for s in batches:
             yield s.map(lambda t: [m._asdict() for m in own.find(t)])
 
-    return lambda c: find(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    once = find.asNondeterministic()  # else Spark infers a filter from an explode and runs it twice
+    return lambda c: once(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
 
 
 def rewrite(text: Column, spans: Column, cfg: Words) -> Column:

@@ -14,7 +14,7 @@ from wardline.functions import similarity as S
 from wardline.functions import text as X
 from wardline.operators import caps, lexicon, links, policy, retention, spam
 from wardline.operators.spam import SpamFold
-from wardline.operators.suspicion import SuspicionFold
+from wardline.operators.suspicion import suspicion
 from wardline.operators.words import find_words, found_words, rewrite
 from wardline.plans.moderate import moderate, moderate_chat
 from wardline.sources import sinks, tables
@@ -417,7 +417,7 @@ def spam_full(spark, d):
 @q()
 def suspicion_levels(spark, d):
     cfg = Links(ads=Ads(ttl_ms=96 * HOUR, keywords=KEYS))
-    return SuspicionFold(cfg).batch(chat(spark, d)).select("msg_id", "user_id", "level", "ad_score", F.size("links").alias("n_links"))
+    return suspicion(chat(spark, d), cfg).select("msg_id", "user_id", "level", "ad_score", F.size("links").alias("n_links"))
 
 
 @q("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
