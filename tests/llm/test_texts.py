@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import bpe, chat_format, common, components, html_extract, lang_id, line_dedup, lm_score, mixing, ngram_join
+from wardline.llm.ngram_join import _from_planes, _planes
 
 CLASH = ("h1", "batch", "key", "ids", "_near", "size", "set", "hash")
 
@@ -221,7 +223,7 @@ def test_scores(spark):
 
     r = random.Random(6)
     texts = [*ODD, *(sentence(r, r.randint(1, 60)).title() for _ in range(80))]
-    got = {x.doc_id: (x.n_words, x.score_micros) for x in lm_score.score(docs(spark, texts), batch=16).collect()}
+    got = {x.doc_id: (x.n_words, x.score_micros) for x in lm_score.score(docs(spark, texts), batch_bits=3).collect()}
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
     one, two = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
     total = sum(one.values())
@@ -235,6 +237,19 @@ def test_scores(spark):
     assert lm_score.op7(docs(spark, []).limit(0)).count() == 0
 
 
+def test_scores_of_rows_without_ids_and_large_counts(spark):
+    import math
+
+    df = docs(spark, ["a b a b", "a b a b", "c"] * 40).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(5)))
+    got = Counter((x.doc_id, x.n_words, x.score_micros) for x in lm_score.score(df, batch_bits=2).collect())
+    log = lambda x: round(math.log(x) * 1e6)
+    ab, c = log(160 / 360) + 2 * log(160 / 160) + log(80 / 160), log(40 / 360)
+    assert got == Counter({(5, 4, ab): 40, (None, 4, ab): 40, (5, 1, c): 20, (None, 1, c): 20})
+    # counts beyond 32 bits and beyond what doubles tell apart travel and add up whole
+    big = np.array([2**32 + 5, 2**53 + 1], np.int64)
+    assert (_from_planes(_planes(big), np.int64) == big).all()
+
+
 def test_scores_of_words_alike_in_47_bits(spark):
     """The hashes of the two words differ in their last 17 bits only."""
     import math

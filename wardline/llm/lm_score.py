@@ -1,9 +1,13 @@
 """Stupid-backoff scores of documents under the bigram counts of the whole corpus.
 
-The exploded n-grams of a batch of documents (neighbours by doc_id) travel once each, as sorted runs of 64-bit hashes dealt by hash, to the
+The exploded n-grams of a batch of documents (neighbours in the input) travel once each, as sorted runs of 64-bit hashes dealt by hash, to the
 part of the count table that holds them; there counts add up, and every batch gets back the counts of its own n-grams, in the order of their
 hashes, which it knows. Joined to the batch's documents they give each word's score, summed per document. A frequent word or bigram is one
 entry a batch, never a hot key.
+
+What replaces a join and an aggregate of Spark's: the table of counts is partitioned by hash, but a partition's rows are packed runs that
+are merged and looked up inside grouped and cogrouped functions. As rows of their own (hash, document, count) the exploded n-grams took
+more disk than the operator may use.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import shuffle_partitions, word_count
 from wardline.llm.ngram_join import _from_planes, _mix, _planes, _rows, word_hashes
 
-#: Documents of a batch, by neighbouring doc_ids; occurrences from which a bigram is known; the backoff factor.
-BATCH, KNOWN, BACKOFF = 2048, 2, 0.4
+#: A batch has 2 ** BATCH_BITS documents at most; occurrences from which a bigram is known; the backoff factor.
+BATCH_BITS, KNOWN, BACKOFF = 11, 2, 0.4
 FLUSH = 1_500_000
 #: Scores are summed as whole millionths, which is the same in any order.
 UNIT = 1_000_000
@@ -56,20 +60,22 @@ def _distinct(docs: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([found, *held]))
 
 
-def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: float = BACKOFF) -> DataFrame:
+def score(docs: DataFrame, batch_bits: int = BATCH_BITS, known: int = KNOWN, backoff: float = BACKOFF) -> DataFrame:
     """Sum over a document's words of log S(word | word before), S being stupid backoff.
 
     Words: runs without ASCII white space, A-Z lower-cased. S is the bigram's share of its first word's count if the bigram occurs at least
     ``known`` times in the corpus, else ``backoff`` times the word's share of all words; a first word has its share alone. Counts are over
-    all rows. Null and empty texts have no words and score 0; repeated rows count as often as they occur; an empty table gives no rows;
-    other columns than doc_id and text are not looked at. 64-bit hashes stand for n-grams: with D
+    all rows, in 64 bits. Null and empty texts have no words and score 0; a null doc_id stays null; repeated rows count as often as they
+    occur; an empty table gives no rows; other columns than doc_id and text are not looked at. 64-bit hashes stand for n-grams: with D
     different ones about D * D / 2^65 pairs share theirs.
+
+    Batches are rows that follow each other in a part of the input, whatever their doc_ids. The input is read twice and must give its rows
+    in the same parts and order, as a table does; if it does not, the sums of a batch's hashes differ and the query stops.
     Returns doc_id, n_words, score_micros (the sum, each word's log rounded to millionths).
     """
     spark = docs.sparkSession
-    bits = max(8, (shuffle_partitions(spark) - 1).bit_length())
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = rows.withColumn("batch", F.coalesce(F.floor(F.col("doc_id") / batch), F.pmod(F.xxhash64("text"), F.lit(1024)) - (1 << 60)).cast("long"))
+    bits = max(10, (4 * shuffle_partitions(spark) - 1).bit_length())
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.shiftright(F.monotonically_increasing_id(), batch_bits).alias("batch"))
     total = rows.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     kinds = {"part": pa.int32(), "batch": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
@@ -77,7 +83,7 @@ def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: floa
         def flush(number: int) -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held[number]), return_counts=True)
             ends = np.append(np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)), len(keys))
-            return _rows(kinds, [(p, number, _pack(keys[a:b]), _planes(counts[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a])
+            return _rows(kinds, [(p, number, _pack(keys[a:b]), _planes(counts[a:b].astype(np.int64))) for p, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a])
 
         held: dict[int, list[np.ndarray]] = {}
         size = 0
@@ -87,7 +93,7 @@ def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: floa
                 if len(words):
                     held.setdefault(number, []).extend((words, pairs))
                     size += len(words)
-                if size >= FLUSH:  # batches stay whole if rows come in order of doc_id; if not, more entries travel
+                if size >= FLUSH:  # a batch that is cut here sends some entries twice
                     done = list(held) if len(held) == 1 else list(held)[:-1]
                     for n in done:
                         yield flush(n)
@@ -99,24 +105,27 @@ def score(docs: DataFrame, batch: int = BATCH, known: int = KNOWN, backoff: floa
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [_unpack(b) for b in pdf["keys"]]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([_from_planes(b, np.uint32) for b in pdf["counts"]])).astype(_U)
+        sums = np.zeros(len(every), np.int64)
+        np.add.at(sums, at, np.concatenate([_from_planes(b, np.int64) for b in pdf["counts"]]))
         own: dict[int, list[np.ndarray]] = {}
         ends = np.cumsum([len(k) for k in keys])
         for number, start, end in zip(pdf["batch"], [0, *ends[:-1]], ends, strict=True):
             own.setdefault(int(number), []).append(at[start:end])
         part = int(pdf["part"].iloc[0])
-        out = [(part, number, _planes(sums[np.unique(np.concatenate(a)) if len(a) > 1 else a[0]])) for number, a in own.items()]
-        return pd.DataFrame(out, columns=["part", "batch", "counts"])
+        own_keys = ((number, np.unique(np.concatenate(a)) if len(a) > 1 else a[0]) for number, a in own.items())
+        out = [(part, number, _planes(sums[a]), int(every[a].sum(dtype=_U).astype(np.int64))) for number, a in own_keys]
+        return pd.DataFrame(out, columns=["part", "batch", "counts", "mark"])
 
     sent = rows.select("text", "batch").mapInArrow(send, "part int, batch long, keys binary, counts binary")
-    counted = sent.groupBy("part").applyInPandas(count, "part int, batch long, counts binary")
+    counted = sent.groupBy("part").applyInPandas(count, "part int, batch long, counts binary, mark long")
 
     def sums(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         docs = [word_hashes(text or "") for text in own["text"]]
         keys = _distinct(docs)
-        counts = np.concatenate([np.empty(0, _U), *(_from_planes(b, _U) for b in replies.sort_values("part")["counts"])]).astype(np.int64)
-        if len(keys) != len(counts):
-            raise ValueError(f"{len(keys)} n-grams in a batch, {len(counts)} counts")
+        counts = np.concatenate([np.empty(0, np.int64), *(_from_planes(b, np.int64) for b in replies.sort_values("part")["counts"])])
+        marks = replies["mark"].to_numpy(np.int64).sum(dtype=np.int64) if len(replies) else 0
+        if len(keys) != len(counts) or int((keys & _U(2**56 - 1)).sum(dtype=_U).astype(np.int64)) != marks:
+            raise ValueError(f"{len(keys)} n-grams in a batch, {len(counts)} counts: the input did not read the same twice")
 
         def look(h: np.ndarray) -> np.ndarray:
             return counts[np.searchsorted(keys, h)]
