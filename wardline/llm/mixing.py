@@ -3,19 +3,23 @@
 Each source's document rates start from 1, may not pass a cap, and must take a target number of words. The calibrated rates
 nearest to the start in bounded entropy are cap * s(u + l * size / mean), s the logistic function, u the start's place: the odds
 of a document are exponentially tilted by its size, with one multiplier l a source. Distributed Newton iterations on the convex
-dual find the multipliers over a table of (source, size, documents). Rates become whole copies by systematic sampling within
-buckets of each source, in order of size, so that a source's words stay within a few documents of its target.
+dual find the multipliers over a table of (source, size, documents). Rates become whole copies within buckets of each source, from the
+largest document to the smallest: each takes the copies that bring the words taken nearest to the words due so far, so what the large
+ones leave over or short the small ones make up, and a bucket ends within a small document of its share of the target.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardline.llm.common import saved, word_count
+from wardline.llm.common import saved, shuffle_partitions, word_count
 
 #: Documents in a bucket, on average.
 BUCKET = 4096
@@ -86,16 +90,39 @@ def _tilts(sizes: DataFrame, sources: DataFrame, cap: float, rounds: int, tolera
     return state.select("source", "mean", "full", "tilt")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, rounds: int = 30, tolerance: float = 1e-7, row: Column | None = None) -> DataFrame:
+def _rounded(rated: DataFrame, cap: int) -> DataFrame:
+    """Adds copies, of all alike rows together (n), to rows of source, bucket, size, rate and n. Buckets are streamed, never held."""
+    order = [F.desc("size"), "order", "doc_id", "row", "text_hash"]
+    dealt = rated.repartition(shuffle_partitions(rated.sparkSession), "source", "bucket").sortWithinPartitions("source", "bucket", *order)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, due = None, 0.0  # words due so far in a bucket, less those taken
+        for batch in batches:
+            copies = np.zeros(batch.num_rows, np.int64)
+            cols = (batch.column(c).to_pylist() for c in ("source", "bucket", "size", "rate", "n"))
+            for i, (source, bucket, size, rate, n) in enumerate(zip(*cols, strict=True)):
+                if here != (source, bucket):
+                    here, due = (source, bucket), 0.0
+                if size:
+                    due += rate * size * n
+                    copies[i] = min(cap * n, max(0, math.floor(due / size + 0.5)))
+                    due -= int(copies[i]) * size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies)], names=[*batch.schema.names, "copies"])
+
+    return dealt.mapInArrow(work, T.StructType([*rated.schema.fields, T.StructField("copies", T.LongType())]))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, rounds: int = 30, tolerance: float = 1e-7, row: Column | None = None) -> DataFrame:
     """How often each document enters a mix of ``share`` times all words, divided over sources by weight.
 
     Size: words of the text, null and empty 0. Sources in order of code points, null last, take ``weights`` in turn; no target passes
-    ``cap`` times its source's size. Every row is a document: repeated rows and ties may differ in copies by one, in an order fixed by
-    size and doc_id, so reruns agree. An empty table gives no rows; other columns than doc_id, text and source are not looked at.
+    ``cap`` (a whole number) times its source's size. Every row is a document, without a doc_id too: repeated rows and ties may differ in
+    copies by one, in an order fixed by size, doc_id and text, so reruns agree. Texts without words are never taken. An empty table gives no
+    rows; other columns than doc_id, text and source are not looked at.
     Returns doc_id, source, size, source_size, target, rate, copies and row, a long that the caller may give to tell rows apart.
     """
     row = (F.lit(0) if row is None else row).cast("long").alias("row")
-    rows = docs.select(F.col("doc_id").cast("long"), row, F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long"), row, F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     sizes = saved(rows, "mix-sizes")
     per_source = saved(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "mix-sources")
     total = per_source.agg(F.sum("source_size")).first()[0] or 0
@@ -108,14 +135,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     known = saved(known, "mix-known")
     n = known.count()  # one row a source; broadcast only where that is few
     small = F.broadcast(known) if n <= 10_000 else known
-    rated = sizes.alias("d").join(small.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source"))).select("doc_id", "row", "d.source", "size", "source_size", "n_docs", "target", _rate(cap).alias("rate"))
-    order = F.xxhash64(F.lit(11), "doc_id")
-    dealt = rated.withColumn("order", order).withColumn("bucket", F.pmod(F.col("order"), F.ceil(F.col("n_docs") / BUCKET)))
-    group = Window.partitionBy("source", "bucket")
-    running = F.sum("rate").over(group.orderBy("size", "order", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
-    offset = F.pmod(F.xxhash64(F.lit(13), "source", "bucket"), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor(running + offset) - F.floor(running - F.col("rate") + offset)
-    return dealt.withColumn("copies", F.least(F.greatest(copies, F.lit(0)), F.lit(int(cap))).cast("int")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "row")
+    alike = sizes.groupBy("doc_id", "row", "source", "size", "text_hash").agg(F.count("*").alias("n"))
+    rated = alike.alias("d").join(small.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")))
+    rated = rated.select("doc_id", "row", "d.source", "size", "text_hash", "n", "source_size", "n_docs", "target", _rate(cap).alias("rate"))
+    rated = rated.withColumn("order", F.xxhash64(F.lit(11), "doc_id", "row", "text_hash")).withColumn("bucket", F.pmod("order", F.ceil(F.col("n_docs") / BUCKET)))
+    whole = _rounded(rated.drop("n_docs"), cap).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    each = F.expr("copies div n + if(nth <= copies % n, 1, 0)").cast("int")
+    return whole.select("doc_id", "source", "size", "source_size", "target", "rate", each.alias("copies"), "row")
 
 
 def op10(docs: DataFrame) -> DataFrame:
