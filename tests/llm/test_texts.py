@@ -47,6 +47,35 @@ def test_bpe(spark):
     assert bpe.op1(docs(spark, []).limit(0)).count() == 0
 
 
+def test_bpe_rows_without_ids(spark):
+    df = docs(spark, ["alpha beta", "alpha beta", None]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted((x.doc_id, x.n_tokens) for x in bpe.op1(df.union(df)).collect()) == [(None, 0)] * 2 + [(None, bpe.op1(docs(spark, ["alpha beta"])).first().n_tokens)] * 4
+
+
+def test_short_texts_are_chunks_too():
+    c = bpe.Codec(bpe.default_path())
+    calls = []
+    plain = c.plain
+    c.plain = lambda t: calls.append(t) or plain(t)
+    for t in ["a short text"] * 5 + ["", "x"]:
+        assert c.encode(t) == c.library.encode(t, add_special_tokens=False).ids
+    assert calls == ["a short text", "x"]
+
+
+def test_joins_are_compared(monkeypatch):
+    """With sync points where the pre-tokenizer does not split, both sides of a join disagree, and the text is encoded whole."""
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 12))) for _ in range(2000))
+    c = bpe.Codec(bpe.default_path())
+    want = c.library.encode(text, add_special_tokens=False).ids
+    assert len(bpe.cuts(text.encode())) > 3 and c.encode(text) == want and len(c.cache) > 3
+    monkeypatch.setattr(bpe, "SYNC", re.compile("(?<=[a-e])(?=[f-j])"))
+    wrong, asked = bpe.Codec(bpe.default_path()), []
+    plain = wrong.plain
+    wrong.plain = lambda t: asked.append(t) or plain(t)
+    assert wrong.encode(text) == want and asked[-1] == text
+
+
 def test_fast_alphabet():
     c = bpe.codec(bpe.default_path())
     for code in range(0x250):

@@ -1,10 +1,11 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-Texts are cut where a rolling hash of their bytes says so, hence copied passages give the same chunks wherever they stand.
-Documents are range-partitioned by the smallest hash of their chunks (ties by doc_id, so a large group of copies splits over
+Texts are cut where a rolling hash of their bytes says so, hence copied passages give the same chunks wherever they stand; a short text is
+one chunk. Documents are range-partitioned by the smallest hash of their chunks (ties by doc_id, so a large group of copies splits over
 tasks), which brings documents that share chunks together; each task encodes a chunk once. A chunk's encoding holds only
 between its sync points, places at which the pre-tokenizer splits whatever stands around them. What lies between the last sync
-point of one chunk and the first of the next is encoded again, over as many chunks as it takes until both sides agree.
+point of one chunk and the first of the next is encoded again, over as many chunks as it takes to find one. Each join is compared: encoded
+once more from one sync point further out on both sides, it must give the ids at hand; if it does not, the text is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -74,6 +76,17 @@ def content_key(text: str | None) -> int:
     return best
 
 
+class Chunk(NamedTuple):
+    """A chunk with sync points: the text before the first, ids between the first and the last, the text after it; and the first and the
+    last stretch between two neighbouring sync points, with their ids, for the comparison of joins."""
+
+    head: str
+    inner: array.array
+    tail: str
+    step: tuple[str, list[int]]
+    back: tuple[str, list[int]]
+
+
 class Codec:
     def __init__(self, path: str):
         import tiktoken
@@ -94,7 +107,8 @@ class Codec:
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.digits = {i: str(i) for i in self.pieces}
-        self.cache: dict[bytes, tuple[str, array.array, str] | None] = {}
+        self.cache: dict[bytes, Chunk | None] = {}
+        self.whole: dict[bytes, array.array] = {}
         self.cached = 0
 
     def plain(self, text: str) -> list[int]:
@@ -102,34 +116,54 @@ class Codec:
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
-    def chunk(self, data: bytes) -> tuple[str, array.array, str] | None:
-        """Text before the first sync point, ids from there to the last one, text after it; None without two sync points."""
+    def chunk(self, data: bytes) -> Chunk | None:
+        """None without two sync points."""
         key = xxhash.xxh128_digest(data)
         if key in self.cache:
             return self.cache[key]
         text = data.decode()
-        first = SYNC.search(text)
-        last = text.rfind(" ")
-        while first and last > first.start() and not SYNC.match(text, last):
-            last = text.rfind(" ", 0, last)
-        got = (text[: first.start()], array.array("I", self.plain(text[first.start() : last])), text[last:]) if first and last > first.start() else None
-        if self.cached > CACHE_CHARS:
-            self.forget()
+        at = [m.start() for m in SYNC.finditer(text)]
+        got = None
+        if len(at) > 1:
+            step, back = text[at[0] : at[1]], text[at[-2] : at[-1]]
+            got = Chunk(text[: at[0]], array.array("I", self.plain(text[at[0] : at[-1]])), text[at[-1] :], (step, self.plain(step)), (back, self.plain(back)))
+        self.remember(len(text))
         self.cache[key] = got
-        self.cached += len(text)
         return got
 
+    def alone(self, text: str, data: bytes) -> array.array:
+        """The ids of a text of one chunk."""
+        key = xxhash.xxh128_digest(data)
+        got = self.whole.get(key)
+        if got is None:
+            got = array.array("I", self.plain(text))
+            self.remember(len(text))
+            self.whole[key] = got
+        return got
+
+    def remember(self, chars: int) -> None:
+        if self.cached > CACHE_CHARS:
+            self.forget()
+        self.cached += chars
+
     def forget(self) -> None:
         self.cache.clear()
+        self.whole.clear()
         self.cached = 0
 
+    def joined(self, back: tuple[str, list[int]], between: str, step: tuple[str, list[int]]) -> list[int] | None:
+        """The ids of a join, if both sides agree with its encoding from one sync point further out."""
+        ids = self.plain(between)
+        return ids if self.plain(back[0] + between + step[0]) == back[1] + ids + step[1] else None
+
     def segment(self, text: str) -> list[int]:
         data = text.encode()
         ends = cuts(data)
         if len(ends) < 2:
-            return self.plain(text)
+            return list(self.alone(text, data))
         ids: list[int] = []
-        pending, start = [], 0
+        none: tuple[str, list[int]] = ("", [])
+        pending, start, back = [], 0, none
         for end in ends:
             piece = data[start:end]
             start = end
@@ -137,12 +171,15 @@ class Codec:
             if got is None:
                 pending.append(piece.decode())
                 continue
-            head, inner, tail = got
-            pending.append(head)
-            ids += self.plain("".join(pending))
-            ids += inner
-            pending = [tail]
-        return ids + self.plain("".join(pending))
+            pending.append(got.head)
+            join = self.joined(back, "".join(pending), got.step)
+            if join is None:
+                return self.plain(text)
+            ids += join
+            ids += got.inner
+            pending, back = [got.tail], got.back
+        join = self.joined(back, "".join(pending), none)
+        return self.plain(text) if join is None else ids + join
 
     def encode(self, text: str) -> list[int]:
         """The ids that the library gives to the whole text, its special tokens' strings included."""
@@ -181,7 +218,7 @@ def by_content(docs: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encodes whole texts and decodes them again.
 
-    Null and empty texts have no ids. Repeated rows give repeated results, a null doc_id stays null, an empty table gives no rows;
+    Null and empty texts have no ids. Repeated rows and ties give repeated results, a null doc_id stays null, an empty table gives no rows;
     other columns than doc_id and text are dropped. Returns doc_id, ids (array<int>), decoded.
     """
     return _run(docs, path, ["ids", "decoded"])
