@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -227,6 +228,41 @@ def test_language(spark):
     assert lang_id.op6(df.limit(0)).count() == 0
 
 
+def test_language_of_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {x.doc_id: x.lang for x in df.select("doc_id", "lang").collect()}
+    held = [x for x in lang_id.op6(df).collect() if x.held_out and own[x.doc_id] is not None and x.lang_pred != "und"]
+    assert len(held) > 150 and sum(x.lang_pred == own[x.doc_id] for x in held) >= 0.97 * len(held)
+
+
+def test_training_sample(spark, monkeypatch):
+    rows = [(i, "x" * 5000 + f" tail {i}", "aa") for i in range(40)] + [(None, "no id", "bb"), (100, "null lang", None), (101, None, "aa"), (102, "", "aa")]
+    rows += [(7, rows[7][1], "aa")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    free = {(t.encode(), lang) for i, t, lang in rows if t and lang and (i is None or zlib.crc32(str(i).encode()) % 4 != 2)}
+    got = lang_id.training_sample(df)
+    assert set(got) == free and len(got) == len(free)  # whole texts, each once
+    monkeypatch.setattr(lang_id, "SAMPLE_CHARS", 12_000)
+    few = lang_id.training_sample(df)
+    assert sum(len(t) for t, _ in few) <= 12_000 and 2 <= len(few) and set(few) <= free
+    monkeypatch.setattr(lang_id, "SAMPLE_ROWS", 1)
+    assert lang_id.training_sample(df) == got[:1]
+    assert lang_id.training_sample(df.limit(0)) == []
+
+
+def test_smallest_and_scratch(spark):
+    import os
+
+    df = spark.range(20000).select("id", F.xxhash64("id").alias("h"))
+    assert [x.id for x in common.smallest(df, "h", 50).collect()] == [x.id for x in df.orderBy("h").limit(50).collect()]
+    with common.scratch(spark):
+        path = common.saved(df, "gone").inputFiles()[0].removeprefix("file:")
+        with common.scratch(spark):
+            inner = common.saved(df, "inner").inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path) and not os.path.exists(inner)
+    assert not os.path.exists(path)
+
+
 def test_gradients():
     import numpy as np
 

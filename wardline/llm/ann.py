@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import checkpointed, saved, shuffle_partitions
+from wardline.llm.common import checkpointed, saved, shuffle_partitions, smallest
 from wardline.llm.vectors import distinct, queries, ranked, valid
 
 #: Orderings; projected dimensions and bits of each (66 bytes of key); share of the ranks on each side of a query.
@@ -93,7 +93,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
     rows = valid(vectors, zero=False)
     asked = saved(queries(rows, every), "ann-queries")
     units = saved(distinct(rows, k + 1).withColumn("h", F.xxhash64("vector")), "ann-vectors")
-    sample = units.orderBy("h").limit(FIT_ROWS).select("vector").collect()
+    sample = smallest(units, "h", FIT_ROWS).select("vector").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     plan = spark.sparkContext.broadcast(Curves(_matrix([bytes(r.vector) for r in sample]), curves, DIMENSIONS, BITS))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 
@@ -21,24 +23,47 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none, as in tests."""
+    """The cluster's shared folder; a local one only where the session names none and has no other machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    path = path or sc.getCheckpointDir()
     if not path:
-        path = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="wardline-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="wardline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and lost executors cost nothing.
+
+    The table stays until the innermost scratch() around the call ends, or for good without one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what saved() wrote inside it. A result that reads such tables must have been written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def split_join(rows: DataFrame, other: DataFrame, key: str, spread: str, counted: DataFrame | None = None) -> DataFrame:
     """Inner join on ``key`` where a few keys may own a large part of ``rows``; ``other`` has few rows a key.
 
@@ -58,6 +83,15 @@ def split_join(rows: DataFrame, other: DataFrame, key: str, spread: str, counted
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+def smallest(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The n rows with the smallest values of ``order``, 64-bit hashes that are as good as random. Each task sends on only what is under a
+    value that about n rows are under, so the driver gets little more than n rows from however many tasks. Ties may fall either way."""
+    total = rows.count()
+    share = (n + 8 * n**0.5 + 64) / max(1, total)
+    few = rows if share >= 1 else rows.filter(F.col(order) < F.lit(int(2**64 * share) - 2**63))
+    return few.orderBy(order).limit(n)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, which also keeps the rows' partitions and order."""
     shared_dir(df.sparkSession)

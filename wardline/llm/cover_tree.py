@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import checkpointed, saved, shuffle_partitions
+from wardline.llm.common import checkpointed, saved, shuffle_partitions, smallest
 from wardline.llm.vectors import distinct, queries, ranked, valid
 
 #: Centres at the top, chosen among at most FIT_ROWS vectors; children of a node; vectors of a leaf; queries of a group.
@@ -129,7 +129,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     rows = valid(vectors, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     asked = saved(queries(rows, every), "tree-queries")
     units = saved(distinct(rows, k + 1).withColumn("h", F.xxhash64("vector")), "tree-vectors")
-    sample = units.orderBy("h").limit(FIT_ROWS).select("vector").collect()
+    sample = smallest(units, "h", FIT_ROWS).select("vector").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     x = _matrix([bytes(r.vector) for r in sample])

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import release_memory
+from wardline.llm.common import release_memory, smallest
 
 #: Hidden units in each direction; bytes of a window; windows that run side by side.
 HIDDEN, WINDOW, LANES = 8, 160, 2048
-#: Bound of the training sample: rows, and bytes of each.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 240
+#: Bounds of the training sample: rows, and characters of their whole texts together.
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 24_000_000
 TRAIN_WINDOW, TRAIN_LANES, TRAIN_STEPS = 48, 384, 280
 UNKNOWN = "und"
 #: Bytes that run through the network at once, about.
@@ -179,12 +179,23 @@ def held_out():
 
 
 def training_sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """At most SAMPLE_ROWS labelled rows that are not held out, by the order of a hash, one piece of SAMPLE_BYTES characters of each."""
+    """Whole texts of at most SAMPLE_ROWS labelled rows that are not held out, in the order of a hash.
+
+    A text that would take the sample over SAMPLE_CHARS characters is left out of it, and the next one tried. Rows that agree in doc_id and
+    text count once.
+    """
     known = docs.filter(F.coalesce(~held_out(), F.lit(True)) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    at = F.pmod(F.xxhash64(F.lit(3), "text"), F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(1))).cast("int") + 1
-    rows = known.select("lang", F.substring(F.col("text"), at, F.lit(SAMPLE_BYTES)).alias("piece"), F.xxhash64(F.lit(17), "doc_id").alias("order"), F.xxhash64("text").alias("tie"))
-    taken = rows.orderBy("order", "tie", "lang").limit(SAMPLE_ROWS).collect()
-    return [(r.piece.encode(), r.lang) for r in taken]
+    rows = known.select("lang", "text", F.xxhash64(F.lit(17), "doc_id", "text").alias("order"))
+    chosen, chars = [], 0
+    for r in smallest(rows.select("order", F.length("text").alias("n")), "order", SAMPLE_ROWS).collect():
+        if chars + r.n <= SAMPLE_CHARS and (not chosen or chosen[-1] != r.order):
+            chosen.append(r.order)
+            chars += r.n
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(c,) for c in chosen], "order long")  # SAMPLE_ROWS at most
+    taken = {r.order: (r.text.encode(), r.lang) for r in rows.join(F.broadcast(wanted), "order").groupBy("order").agg(F.min("lang").alias("lang"), F.first("text").alias("text")).collect()}
+    return [taken[c] for c in chosen]
 
 
 def has_letter():
