@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and lost executors cost nothing.
 
-    The table stays until the innermost scratch() around the call ends, or for good without one.
+    The table stays until the innermost scratch() around the call ends; for good without one or with ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _SCRATCH:
+    if _SCRATCH and not keep:
         _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
