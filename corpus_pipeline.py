@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import bpe, lang_id, line_dedup, mixing, ngram_join
-from wardline.llm.common import saved, table, word_count
+from wardline.llm.common import saved, scratch, table, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _row(docs: DataFrame):
-    """Tells rows apart; rows that agree in every column are interchangeable."""
+    """Where a row goes in joins; should two rows share a hash, neither is lost. Rows that agree in every column are interchangeable."""
     return F.xxhash64(*COLUMNS)
 
 
@@ -35,25 +35,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays (then the smallest row hash); documents without words stay."""
+    """Of each group of linked documents the one with the smallest doc_id stays (then the smallest row hash); documents without words stay.
+
+    Rows that agree in every column are one document here. An empty table gives no rows.
+    """
     docs = docs.select(*COLUMNS).withColumn("_row", _row(docs))
     found = ngram_join.join(docs, row=F.col("_row")).filter("group IS NOT NULL AND doc_id <=> component_id")
-    stays = found.groupBy("group").agg(F.first("doc_id").alias("doc_id"), F.min("row").alias("_row"))
-    some = docs.join(stays.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "_row"), (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (docs["_row"] == stays["_row"]))
-    some = some.select("_id", docs["_row"], *COLUMNS).filter(word_count(F.col("text")) > 0).dropDuplicates(["_id", "_row"])
+    stays = found.groupBy("group").agg(F.min("row").alias("_row"))
+    some = docs.filter(word_count(F.col("text")) > 0).join(stays, "_row", "left_semi").dropDuplicates(["_row", *COLUMNS])
     return some.select(*COLUMNS).unionByName(docs.filter(word_count(F.col("text")) == 0).select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; what rows that agree in every column take is added up. An empty table gives no rows."""
     docs = docs.select(*COLUMNS).withColumn("_row", _row(docs))
-    taken = mixing.mix(docs, row=F.col("_row")).groupBy("row").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
-    once = docs.join(taken, docs["_row"] == taken["row"]).dropDuplicates(["_row"])
-    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    taken = mixing.mix(docs, row=F.col("_row")).filter("copies > 0").groupBy(F.col("row").alias("_row")).agg(F.sum("copies").cast("long").alias("_copies"))
+    once = docs.join(taken, "_row").dropDuplicates(["_row", *COLUMNS])
+    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document of the mix, with their number and digests."""
+    """The token ids of each document of the mix, with their number and digests: a row for every row, null and empty texts without ids."""
     return bpe.encoded(docs)
 
 
@@ -64,9 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Tables that stages use on the way are deleted once a stage's result is written; the results stay."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = saved(docs, f"pipeline-{i}-{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            docs = saved(made, f"pipeline-{i}-{name}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
