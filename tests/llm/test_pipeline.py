@@ -63,6 +63,40 @@ def test_encoded_mix_has_ids(spark, table):
         assert got[x.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_odd_tables(spark, tmp_path):
+    """Empty tables; null doc_ids, null texts, repeated rows and columns with clashing names."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    text = "one two three four five six seven"
+    rows = [(None, None, None, None, None), (None, text, "en", None, 5), (None, text, "en", None, 5), (1, text + " eight nine ten", "en", "a", 9), (1, "other words entirely here", "en", "a", 9), (2, "", "en", "a", 0)]
+    df = spark.createDataFrame(rows, kinds)
+    for c in ("row", "group", "_row", "size", "copies", "bucket", "set", "hash", "order"):
+        df = df.withColumn(c, F.lit("x"))
+    for name, table in (("rows", df), ("none", df.limit(0))):
+        path = str(tmp_path / name)
+        table.write.parquet(f"{path}/documents.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        got = {}
+        for stage, function in corpus_pipeline.STAGES:
+            got[stage] = [tuple(x)[:5] for x in saved(function(spark, docs, path), stage).collect()]
+        if name == "none":
+            assert not any(got.values()) and corpus_pipeline.run(spark, path).count() == 0
+            continue
+        assert sorted(got["language"], key=str) == sorted(((i, t, "en", s, n) for i, t, _, s, n in rows[1:5]), key=str)
+        assert len(got["lines"]) == len(got["encoded"]) == len(rows)
+        assert sorted(got["near_duplicates"], key=str) == sorted({r for r in rows if r != rows[3]} | {rows[3]}, key=str)
+        assert {r[:2] for r in got["mixture"]} <= {r[:2] for r in rows if r[1]}
+        assert corpus_pipeline.run(spark, path).count() > 0
+
+
+def test_rows_with_one_hash_stay_apart(spark, table, monkeypatch):
+    """Were all hashes of rows equal, no document of the mix would be lost or changed."""
+    docs = spark.read.parquet(f"{table}/documents.parquet")
+    own = {x.doc_id: x.text for x in docs.collect()}
+    monkeypatch.setattr(corpus_pipeline, "_row", lambda df: F.lit(7).cast("long"))
+    got = corpus_pipeline.mixture(spark, docs.filter("doc_id < 20"), table).select("doc_id", "text").distinct().collect()
+    assert {x.doc_id for x in got} == set(range(20)) and all(x.text == own[x.doc_id] for x in got)
+
+
 def test_language_without_labels(spark, table):
     docs = spark.read.parquet(f"{table}/documents.parquet")
     lettered = {x.doc_id for x in docs.collect() if any(c.isalpha() for c in x.text or "")}
