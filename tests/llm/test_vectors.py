@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -92,6 +93,40 @@ def test_products(spark):
     assert cover_tree.op9(frame(spark, few).limit(0)).count() == 0
 
 
+def test_large_products(spark):
+    """Scores beyond 2 ** 53, which doubles would round, against Python's integers; ties and repeated ids among them."""
+    r = random.Random(9)
+    data = [(i, [float(r.randrange(-(2**22), 2**22)) + r.choice([0, 0.25, 1 / 64]) for _ in range(8)]) for i in range(400)]
+    data += [(400 + i, [x + (i % 3 == 0) / 64 for x in data[0][1]]) for i in range(60)] + [data[7]]
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in data}
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in cover_tree.op9(df).collect():
+        got[x.query_id].append((x.rank, x.vec_id, x.score))
+    assert len(got) == 23 and max(abs(s) for own in got.values() for *_, s in own) > 2**55
+    for q, own in got.items():
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:20]
+        assert sorted(own) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
+def test_repeated_ids(spark):
+    """Rows that repeat an id with another vector count once, at their best; so do those of a query."""
+    data = rows(11, 60) + [(0, [float(k) for k in range(8)]), (5, [float(k) for k in range(8)]), (7, rows(11, 60)[7][1]), (7, rows(11, 60)[7][1])]
+    for op, ip in ((ann.op8, False), (cover_tree.op9, True)):
+        got = [tuple(x) for x in op(frame(spark, data)).collect()]
+        assert len({(q, rank) for q, rank, *_ in got}) == len(got) and len({(q, i) for q, _, i, _ in got}) == len(got)
+        best = {}
+        for q, v in data:
+            if q is None or not v or len(v) != 8 or None in v or any(map(math.isnan, v)) or q % (20 if ip else 100) or not (ip or any(v)):
+                continue
+            for i, w in data:
+                if i is not None and i != q and w and len(w) == 8 and None not in w and not any(map(math.isnan, w)) and (ip or any(w)):
+                    a, b = (np.array(y, np.float32).astype(float) for y in (v, w))
+                    s = float(np.floor(64 * a) @ np.floor(64 * b)) if ip else -float(np.sqrt(((a - b) ** 2).sum()))
+                    best[q, i] = max(best.get((q, i), -math.inf), s)
+        assert all(abs(abs(s) - abs(best[q, i])) < 1e-12 * max(1, abs(s)) for q, _, i, s in got)
+
+
 def test_tree_covers():
     x = np.random.default_rng(5).normal(size=(700, 6))
     todo = [cover_tree.cover_tree(x, leaf=16)]

@@ -24,6 +24,8 @@ from wardline.llm.vectors import distinct, queries, ranked, valid
 
 #: Centres at the top, chosen among at most FIT_ROWS vectors; children of a node; vectors of a leaf; queries of a group.
 CENTRES, FIT_ROWS, FAN, LEAF, GROUP = 32, 2048, 8, 512, 256
+#: Products of doubles are exact while no vector's squared length reaches this; integers are multiplied beyond.
+DOUBLES = 2.0**52
 
 
 @dataclass
@@ -73,30 +75,32 @@ def bound(a: Node, b: Node) -> float:
 class Tops:
     """The best k rows of each query so far, by score, then by smallest id."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.k = k
-        self.score, self.row = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
-        self.floor = floor
+    def __init__(self, n: int, k: int, floor: np.ndarray, kind: type = np.float64):
+        self.k, self.floor = k, floor
+        self.score = np.full((n, k), -np.inf if kind is np.float64 else np.iinfo(kind).min, kind)
+        self.row = np.full((n, k), -1, np.int64)
 
     def worst(self, rows: np.ndarray) -> float:
-        return float(np.maximum(self.score[rows, -1], self.floor[rows]).min())
+        last = np.where(self.row[rows, -1] < 0, -np.inf, self.score[rows, -1].astype(np.float64))
+        return float(np.maximum(last, self.floor[rows]).min())
 
     def add(self, queries: np.ndarray, rows: np.ndarray, scores: np.ndarray, first: np.ndarray) -> None:
         """scores: (queries, rows); first: the smallest id of each row of data."""
         for q, s in zip(queries, scores, strict=True):
-            at = np.flatnonzero(s >= max(self.score[q, -1], self.floor[q]))
+            at = np.flatnonzero((s >= self.score[q, -1]) & (s >= self.floor[q]))
             if len(at) > self.k:
-                at = at[s[at] >= -np.partition(-s[at], self.k - 1)[self.k - 1]]
+                at = at[s[at] >= np.partition(s[at], -self.k)[-self.k]]
             if len(at):
                 score, row = np.concatenate([self.score[q], s[at]]), np.concatenate([self.row[q], rows[at]])
-                order = np.lexsort((np.where(row >= 0, first[row], 2**62), -score))[: self.k]
+                order = np.lexsort((np.where(row >= 0, first[row], 2**62), -score if score.dtype.kind == "f" else ~score))[: self.k]
                 self.score[q], self.row[q] = score[order], row[order]
 
 
 def dual_search(q: np.ndarray, x: np.ndarray, first: np.ndarray, k: int, floor: np.ndarray) -> Tops:
-    """Best k rows of x for each row of q; rows under a query's floor may be left out."""
-    tops = Tops(len(q), k, floor)
-    tq, tx = cover_tree(q, leaf=GROUP // 4), cover_tree(x)
+    """Best k rows of x for each row of q; rows under a query's floor may be left out. Integers are multiplied as such, without rounding;
+    trees and bounds take doubles, with room for their rounding."""
+    tops = Tops(len(q), k, floor, q.dtype.type)
+    tq, tx = cover_tree(q.astype(np.float64), leaf=GROUP // 4), cover_tree(x.astype(np.float64))
     n = 0
     heap = [(-bound(tq, tx), n, tq, tx)]
     while heap:
@@ -113,31 +117,40 @@ def dual_search(q: np.ndarray, x: np.ndarray, first: np.ndarray, k: int, floor:
     return tops
 
 
-def _matrix(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def _matrix(blobs, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """The k highest integer inner products of each query, the rows whose vec_id is divisible by ``every``, with all other rows.
 
-    A component x counts as floor(scale * x); products are exact while they stay under 2 ** 53. Copies are searched once, with their k + 1
+    A component x counts as floor(scale * x). Products are exact: of doubles while they stay under 2 ** 53, of 64-bit integers where a vector is
+    longer than that allows; scores must fit in 64 bits. Copies are searched once, with their k + 1
     smallest ids. Rows that take no part: see vectors.valid (zero vectors do take part); without a valid row the result is empty. Ties go
     to the smaller vec_id; rows that repeat an id count once, at their best. Other columns than vec_id and embedding are not looked at.
     Returns query_id, rank, vec_id, score.
     """
     spark = vectors.sparkSession
-    rows = valid(vectors, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
+    rows = valid(vectors, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("long")))
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    kind = np.float64 if (rows.agg(F.max(square)).first()[0] or 0.0) < DOUBLES else np.int64
+    if kind is np.float64:
+        rows = rows.withColumn("v", F.transform("v", lambda x: x.cast("double")))
+
+    def doubles(blobs) -> np.ndarray:
+        return _matrix(blobs, kind).astype(np.float64)
+
     asked = saved(queries(rows, every), "tree-queries")
     units = saved(distinct(rows, k + 1).withColumn("h", F.xxhash64("vector")), "tree-vectors")
     sample = smallest(units, "h", FIT_ROWS).select("vector").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    x = _matrix([bytes(r.vector) for r in sample])
+    x = doubles([bytes(r.vector) for r in sample])
     centres = x[farthest_first(x, CENTRES)]
 
     @F.pandas_udf("int")
     def centre(vector: pd.Series) -> pd.Series:
-        return pd.Series(nearest(_matrix(list(vector)), centres) if len(vector) else [], dtype="int32")
+        return pd.Series(nearest(doubles(list(vector)), centres) if len(vector) else [], dtype="int32")
 
     order = ["node", "h", "vector"]
     dealt = checkpointed(units.withColumn("node", centre("vector")).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order))
@@ -152,7 +165,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [v for b in batches for v in b.column(0).to_pylist()]
         if blobs:
-            own = _matrix(blobs)
+            own = doubles(blobs)
             middle = own.mean(0)
             radius = float(np.sqrt(((own - middle) ** 2).sum(1).max()))
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([middle.tobytes()]), pa.array([radius])], names=["pid", "middle", "radius"])
@@ -164,7 +177,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         if not len(data) or not len(query):
             return pd.DataFrame({"vector": [], "near": [], "home": []}, dtype=object).astype({"home": "int32"})
         ids = data["ids"].to_numpy()
-        tops = dual_search(_matrix(list(query["vector"])), _matrix(list(data["vector"])), np.array([i[0] for i in ids]), k + 1, query["worst"].to_numpy(float))
+        tops = dual_search(_matrix(list(query["vector"]), kind), _matrix(list(data["vector"]), kind), np.array([i[0] for i in ids]), k + 1, query["worst"].to_numpy(float))
         near = []
         for score, row in zip(tops.score, tops.row, strict=True):
             best = sorted((-int(s), int(i)) for s, r in zip(score, row, strict=True) if r >= 0 for i in ids[r])[: k + 1]
@@ -181,7 +194,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
                 vectors, worsts, homes = (batch.column(c) for c in ("vector", "worst", "home"))
                 for at in range(0, batch.num_rows, GROUP):
                     blobs, worst, been = vectors[at : at + GROUP].to_pylist(), worsts.to_numpy()[at : at + GROUP], homes.to_numpy()[at : at + GROUP]
-                    own = _matrix(blobs)
+                    own = doubles(blobs)
                     middle = own.mean(0)
                     group = Node(np.empty(0), middle, float(np.sqrt(((own - middle) ** 2).sum(1).max())), [])
                     best = sorted(((bound(group, node), pid) for pid, node in parts), reverse=True)
@@ -198,7 +211,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
 
     asking = asking.withColumn("worst", F.lit(float("-inf"))).withColumn("home", F.lit(-1))
     first = saved(visit(asking.repartitionByRange("node", "vector").sortWithinPartitions("node", "vector"), True), "tree-first")
-    kth = first.select("vector", F.when(F.size("near") > k, -F.get("near", F.lit(k))["score"].cast("double")).otherwise(float("-inf")).alias("worst"), "home")
+    score = F.get("near", F.lit(k))["score"].cast("double")
+    under = -score if kind is np.float64 else -score - F.abs(score) * 2.0**-50  # rounded down, so that ties stay
+    kth = first.select("vector", F.when(F.size("near") > k, under).otherwise(float("-inf")).alias("worst"), "home")
     again = kth.withColumn("node", centre("vector")).repartitionByRange("node", "vector").sortWithinPartitions("node", "vector")
     return ranked(asked, first.union(visit(again, False)), k, ascending=False)
 

@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def valid(vectors: DataFrame, zero: bool) -> DataFrame:
     """vec_id, v (array<double>) of the rows that take part.
 
@@ -26,14 +25,14 @@ def valid(vectors: DataFrame, zero: bool) -> DataFrame:
     return rows.filter(F.size("v") == size[0].size) if size else rows
 
 
-def floats(cells: pa.Array) -> np.ndarray:
-    """(rows, dimensions) of an array<double> column without nulls."""
-    flat = cells.flatten().to_numpy()
-    return flat.reshape(len(cells), -1)
+def cells(column: pa.Array) -> np.ndarray:
+    """(rows, dimensions) of an array column without nulls; of doubles, -0.0 and 0.0 are one value."""
+    flat = column.flatten().to_numpy()
+    return (flat + 0.0 if flat.dtype.kind == "f" else flat).reshape(len(column), -1)
 
 
 def distinct(rows: DataFrame, keep: int) -> DataFrame:
-    """vector (binary, doubles) and ids, its ``keep`` smallest vec_ids. Each task sends a vector once, so a frequent one is no hot key."""
+    """vector (binary, its components) and ids, its ``keep`` smallest vec_ids. Each task sends a vector once, so a frequent one is no hot key."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, list[int]] = {}
@@ -44,8 +43,7 @@ def distinct(rows: DataFrame, keep: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = floats(batch.column(1)) + 0.0  # -0.0 and 0.0 are one value
-            for vec_id, row in zip(batch.column(0).to_pylist(), x, strict=True):
+            for vec_id, row in zip(batch.column(0).to_pylist(), cells(batch.column(1)), strict=True):
                 ids = best.setdefault(row.tobytes(), [])
                 ids.append(vec_id)
                 if len(ids) > 4 * keep:
@@ -67,7 +65,7 @@ def queries(rows: DataFrame, every: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in floats(batch.column(1)) + 0.0], pa.binary())], names=["query_id", "vector"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in cells(batch.column(1))], pa.binary())], names=["query_id", "vector"])
 
     own = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
     return own.mapInArrow(pack, "query_id long, vector binary").distinct()
@@ -76,16 +74,12 @@ def queries(rows: DataFrame, every: int) -> DataFrame:
 def ranked(asked: DataFrame, found: DataFrame, k: int, ascending: bool) -> DataFrame:
     """query_id, rank, vec_id, score: the best k of found (vector, near: array of (score, vec_id)) without the query itself, ties to the smaller id.
 
-    near holds scores such that smaller is better. Copies of an id count once, at their best.
+    near holds scores such that smaller is better. Copies of an id count once, at their best, in what is asked for too. What partitions have found for a vector is
+    cut to its best k + 1 before it meets the queries, many of which may ask for one vector.
     """
-    one = found.groupBy("vector").agg(F.flatten(F.collect_list("near")).alias("near"))
-    lists = asked.join(one, "vector")
-    own = F.expr("array_sort(filter(near, x -> x.vec_id <> query_id))")
-    items = lists.select("query_id", F.posexplode(own).alias("at", "x")).select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
-    best = items.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    tops = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("top"))
-    out = tops.select("query_id", F.posexplode("top").alias("at", "x"))
-    score = F.col("x.score") if ascending else -F.col("x.score")
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), score.alias("score"))
-
-
+    items = found.select("vector", F.inline("near")).groupBy("vector", "vec_id").agg(F.min("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("score", "vec_id"))
+    tops = items.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    near = asked.join(tops, "vector").select("query_id", F.inline("near")).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", (F.col("score") if ascending else -F.col("score")).alias("score"))
