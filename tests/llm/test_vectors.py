@@ -72,6 +72,32 @@ def test_neighbours_among_near_copies(spark, noise):
     assert len(got) == 450 and hits >= 0.9 * len(got)
 
 
+def test_neighbours_of_the_table(spark):
+    """Recall at the table's own 64 dimensions, against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    own = {x.vec_id: np.array(x.embedding, float) for x in df.collect() if x.embedding is not None and None not in x.embedding}
+    ids, x = np.array(list(own)), np.stack(list(own.values()))
+    hits = asked = 0
+    got = defaultdict(dict)
+    for r in ann.op8(df).collect():
+        got[r.query_id][r.vec_id] = r.score
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - own[q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        last = np.sort(d)[9]
+        hits, asked = hits + sum(s <= last for s in got[q].values()), asked + 10
+    assert x.shape[1] == 64 and asked >= 200 and hits >= 0.93 * asked
+
+
+def test_neighbours_in_groups(spark):
+    """Vectors in small groups apart from each other, for which the least windows do."""
+    r = np.random.default_rng(12)
+    x = (np.repeat(r.normal(size=(300, 16)) * 100, 12, 0) + r.normal(size=(3600, 16)))[r.permutation(3600)]
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    near = {q: set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11]) for q in range(0, 3600, 100)}
+    assert len(got) == 360 and sum(g.vec_id in near[g.query_id] for g in got) >= 0.93 * 360
+
+
 def test_neighbours_in_full_cells(spark):
     """Vectors that no key tells apart are compared one by one."""
     x = np.random.default_rng(7).normal(size=(600, 8))

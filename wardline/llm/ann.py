@@ -2,8 +2,12 @@
 
 Distinct vectors are projected at random onto a few dimensions, shifted, cut into cells and ordered along a Hilbert curve; several such
 orderings are range-partitioned in Spark. Cells are so fine that a tight group of near copies is ordered by place too, on every curve by its
-own projections. A query's window is a share of all ranks on both sides of its own, and the whole of its cell if that holds more; it may span
+own projections. A query's window is a number of ranks on both sides of its own, and the whole of its cell if that holds more; it may span
 partitions. The windows of all orderings merge and are reranked by exact distances on the original vectors.
+
+The number of ranks is measured: for a bounded sample of the queries the nearest vectors are found by brute force, and windows are as wide as
+it takes to hold the wanted share of them on one ordering at least. Where vectors lie in groups windows are short; where they have no
+low-dimensional structure they must be a share of all ranks, and work grows with queries times rows.
 """
 
 from __future__ import annotations
@@ -15,16 +19,20 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import checkpointed, saved, shuffle_partitions, smallest
 from wardline.llm.vectors import distinct, queries, ranked, valid
 
-#: Orderings; projected dimensions and bits of each (66 bytes of key); share of the ranks on each side of a query.
-CURVES, DIMENSIONS, BITS, SHARE = 18, 12, 44, 0.035
-#: Ranks on each side at least; rows that the scales are fitted on.
-LEAST, FIT_ROWS = 64, 4096
+#: Orderings; projected dimensions and bits of each (66 bytes of key).
+CURVES, DIMENSIONS, BITS = 18, 12, 44
+#: Queries, at most, that windows are measured on, and the share of their neighbours that these must hold.
+PROBES, RECALL = 192, 0.97
+#: Ranks on each side at least; their least share of all ranks (1 / SHARES), which bounds the number of cells that are looked at whole.
+LEAST, SHARES = 64, 20_000
+#: Rows that the scales are fitted on.
+FIT_ROWS = 4096
 
 
 def hilbert_bits(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -82,9 +90,33 @@ def _matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURVES, share: float = SHARE) -> DataFrame:
+def probe_neighbours(units: DataFrame, probes: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(probe, hash of a vector) for the k vectors nearest to each probe but itself, by brute force over all distinct vectors (vector, h)."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, names = np.full((len(probes), k), np.inf), np.zeros((len(probes), k), np.int64)
+        for batch in batches:
+            blobs = batch.column(0).to_pylist()
+            for at in range(0, len(blobs), 1024):
+                x = _matrix(blobs[at : at + 1024])
+                d = np.stack([((x - p) ** 2).sum(1) for p in probes])
+                d[d == 0] = np.inf
+                own = batch.column(1).to_numpy()[at : at + 1024]
+                every, hashes = np.concatenate([best, d], 1), np.concatenate([names, np.broadcast_to(own, d.shape)], 1)
+                order = np.argsort(every, axis=1, kind="stable")[:, :k]
+                best, names = np.take_along_axis(every, order, 1), np.take_along_axis(hashes, order, 1)
+        i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[i, j]), pa.array(names[i, j])], names=["probe", "d", "h"])
+
+    found = units.select("vector", "h").mapInArrow(nearest, "probe long, d double, h long")
+    place = F.row_number().over(Window.partitionBy("probe").orderBy("d", "h"))
+    return [(r.probe, r.h) for r in found.withColumn("place", place).filter(F.col("place") <= k).select("probe", "h").collect()]  # PROBES * k rows
+
+
+def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURVES, recall: float = RECALL) -> DataFrame:
     """The k nearest found for each query, the rows whose vec_id is divisible by ``every``, among all other rows, by Euclidean distance.
 
+    Windows are measured to hold ``recall`` of the neighbours, see above.
     Copies of a vector are indexed once, with their k + 1 smallest ids, which is exact. Rows that take no part: see vectors.valid;
     without a valid row the result is empty. Ties go to the smaller vec_id; rows that repeat an id count once, at their best.
     Other columns than vec_id and embedding are not looked at. Returns query_id, rank, vec_id, score.
@@ -111,11 +143,11 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
     order = ["curve", "key", "vector"]
     dealt = checkpointed(placed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order))
 
-    width = max(LEAST, int(np.ceil(share * units.count())))
+    width = max(LEAST, -(-units.count() // SHARES))
     run = pa.struct([("key", pa.binary()), ("first", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of each curve, and its runs of one key that are longer than a window's side or touch an end of the partition."""
+        """Rows of each curve, and its runs of one key that are longer than the least window's side or touch an end of the partition."""
         n = np.zeros(curves, np.int64)
         runs: dict[int, list[list]] = {}
         for batch in batches:
@@ -152,7 +184,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
                 full[-1][2] += n
             else:
                 full.append([key, own[-1][1] + first, own[-1][1] + first + n - 1])
-    full = {c: [(first, last) for _, first, last in own if last - first >= width] for c, own in cells.items()}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -169,6 +200,18 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, curves: int = CURV
 
     ranks = dealt.mapInArrow(numbered, "pid long, curve int, rank long, vector binary, ids array<long>, asks boolean")
 
+    # how far apart, on their best ordering, are sampled queries and their nearest vectors?
+    probes = [(bytes(r.vector), r.h) for r in smallest(asked.select("vector").distinct().withColumn("h", F.xxhash64("vector")), "h", PROBES).collect()]
+    near = probe_neighbours(units, _matrix([v for v, _ in probes]), k) if probes else []
+    if near:
+        wanted = spark.createDataFrame([(h,) for h in {h for _, h in probes} | {h for _, h in near}], "h long")  # PROBES * (k + 1) at most
+        places: dict[int, np.ndarray] = {}
+        for r in ranks.select("curve", "rank", F.xxhash64("vector").alias("h")).join(F.broadcast(wanted), "h").collect():
+            places.setdefault(r.h, np.zeros(curves, np.int64))[r.curve] = r.rank
+        apart = np.sort([int(np.abs(places[probes[p][1]] - places[h]).min()) for p, h in near])
+        width = max(width, int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]))
+    full = {c: [(first, last) for _, first, last in own if last - first >= width] for c, own in cells.items()}
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
