@@ -123,7 +123,25 @@ def test_lines(spark):
     rows = [(x.doc_id, x.text) for x in again.collect()]
     assert sorted(map(tuple, line_dedup.dedup_lines(again, 10).collect()), key=str) == brute_lines(rows, 10)
     assert line_dedup.op2(df.limit(0)).count() == 0
-    assert line_dedup.keep_bitmaps(df, 10).filter("doc_id >= 130").count() == 200
+    maps = {x.doc_id: x.words for x in line_dedup.keep_bitmaps(df, 10).collect()}
+    want = {i: (n, gone, t) for i, n, gone, t in brute_lines(list(enumerate(texts)), 10)}
+    assert set(maps) == {i for i, (_, gone, _) in want.items() if gone} and len([i for i in maps if i >= 130]) == 200
+    for i, words in maps.items():
+        own = texts[i].split("\n")
+        assert "\n".join(s for k, s in enumerate(own) if words.get(k // 64, -1) >> (k % 64) & 1) == want[i][2]
+
+
+def test_lines_held_over_batches(spark):
+    """A run under the limit that goes on over many batches is settled at its end, whichever way."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        texts = ["again\n" * 60 + f"own {i}" for i in range(9)] + ["often\n" * (1 + i % 9) + "again2" for i in range(30)] + ["solo\n" * 200]
+        for more in ([], ["again"]):
+            got = line_dedup.dedup_lines(docs(spark, texts + more), min_docs=10).collect()
+            assert sorted(map(tuple, got), key=str) == brute_lines(list(enumerate(texts + more)), 10)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def brute_groups(texts):

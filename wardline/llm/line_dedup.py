@@ -90,37 +90,47 @@ def _crossing(rows: list) -> dict[tuple[int, int], int]:
 def _frequent(min_docs: int, totals: dict[tuple[int, int], int]):
     """Streams a sorted partition and passes on the rows of lines that enough documents hold."""
 
+    def rows(pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for doc, copy, pos in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(copy), pa.array(pos)], names=["doc", "copy", "pos"])
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # rows of a last run that has too few documents so far
-        settled: tuple[int, int] | None = None  # a last run that has enough
+        key: tuple[int, int] | None = None  # the last run: its documents so far, the last of them, its rows while it has too few
+        n, last, held = 0, 0, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = _arrays(batch)
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            h1, h2, doc, copy, pos = cols
+            h1, h2, doc, copy, pos = _arrays(batch)
             fresh = _new_runs(h1, h2)
             head = fresh.copy()
             head[1:] |= doc[1:] != doc[:-1]
             starts = np.flatnonzero(fresh)
-            drop = np.add.reduceat(head, starts, dtype=np.int64) >= min_docs
+            counts = np.add.reduceat(head, starts, dtype=np.int64)
+            goes_on = key == (int(h1[0]), int(h2[0]))
+            if goes_on:
+                counts[0] += n - int(last == doc[0])
+            drop = counts >= min_docs
             for at in {0, len(starts) - 1}:
-                key = (int(h1[starts[at]]), int(h2[starts[at]]))
-                drop[at] |= totals.get(key, 0) >= min_docs or key == settled
-            if drop[-1]:
-                settled, held = (int(h1[-1]), int(h2[-1])), None
-            else:
-                settled, held = None, [c[starts[-1] :] for c in cols]
+                drop[at] |= totals.get((int(h1[starts[at]]), int(h2[starts[at]])), 0) >= min_docs
+            if goes_on and drop[0]:
+                yield from rows(held)
+            if len(starts) > 1 or not goes_on or drop[0]:
+                held = []
+            if not drop[-1]:
+                held.append([c[starts[-1] :] for c in (doc, copy, pos)])
+            key, n, last = (int(h1[-1]), int(h2[-1])), int(counts[-1]), int(doc[-1])
             keep = np.repeat(drop, np.diff(np.append(starts, len(h1))))
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, copy, pos)], names=["doc", "copy", "pos"])
+                yield from rows([[c[keep] for c in (doc, copy, pos)]])
 
     return stream
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """doc, copy, words: a sparse bitmap, from word number to 64 bits, of the lines that go; documents that keep all have no row."""
+def _bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """doc, copy, words: a keep bitmap, from word number to 64 bits, 1 for each line that stays.
+
+    Words that are not there are all ones, and so are bits past the last line; documents that keep all lines have no row.
+    """
     spark = docs.sparkSession
     lines = _with_identity(docs).select("doc", "copy", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     hashed = lines.filter(F.length("key") >= max(1, min_chars)).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc", "copy", "pos")
@@ -130,7 +140,7 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     # one row per partition comes first by its place in the partition: the runs of one partition are in hash order
     totals = _crossing(sorted(borders, key=lambda r: (r.pid, r.h1, r.h2)))
     gone = dealt.mapInArrow(_frequent(min_docs, totals), "doc long, copy long, pos int").distinct()
-    words = gone.groupBy("doc", "copy", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    words = gone.groupBy("doc", "copy", F.shiftright("pos", 6).alias("word")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos % 64)"))).alias("bits"))
     return words.groupBy("doc", "copy").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
@@ -142,19 +152,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, carry:
     rows; repeated rows give repeated results; other columns than doc_id and text are not looked at.
     Returns doc_id, n_lines, n_dropped, kept_text and the columns named in ``carry``.
     """
-    gone = drop_bitmaps(docs, min_docs, min_chars)
-    joined = _with_identity(docs, carry).join(gone.hint("shuffle_hash"), ["doc", "copy"], "left")
-    bit = "coalesce(shiftright(words[shiftright(i, 6)], i % 64) & 1L, 0L) = 1L"
-    kept = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.expr(f"filter(split(text, '\n', -1), (l, i) -> NOT ({bit}))"), "\n"))
-    dropped = F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.expr("aggregate(map_values(words), 0, (a, b) -> a + bit_count(b))"))
+    kept = _bitmaps(docs, min_docs, min_chars)
+    # a bitmap has a bit for a line of the text beside it, so a task holds far less of bitmaps than it streams of texts
+    joined = _with_identity(docs, carry).join(kept.hint("shuffle_hash"), ["doc", "copy"], "left")
+    bit = "coalesce(shiftright(words[shiftright(i, 6)], i % 64) & 1L, 1L) = 1L"
+    text = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(F.expr(f"filter(split(text, '\n', -1), (l, i) -> {bit})"), "\n"))
+    dropped = F.when(F.col("words").isNull(), F.lit(0)).otherwise(F.expr("aggregate(map_values(words), 0, (a, b) -> a + 64 - bit_count(b))"))
     n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"), *carry)
+    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), text.alias("kept_text"), *carry)
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """The bitmaps alone, without a text: doc_id and words, from word number to 64 bits, 1 for each line that goes."""
-    gone = drop_bitmaps(docs, min_docs, min_chars)
-    return gone.select(F.when(F.col("doc") == NO_ID, None).otherwise(F.col("doc")).alias("doc_id"), "words")
+    """The bitmaps alone, without a text: doc_id and words, from word number to 64 bits, 1 for each line that stays. Words that are not
+    there are all ones, and so are documents that are not there."""
+    return _bitmaps(docs, min_docs, min_chars).select(F.when(F.col("doc") == NO_ID, None).otherwise(F.col("doc")).alias("doc_id"), "words")
 
 
 def op2(docs: DataFrame) -> DataFrame:
