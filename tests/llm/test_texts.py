@@ -397,6 +397,38 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0), field).count() == 0
 
 
+def article(page):
+    """The tables' pages by their own template: what stands in the article, without the operator's code."""
+    import html
+
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    parts = [html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n\n".join(t for t in (" ".join(x.split()) for x in parts) if t)
+
+
+def test_main_text_of_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {x.page_id: article(x.html) for x in df.collect()}
+    got = html_extract.op4(df.unionByName(df.filter("page_id < 2").withColumn("page_id", F.lit(None).cast("long")))).collect()
+    assert len(got) == len(want) + 2 and all(x.page_id is None or (x.text, x.n_chars) == (want[x.page_id], len(want[x.page_id])) for x in got)
+
+
+def test_deep_pages():
+    """Very many unclosed or nested elements and end tags take time and memory in proportion."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    start = time.time()
+    n = 30_000
+    got = html_extract.blocks('<div class="menu">' * n + "x" + "</span></section>" * n + "".join(f"<div><p>a{k}" for k in range(n)))
+    assert len(got) == n + 1 and got[0].text == "x" and "hint menu" in got[-1].place.within
+    assert time.time() - start < 20 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    closed = html_extract.blocks("<div>" * n + "x" + "</div>" * n + "y")
+    assert [(b.text, b.place and b.place.tag) for b in closed] == [("x", "div"), ("y", None)]
+
+
 def test_elements_without_end_tag():
     texts = lambda page: [b.text for b in html_extract.blocks(page)]
     rest = "<p>b</p>"

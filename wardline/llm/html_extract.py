@@ -10,8 +10,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,21 @@ ENDS_AT = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 HINTS = "ad ads advert sponsor promo banner nav menu breadcrumb head foot side widget related share social comment reply respond discuss cookie consent notice alert popup modal newsletter subscribe signup form search login copyright legal tag meta byline author date caption pager pagination article content post entry story body main text".split()
 
 
+class Place:
+    """An open element: its tag, and what it and the elements around it say. That is shared with the element around it where it is the
+    same, so pages with very many nested elements take no more."""
+
+    __slots__ = ("tag", "within")
+
+    def __init__(self, around: Place | None, tag: str, names: str):
+        base, own = around.within if around else frozenset(), _says(names)
+        self.tag, self.within = tag, base if own <= base else base | own
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    place: Place | None
     linked: int
 
 
@@ -77,7 +90,8 @@ def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order, character references decoded, white space single; scripts, styles and markup are not text."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Place] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -85,7 +99,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(n for _, n in stack if n.split(".", 1)[0] not in INLINE), linked))
+            out.append(Block(text, stack[-1] if stack else None, linked))
         parts.clear()
         linked = 0
 
@@ -125,36 +139,42 @@ def blocks(page: str | None) -> list[Block]:
             continue
         end()
         if m["close"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            while opened[tag]:
+                last = stack.pop().tag
+                opened[last] -= 1
+                if last == tag:
+                    break
             links = 0
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            while stack and stack[-1][0] in ENDS_AT and (ENDS_AT[stack[-1][0]] is None or tag in ENDS_AT[stack[-1][0]]):
-                stack.pop()
-            stack.append((tag, _names(tag, m["attrs"])))
+            while stack and stack[-1].tag in ENDS_AT and (ENDS_AT[stack[-1].tag] is None or tag in ENDS_AT[stack[-1].tag]):
+                opened[stack.pop().tag] -= 1
+            stack.append(Place(stack[-1] if stack else None, tag, _names(tag, m["attrs"])))
+            opened[tag] += 1
             links = 0
     say(page[at:])
     end()
     return out
 
 
-_PATHS: dict[tuple[str, ...], tuple[str, ...]] = {}
+@lru_cache(maxsize=50_000)
+def _says(names: str) -> frozenset[str]:
+    """Features of an element from its tag and its class, id and role words."""
+    tag, *words = names.split(".")
+    return frozenset({f"in {tag}"} | {f"word {w}" for w in words} | {f"hint {h}" for w in words for h in HINTS if (w == h if len(h) < 4 else h in w)})
+
+
+_PLACES: dict[tuple[frozenset[str], str], tuple[str, ...]] = {}
 
 
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    if path not in _PATHS:
-        if len(_PATHS) > 50_000:
-            _PATHS.clear()
-        found = set()
-        for depth, names in enumerate(reversed(path)):
-            tag, *words = names.split(".")
-            found |= {f"in {tag}"} | ({f"at {tag}"} if depth == 0 else set())
-            for w in words:
-                found.add(f"word {w}")
-                found |= {f"hint {h}" for h in HINTS if (w == h if len(h) < 4 else h in w)}
-        _PATHS[path] = tuple(sorted(found))
-    return _PATHS[path]
+def place_features(place: Place | None) -> tuple[str, ...]:
+    if place is None:
+        return ()
+    key = place.within, place.tag
+    if key not in _PLACES:
+        if len(_PLACES) > 50_000:
+            _PLACES.clear()
+        _PLACES[key] = tuple(sorted(place.within | {f"at {place.tag}"}))
+    return _PLACES[key]
 
 
 def text_features(b: Block) -> list[str]:
@@ -181,12 +201,12 @@ class Field:
         w = self.weights
         out = []
         for b in page:
-            key = (b.path, *text_features(b))
+            key = (b.place and (b.place.within, b.place.tag), *text_features(b))
             got = self._memo.get(key)
             if got is None:
                 if len(self._memo) > 100_000:
                     self._memo.clear()
-                known = [w[f] for f in (*path_features(b.path), *key[1:]) if f in w]
+                known = [w[f] for f in (*place_features(b.place), *key[1:]) if f in w]
                 got = self._memo[key] = (float(sum(k[0] for k in known)), float(sum(k[1] for k in known)))
             out.append(got)
         return out
@@ -217,7 +237,7 @@ class Field:
 def train(pages: list[tuple[list[Block], list[bool]]], steps: int = 250, l2: float = 0.002) -> Field:
     """Maximum likelihood with forward-backward sums over all pages at once; Adam; features of two pages at least."""
     seen: dict[str, set[int]] = {}
-    rows = [[(*path_features(b.path), *text_features(b)) for b in page] for page, _ in pages]
+    rows = [[(*place_features(b.place), *text_features(b)) for b in page] for page, _ in pages]
     for i, page in enumerate(rows):
         for f in {f for r in page for f in r}:
             seen.setdefault(f, set()).add(i)
