@@ -105,14 +105,13 @@ def repair(roles: list[str | None], costs: Costs = Costs()) -> tuple[int, list[E
 def repaired(turns: list[tuple[str | None, str | None]], costs: Costs = Costs()) -> tuple[int, list[tuple[str, str]]]:
     """Cost and the legal sequence of (role, text); merged texts are joined by a line feed."""
     cost, edits, after = repair([role_of(r) for r, _ in turns], costs)
-    out: list[list[str]] = []
+    out: list[tuple[str, list[str]]] = []
     for (_, text), edit in zip(turns, edits, strict=True):
-        out += [[r, ""] for r in edit.inserts]
-        if edit.merges:
-            out[-1][1] += "\n" + (text or "")
-        else:
-            out.append([edit.role, text or ""])
-    return cost, [(r, t) for r, t in out] + [(r, "") for r in after]
+        out += [(r, []) for r in edit.inserts]
+        if not edit.merges:
+            out.append((edit.role, []))
+        out[-1][1].append(text or "")
+    return cost, [(r, "\n".join(parts)) for r, parts in out] + [(r, "") for r in after]
 
 
 def render(turns: list[tuple[str, str]]) -> str:
