@@ -1,11 +1,15 @@
 """The whole plan: precedence of capitals, bypassed filters, and rows whose msg_id, user or time says nothing."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
 
-from wardline.config import Caps, Links, Settings, Spam, Words
-from wardline.operators import policy
+from wardline import queries
+from wardline.config import Ads, Caps, Links, Settings, Spam, Words
+from wardline.operators import policy, spam
+from wardline.operators.suspicion import SuspicionFold
+from wardline.operators.words import engine
 from wardline.plans.moderate import moderate, moderate_chat, moderate_distinct
 
 START = datetime(2024, 1, 1)
@@ -112,3 +116,50 @@ def test_fan_out_and_preferences(spark, monkeypatch):
         monkeypatch.setattr(policy, "ADMINS", most)
         assert sorted((r.note, r.admin_id) for r in policy.fan_out(notes, admins, preferences=wishes).collect()) == want
     assert policy.fan_out(notes, admins.limit(0)).count() == 0
+
+
+def masked(text, spans, mask):
+    for m in sorted(spans, reverse=True):
+        text = text[: m.start] + mask(text[m.start : m.end]) + text[m.end :]
+    return text
+
+
+def edges(t):
+    letters = "".join(c for c in t if c.isalpha())
+    return letters[0] + "*" * (len(letters) - 2) + letters[-1] if len(letters) > 1 else "*"
+
+
+def shouts(word):
+    letters = "".join(c for c in word if c.isalpha())
+    upper = sum(c.isupper() for c in letters)
+    return len(letters) > 1 and letters.lower() not in ("лол", "гг", "афк") and upper > 1 and upper * 100 >= 70 * len(letters)
+
+
+def test_chat_against_a_plain_loop(spark):
+    """The tables' chat, row by row in plain Python, against the plan: every text, decision, level and spam result."""
+    folder = "/root/testdata/sf0.001"
+    hour = 3_600_000
+    words = tuple(sorted({w.lower() for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() for w in re.findall(r"[a-z]{9,}", r.text)}))[:60]
+    cfg = Settings(bad=Words(words=words, safe=()), blocked=Words.blocked(words=("license", "copyright")), links=Links(ads=Ads(ttl_ms=96 * hour)))
+    cfg = Settings(bad=cfg.bad, blocked=cfg.blocked, links=cfg.links, spam=Spam(cooldown_ms=hour, similar_ms=48 * hour, lock_ms=0, state_ttl_ms=96 * hour))
+    chat = queries.chat(spark, folder)
+    bad, blocked, fold = engine(cfg.bad), engine(cfg.blocked), SuspicionFold(cfg.links)
+    want, user, seen = {}, None, {}
+    for r in sorted(chat.collect(), key=lambda r: (r.user_id, r.ts, r.msg_id)):
+        if r.user_id != user:
+            user, record, state = r.user_id, fold.new(), spam.State()
+        at = int((r.ts - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
+        if r.text not in seen:
+            one = blocked.find(r.text)
+            t = masked(r.text, one, lambda s: "*" * len(s))
+            two = bad.find(t)
+            seen[r.text] = bool(one), bool(two), masked(t, two, edges), any(map(shouts, re.split(r"[ \t\n\x0b\f\r]+", r.text)))
+        has_blocked, has_bad, text, caps = seen[r.text]
+        links, level, _ = fold.step(record, at, {"text": text})
+        result = spam.step(cfg.spam, state, at, r.text, at)
+        final = re.sub(r"\S+", lambda m: m[0].lower() if shouts(m[0]) else m[0], text) if caps else text
+        by = "blocked_words" if has_blocked else "bad_words" if has_bad else "links" if links else "caps" if caps else None
+        stops = result is not None and result.reason != "character-flood-first"
+        want[r.msg_id] = (final, level, len(links), result and result.reason, "anti_spam" if stops else by, stops or by in ("blocked_words", "links"))
+    got = {r.msg_id: (r.final_text, r.level, len(r.links), r.spam_reason, r.decided_by, r.blocked) for r in moderate_chat(chat, cfg).collect()}
+    assert got == want and len({v[4] for v in want.values()}) >= 4

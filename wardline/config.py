@@ -107,6 +107,20 @@ class Words:
     def blocked(cls, **more: Any) -> Words:
         return cls(**{"mode": "block-and-notify", "keep_edges": False, "words": fixed.BLOCKED_WORDS, "safe": ()} | more)
 
+    @classmethod
+    def of(cls, tree: Mapping[str, Any], kind: str = "bad-words") -> Words:
+        """From a settings tree with the list ``kind``, bad-words or blocked-words; bad words have safe words too."""
+        at, blocked = f"filter.{kind}.", kind == "blocked-words"
+        return cls(
+            enabled=lookup(tree, at + "enabled", True),
+            mode=lookup(tree, at + "mode", "block-and-notify" if blocked else "send-and-notify").lower(),
+            level=lookup(tree, at + "level", "high").lower(),
+            mask=lookup(tree, at + "replacement", "*"),
+            keep_edges=lookup(tree, at + "keep-edge-letters", not blocked),
+            words=tuple(dictionary(lookup(tree, kind, []))),
+            safe=() if blocked else tuple(dictionary(lookup(tree, "safe-words", []))),
+        )
+
 
 @dataclass(frozen=True)
 class Ads:
@@ -126,6 +140,32 @@ class Ads:
     template_score: int = 78
     templates: tuple[str, ...] = fixed.TEMPLATES
 
+    @classmethod
+    def of(cls, tree: Mapping[str, Any]) -> Ads:
+        """From a settings tree; percents within 10..100, counts and scores at least 1, lengths at least 6. What the tree lacks has the
+        defaults of its precision, and templates are off."""
+        get = lambda path, default: lookup(tree, "filter.adaptive-ad-filter." + path, default)
+        precise = get("high-precision-mode", True)
+        percent = lambda path, high, low: clamp(get(path, high if precise else low), 10, 100)
+        least = clamp(get("min-score-to-block", 70 if precise else 50), 1)
+        return cls(
+            enabled=get("enabled", True),
+            min_score=least,
+            ttl_ms=duration_ms(get("suspicion-ttl", "45m"), 45 * 60_000),
+            history=clamp(get("history-size", 10), 1),
+            max_level=clamp(get("max-level", 5), 1),
+            similar_percent=percent("elevated-similarity-percent", 68, 52),
+            similar_percent_high=percent("high-similarity-percent", 55, 38),
+            track_similarity=get("track-similarity", True),
+            whole_message=get("block-whole-message", True),
+            keywords=tuple(clean_list(get("promo-keywords", []))) or fixed.DEFAULT_KEYWORDS,
+            templates_on=get("phrase-templates.enabled", False),
+            template_percent=percent("phrase-templates.min-similarity-percent", 72, 62),
+            template_min_length=clamp(get("phrase-templates.min-message-length", 12), 6),
+            template_score=clamp(get("phrase-templates.hit-score", 78), least),
+            templates=tuple(clean_list(get("phrase-templates.templates", []))) or fixed.DEFAULT_TEMPLATES,
+        )
+
 
 @dataclass(frozen=True)
 class Links:
@@ -143,6 +183,25 @@ class Links:
     real_tld: bool = True
     ads: Ads = field(default_factory=Ads)
 
+    @classmethod
+    def of(cls, tree: Mapping[str, Any]) -> Links:
+        get, lower = (lambda path, default: lookup(tree, "filter." + path, default)), (lambda values: tuple(v.lower() for v in clean_list(values)))
+        return cls(
+            enabled=get("links.enabled", True),
+            mode=get("links.mode", "block-and-notify").lower(),
+            replacement=get("links.replacement", cls.replacement),
+            regex=get("links.regex", fixed.LINK),
+            list_on=get("links.list-filter.enabled", False),
+            list_mode=get("links.list-filter.mode", "whitelist").lower(),
+            domains=tuple(clean_list(get("links.list-filter.domains", []))),
+            smart=get("smart-detection.enabled", True),
+            tlds=lower(get("smart-detection.tlds", [])),
+            triggers=lower(get("smart-detection.quick-triggers", [])),
+            min_parts=get("smart-detection.min-domain-parts", 2),
+            real_tld=get("smart-detection.require-real-tld", True),
+            ads=Ads.of(tree),
+        )
+
 
 @dataclass(frozen=True)
 class Caps:
@@ -158,6 +217,24 @@ class Caps:
     filter_bad: str = "both"
     filter_blocked: str = "both"
 
+    @classmethod
+    def of(cls, tree: Mapping[str, Any]) -> Caps:
+        """From a settings tree; the percent within 0..100, the length at least 1 unless it is -1."""
+        get = lambda path, default: lookup(tree, "filter.caps." + path, default)
+        length = get("min-length", 5)
+        return cls(
+            enabled=get("enabled", False),
+            mode=get("mode", "replace-and-notify").lower(),
+            min_length=-1 if length == -1 else clamp(length, 1),
+            percent=clamp(get("max-caps-percent", 70), 0, 100),
+            letters_only=get("ignore-non-letters", True),
+            whitelist=tuple(clean_list(get("whitelist", []))),
+            notify_bad=get("badwords-priority.notification-priority", "badwords").lower(),
+            notify_blocked=get("blockedwords-priority.notification-priority", "blockedwords").lower(),
+            filter_bad=get("badwords-priority.filter-priority", "both").lower(),
+            filter_blocked=get("blockedwords-priority.filter-priority", "both").lower(),
+        )
+
     @property
     def shortest(self) -> int:
         return 1 if self.min_length == -1 else self.min_length
@@ -209,3 +286,15 @@ class Settings:
     spam: Spam = field(default_factory=Spam)
     stages: tuple[int, ...] = (1, 3, 5, 7)
     commands: tuple[str, ...] = fixed.COMMANDS
+
+    @classmethod
+    def of(cls, trees: Mapping[str, Mapping[str, Any]]) -> Settings:
+        """From the trees of the files bad-words, blocked-words, links, caps and spam; a file that is not there is an empty one."""
+        tree = lambda name: trees.get(name, {})
+        return cls(
+            bad=Words.of(tree("bad-words")),
+            blocked=Words.of(tree("blocked-words"), "blocked-words"),
+            links=Links.of(tree("links")),
+            caps=Caps.of(tree("caps")),
+            spam=Spam.of(tree("spam")),
+        )

@@ -119,3 +119,13 @@ RECRUITING_FOLDED = (
     "lucw", "topov", "podpis", "zahodi", "perehod", "ssilka", "tgk", "tgc", "sepvep", "invait", "invite", "reklama", "promokod", "aipi",
     "gifer", "anarho", "anarhia",
 )
+
+# Colours of the codes 0 to f, and the codes that are no colours.
+PALETTE = tuple("000000 0000aa 00aa00 00aaaa aa0000 aa00aa ffaa00 aaaaaa 555555 5555ff 55ff55 55ffff ff5555 ff55ff ffff55 ffffff".split())
+STYLE_CODES = "klmnor"
+# Verbs of actions, by whom they reach.
+ACTIONS = {
+    "player": ("message", "sound", "title", "subtitle", "actionbar", "player-command", "effect", "teleport", "give-item"),
+    "console": ("message-console", "console-command"),
+    "all": ("broadcast",),
+}

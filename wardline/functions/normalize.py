@@ -125,6 +125,24 @@ def strip_colors(c: Column | str) -> Column:
     return F.regexp_replace(s, r"(?i)[&§][0-9a-fk-orx]", "")
 
 
+def translated_colors(c: Column | str) -> Column:
+    """Colour codes in the one form that clients read, six signed digits; tags go. ``&#rrggbb``, ``&x&r&r&g&g&b&b`` and ``#rrggbb`` are colours,
+    the last unless a hex digit stands before it; so are the codes 0 to f, and styles keep their letter. Private-use characters mark what is done."""
+    digit, done, end, gone = "[0-9a-fA-F]", "\ue000", "\ue001", "\ue002"
+    s = F.regexp_replace(text(c), f"<[^>]{{0,39}}>", gone)
+    s = F.regexp_replace(s, f"[&§]#({digit}{{6}})", f"{done}$1{end}")
+    s = F.regexp_replace(s, r"([&§])[xX]" + rf"\1({digit})" * 6, f"{done}$2$3$4$5$6$7{end}")
+    s = F.regexp_replace(s, f"(?<![0-9a-fA-F{end}])#({digit}{{6}})", f"{done}$1{end}")
+    for i, colour in enumerate(fixed.PALETTE):
+        s = F.regexp_replace(s, f"(?i)[&§]{i:x}", done + colour + end)
+    s = F.regexp_replace(s, f"[&§]([{fixed.STYLE_CODES}])", "§$1")
+    for code in fixed.STYLE_CODES:
+        s = F.replace(F.replace(s, F.lit("&" + code.upper()), F.lit("§" + code)), F.lit("§" + code.upper()), F.lit("§" + code))
+    parts = F.split(s, done)
+    spelt = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.concat(F.lit("§x"), F.regexp_replace(F.lower(F.substring(p, 1, 6)), "(.)", "§$1"), F.substring(p, 8, 1 << 30)))
+    return F.replace(F.concat(F.get(parts, F.lit(0)), F.array_join(spelt, "")), F.lit(gone), F.lit(""))
+
+
 def sanitized(c: Column | str) -> Column:
     """A value safe inside a command: no control characters, percent signs or braces, 128 characters at most."""
     return F.substring(F.regexp_replace(text(c), r"[\x00-\x1f\x7f%{}]", ""), 1, 128)

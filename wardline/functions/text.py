@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline import fixed
 from wardline.config import UNIT_MS
 from wardline.functions.normalize import text
 
@@ -67,6 +68,44 @@ def parse_action(c: Column | str) -> Column:
     return F.struct(F.when(kind == "", F.lit("message")).otherwise(kind).alias("type"), F.when(kind == "", s).otherwise(F.regexp_extract(s, r"(?s)^\[([^\]]+)\]\s*(.*)$", 2)).alias("content"))
 
 
+def typed_action(action: Column) -> Column:
+    """struct(target, known, valid, name, numbers) of a parsed action (type, content): whom it reaches, whether the verb is known and its
+    arguments can be read, and these. Texts and commands are names; sounds have volume and pitch, titles their three times in ticks,
+    effects their ticks and level from 0, teleports a world and three coordinates, items an amount. What is missing has its default."""
+    kind, content = action["type"], F.trim(action["content"])
+    parts, fields = F.split(content, r"\s+"), F.split(content, ";", 4)
+    word = lambda i: F.get(parts, F.lit(i))
+    whole = lambda c: F.when(c.rlike(r"^[+-]?\d{1,10}$"), F.expr("1.0D") * c.try_cast("double"))
+    real = lambda c: c.try_cast("double")
+    or_else = lambda got, given, default: F.when(given.isNull(), F.lit(float(default))).otherwise(got)
+    volume = F.coalesce(real(word(1)), F.lit(1.0))
+    pitch = F.when(word(1).isNull() | real(word(1)).isNotNull(), F.coalesce(real(word(2)), F.lit(1.0))).otherwise(1.0)
+    numbers = (
+        F.when(kind == "sound", F.array(volume, pitch))
+        .when(kind.isin("title", "subtitle"), F.array(*[F.coalesce(whole(F.get(fields, F.lit(i))), F.lit(float(d))) for i, d in ((1, 10), (2, 70), (3, 20))]))
+        .when(kind == "effect", F.array(or_else(whole(word(1)) * 20, word(1), 600), or_else(whole(word(2)) - 1, word(2), 0)))
+        .when(kind == "teleport", F.array(*[real(word(i)) for i in range(3)]))
+        .when(kind == "give-item", F.array(whole(word(1))))
+        .otherwise(F.array().cast("array<double>"))
+    )
+    name = F.when(kind.isin("sound", "effect"), word(0)).when(kind.isin("title", "subtitle"), F.trim(F.get(fields, F.lit(0)))).when(kind == "teleport", word(3)).when(kind == "give-item", F.upper(word(0))).otherwise(content)
+    target = F.lit(None).cast("string")
+    for who, verbs in fixed.ACTIONS.items():
+        target = F.when(kind.isin(*verbs), F.lit(who)).otherwise(target)
+    valid = F.forall(numbers, lambda x: x.isNotNull()) & name.isNotNull() & ((name != "") | ~kind.isin("sound", "effect", "teleport", "give-item"))
+    return F.struct(target.alias("target"), target.isNotNull().alias("known"), (target.isNotNull() & valid).alias("valid"), name.alias("name"), numbers.alias("numbers"))
+
+
+def release_tag(c: Column | str) -> Column:
+    """The tag of a release as its JSON names it, or null."""
+    return F.nullif(F.regexp_extract(text(c), r'"tag_name"\s*:\s*"([^"]+)"', 1), F.lit(""))
+
+
+def update_due(last_ms: Column, now_ms: Column, every_ms: int = 30 * 60_000) -> Column:
+    """Whether releases may be looked up again: never before, or ``every_ms`` ago at least."""
+    return last_ms.isNull() | (now_ms - last_ms >= every_ms)
+
+
 def action_args(content: Column | str, separator: str, defaults: tuple[str, ...]) -> Column:
     """Arguments of an action by place, blank or missing ones by default; ``separator`` is a pattern."""
     parts = F.split(text(content), separator)

@@ -122,6 +122,25 @@ def remove_words(words: DataFrame, kind: str, old: Iterable[str]) -> DataFrame:
     return words.filter(~((F.col("kind") == kind) & F.lower("word").isin(gone)))
 
 
+def changed(entries: DataFrame, changes: DataFrame, lower: bool = False) -> DataFrame:
+    """value, ord of a list after changes (value, kind, ord) in order, kind being ``add`` or ``remove``.
+
+    Case does not tell entries apart; blanks at the ends and blank values do not count, and ``lower`` keeps new values in lower case. An
+    entry that is there is not added again; one that is removed and added again goes to the end. Lists of link hosts and keywords keep the
+    case, the capitals' list does not.
+    """
+    bare = F.trim("value")
+    asked = changes.select(F.lower(bare).alias("_key"), (F.lower(bare) if lower else bare).alias("value"), "kind", F.col("ord").cast("long").alias("ord")).filter("_key <> ''")
+    own = entries.select("value", F.col("ord").cast("long").alias("ord")).withColumn("_key", F.lower(F.trim("value")))
+    removed = asked.filter("kind = 'remove'").groupBy("_key").agg(F.max("ord").alias("_gone"))
+    stay = own.join(removed, "_key", "left_anti")
+    added = asked.filter("kind = 'add'").join(removed, "_key", "left").filter("_gone IS NULL OR ord > _gone").join(stay.select("_key"), "_key", "left_anti")
+    fresh = added.groupBy("_key").agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+    top = own.agg(F.coalesce(F.max("ord") + 1, F.lit(0).cast("long")).alias("_top"))
+    later = fresh.crossJoin(F.broadcast(top)).select("value", (F.col("ord") + F.col("_top")).alias("ord"))
+    return stay.select("value", "ord").unionByName(later)
+
+
 def list_words(words: DataFrame, kind: str) -> DataFrame:
     return words.filter(F.col("kind") == kind).orderBy("ord").select("word")
 
@@ -131,5 +150,3 @@ def completions(words: DataFrame, typed: str) -> DataFrame:
     low = typed.lower()
     begins = F.startswith(F.lower("word"), F.lit(low))
     return words.filter(begins | F.contains(F.lower("word"), F.lit(low))).orderBy(F.desc(begins), "word").select("word")
-
-

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import fixed
@@ -14,6 +14,7 @@ from wardline.functions import similarity as S
 from wardline.functions import text as X
 from wardline.operators import caps, lexicon, links, policy, retention, spam
 from wardline.operators.spam import SpamFold
+from wardline.operators.spans import without_overlaps
 from wardline.operators.suspicion import suspicion
 from wardline.operators.words import find_words, found_words, rewrite
 from wardline.plans.moderate import moderate, moderate_chat
@@ -230,10 +231,10 @@ _WORDS = f"words AS (SELECT norm, min(w) AS w FROM (SELECT w, {sql_compact('w')}
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """A dictionary of the long words of the benchmark: norm, ord in order of the words."""
+    """A dictionary of the long words of the benchmark: norm, word, and as ord the word itself, so no task numbers them all."""
     own = table(spark, d, "benchmark").select(F.explode(S.alnum_tokens("text")).alias("word")).filter(F.length("word") >= 8).distinct()
     first = own.withColumn("norm", N.compact("word")).groupBy("norm").agg(F.min("word").alias("word"))
-    return first.select("norm", "word", F.row_number().over(Window.orderBy("word")).alias("ord"))
+    return first.select("norm", "word", F.col("word").alias("ord"))
 
 
 @q(rf"WITH {_WORDS}, t AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{Nd}}]+')) AS token FROM documents), n AS (SELECT doc_id, token, {sql_fold('token')} AS norm FROM t) SELECT n.doc_id, n.norm, count(*) AS hits FROM n JOIN words USING (norm) WHERE length(norm) >= 3 GROUP BY ALL")
@@ -333,11 +334,22 @@ def levenshtein_pairs(spark, d):
     return _turns(spark, d).select("conv_id", "turn", "before", S.levenshtein_up_to(F.col("a"), F.col("b"), 4).cast("long").alias("distance"))
 
 
-@q(
-    f"{_PAIRS} SELECT conv_id, turn, before FROM j WHERE a = b OR (abs(length(a) - length(b)) <= 6 AND (jac >= CASE WHEN length(a) < 8 OR length(b) < 8 THEN 0.85 ELSE 0.75 END OR levenshtein(a, b) <= CASE WHEN length(a) < 8 OR length(b) < 8 THEN 2 ELSE 4 END))"
-)
+#: Each turn beside itself, changed: as it is, cut by two and by five characters, with two and with nine more, and without its second word.
+_CHANGES = ("a", "left(a, greatest(length(a) - 2, 0))", "left(a, greatest(length(a) - 5, 0))", "a || 'qx'", "'qxqxqxqxq' || a", "regexp_replace(a, '^([^ ]*) [^ ]+', '\\1')")
+
+
+@q(rf"""WITH l AS (SELECT conv_id, turn, string_split(lower(coalesce(text, '')), '') AS l FROM conversations), s AS (SELECT conv_id, turn, {_FORM} AS a FROM l),
+ p AS ({' UNION ALL '.join(f"SELECT conv_id, turn, {i} AS how, a, {c} AS b FROM s" for i, c in enumerate(_CHANGES))}),
+ w AS (SELECT *, list_distinct(list_filter(list_transform(regexp_split_to_array(a, '\s+'), lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda t: t <> '')) AS wa,
+   list_distinct(list_filter(list_transform(regexp_split_to_array(b, '\s+'), lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda t: t <> '')) AS wb FROM p),
+ j AS (SELECT *, CASE WHEN len(wa) + len(wb) = 0 THEN 0.0 ELSE len(list_intersect(wa, wb))::DOUBLE / (len(wa) + len(wb) - len(list_intersect(wa, wb))) END AS jac FROM w)
+ SELECT conv_id, turn, how FROM j WHERE a = b OR (abs(length(a) - length(b)) <= 6 AND (jac >= CASE WHEN length(a) < 8 OR length(b) < 8 THEN 0.85 ELSE 0.75 END OR levenshtein(a, b) <= CASE WHEN length(a) < 8 OR length(b) < 8 THEN 2 ELSE 4 END))""")
 def similar_pairs(spark, d):
-    return _turns(spark, d).filter(S.similar_messages(F.col("a"), F.col("b"))).select("conv_id", "turn", "before")
+    own = table(spark, d, "conversations").select("conv_id", "turn", N.for_similarity("text").alias("a"))
+    cut = lambda n: F.expr(f"left(a, greatest(length(a) - {n}, 0))")
+    others = [F.col("a"), cut(2), cut(5), F.concat("a", F.lit("qx")), F.concat(F.lit("qxqxqxqxq"), "a"), F.regexp_replace("a", "^([^ ]*) [^ ]+", "$1")]
+    pairs = own.select("conv_id", "turn", "a", F.posexplode(F.array(*others)).alias("how", "b"))
+    return pairs.filter(S.similar_messages(F.col("a"), F.col("b"))).select("conv_id", "turn", "how")
 
 
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1) + 1), lambda i: substr({0}, i, 2)))"
@@ -387,7 +399,7 @@ def blocked_links(spark, d):
 def phrase_template_best(spark, d):
     cfg = Links(ads=Ads(templates=("the best of {name}", "this is the {name}", "visit us at {domain}")))
     own = docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    return own.select("doc_id", links.best_templates(spark, cfg)("text").alias("best")).filter("best.template IS NOT NULL").groupBy("doc_id").agg(F.max_by("best", "best.similarity").alias("best")).select("doc_id", "best.*")
+    return own.select("doc_id", links.best_templates(spark, cfg)("text").alias("best")).filter("best.template IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct((-F.col("best.similarity")).alias("_"), "best.template", "best.target", "best.kind")).alias("b")).select("doc_id", "b.template", "b.target", "b.kind", (-F.col("b._")).alias("similarity"))
 
 
 # State -----------------------------------------------------------------------------------------------------------------------------
@@ -409,9 +421,32 @@ def _spam(**more) -> Spam:
     return Spam(**{"cooldown_ms": HOUR, "similar_ms": 48 * HOUR, "flood_ms": 24 * HOUR, "lock_ms": 0, "state_ttl_ms": 96 * HOUR} | more)
 
 
-@q()
+#: Two forms are within four edits only if their words differ in twelve at most: an edit takes and gives three words in all.
+_SPAM_SQL = rf"""WITH RECURSIVE l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(lower(coalesce(text, '')), '') AS l FROM documents),
+ f AS (SELECT doc_id, text, {_FORM} AS form, len(list_filter(range(1, length(text) + 1), lambda i: length(substr(text, i, 6)) = 6 AND substr(text, i, 6) = repeat(substr(text, i, 1), 6)
+   OR len(list_filter([2, 3, 4], lambda n: i + 4 * n - 1 <= length(text) AND substr(text, i, 4 * n) = repeat(substr(text, i, n), 4))) > 0)) > 0 AS flood FROM l),
+ w AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY form) AS fid, list_distinct(list_filter(list_transform(regexp_split_to_array(form, '\s+'), lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda t: t <> '')) AS ws FROM f),
+ u AS (SELECT * FROM w WHERE doc_id = fid),
+ p AS (SELECT a.fid AS a, b.fid AS b, a.form AS fa, b.form AS fb, len(a.ws) + len(b.ws) AS n, len(list_intersect(a.ws, b.ws)) AS shared, length(a.form) < 8 OR length(b.form) < 8 AS short FROM u a JOIN u b ON a.fid <> b.fid AND abs(length(a.form) - length(b.form)) <= 6),
+ s AS MATERIALIZED (SELECT a, list(b) AS likes FROM p WHERE CASE WHEN n > 0 AND shared::DOUBLE / (n - shared) >= CASE WHEN short THEN 0.85 ELSE 0.75 END THEN TRUE WHEN n - 2 * shared <= 12 THEN levenshtein(fa, fb) <= CASE WHEN short THEN 2 ELSE 4 END ELSE FALSE END GROUP BY a),
+ e AS MATERIALIZED (SELECT e.event_id AS msg_id, e.user_id, epoch_us(e.ts) // 1000 AS t, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS n, w.fid, w.flood, length(w.text) >= 10 AS long, list_append(coalesce(s.likes, []), w.fid) AS likes
+   FROM events e JOIN w ON w.doc_id = e.event_id % (SELECT count(*) FROM documents) LEFT JOIN s ON s.a = w.fid),
+ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS msg_id, CAST([] AS STRUCT(t BIGINT, f BIGINT)[]) AS hist, CAST(NULL AS BIGINT) AS c_f, CAST(NULL AS BIGINT) AS c_t, CAST(NULL AS BIGINT) AS flooded, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS left_ms, FALSE AS dup FROM e
+  UNION ALL SELECT user_id, n, msg_id, CASE WHEN again OR reason IS NOT NULL THEN CASE WHEN again THEN hist ELSE h END ELSE list_slice(list_append(h, {{'t': t, 'f': fid}}), -8, -1) END, fid, CASE WHEN again THEN c_t ELSE t END,
+    CASE WHEN reason = 'character-flood-first' AND NOT again THEN t ELSE flooded END, reason, CASE WHEN again THEN old_left WHEN reason LIKE 'character-flood%' THEN CASE WHEN reason = 'character-flood' THEN greatest(1, {24 * HOUR} - (t - flooded)) ELSE {24 * HOUR} END
+     WHEN reason = 'similar-message-cooldown' THEN {48 * HOUR} - (t - near.t) WHEN reason IS NOT NULL THEN {HOUR} - (t - h[-1].t) END, again AND reason IS NOT NULL
+   FROM (SELECT *, CASE WHEN again THEN old_reason WHEN flood AND flooded IS NOT NULL AND t - flooded < {24 * HOUR} THEN 'character-flood' WHEN flood THEN 'character-flood-first' WHEN long AND near IS NOT NULL THEN 'similar-message-cooldown'
+      WHEN len(h) > 0 AND {HOUR} - (t - h[-1].t) > 0 THEN 'general-cooldown' END AS reason
+    FROM (SELECT *, list_filter(h, lambda x: t - x.t < {48 * HOUR} AND list_contains(likes, x.f))[1] AS near
+     FROM (SELECT e.*, r.hist, r.c_t, r.flooded, r.reason AS old_reason, r.left_ms AS old_left, r.c_t IS NOT NULL AND e.t - r.c_t <= 150 AND r.c_f = e.fid AS again, list_filter(r.hist, lambda x: e.t - x.t <= {96 * HOUR}) AS h
+      FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))))
+ SELECT msg_id, user_id, reason AS spam_reason, CAST(coalesce(ceil(left_ms / 1000.0), 0) AS INTEGER) AS spam_remaining_s, reason IS NOT NULL AND dup AS spam_duplicate FROM r WHERE n > 0"""
+
+
+@q(_SPAM_SQL)
 def spam_full(spark, d):
-    return SpamFold(_spam()).batch(chat(spark, d))
+    got = SpamFold(_spam()).batch(chat(spark, d))
+    return got.select("msg_id", "user_id", "spam_reason", F.coalesce("spam_remaining_s", F.lit(0)).alias("spam_remaining_s"), F.coalesce("spam_duplicate", F.lit(False)).alias("spam_duplicate"))
 
 
 @q()
@@ -606,11 +641,111 @@ def permission_migration(spark, d):
     return tables.migrated_nodes(nodes, renames).select("holder", "node")
 
 
-@q("SELECT 'error' AS filter, count(*) AS lines FROM events WHERE event_type = 'error'")
+@q("SELECT event_type AS filter, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || user_id || ' said ' || props || ' (' || event_type || ')' AS line, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
 def log_rendering(spark, d):
-    notes = table(spark, d, "events").filter("event_type = 'error'").select(F.lit("error").alias("filter"), "user_id", F.col("props").alias("item"), "ts")
-    lines = sinks.log_rows(notes, "{player} said {item}")
-    return lines.filter(X.log_time("line").isNotNull()).groupBy("filter").agg(F.count("*").alias("lines"))
+    notes = table(spark, d, "events").select(F.col("event_type").alias("filter"), "user_id", F.col("props").alias("item"), "ts")
+    return sinks.log_rows(notes, "{player} said {item} ({filter})").withColumn("at", F.date_format(X.log_time("line"), "yyyy-MM-dd HH:mm:ss"))
+
+
+@q("SELECT event_type AS filter, user_id || ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' no ' || n || ' at stage ' || n || ': ' || CASE WHEN event_type = 'error' THEN '[CAPS]' ELSE props || ', ' || event_type END AS line FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IN (1, 3, 5, 7)")
+def punishment_log(spark, d):
+    own = table(spark, d, "events").withColumnRenamed("event_type", "filter")
+    items = F.when(F.col("filter") == "error", F.array().cast("array<string>")).otherwise(F.array("props", "filter"))
+    fired = policy.violations(own).filter("fires").withColumn("stage", F.col("at_count")).withColumn("items", items)
+    return sinks.punishment_rows(fired, "{player} {time} no {violations} at stage {stage}: {original-message}")
+
+
+_ACTIONS = {
+    0: ("[message] hello {v}", "'player'", "TRUE", "'hello ' || v", "[]"),
+    1: ("[Message-Console] done", "'console'", "TRUE", "'done'", "[]"),
+    2: ("[broadcast]  all of you ", "'all'", "TRUE", "'all of you'", "[]"),
+    3: ("[sound] ding 0.5 {v}", "'player'", "TRUE", "'ding'", "[0.5, v]"),
+    4: ("[sound] dong loud {v}", "'player'", "TRUE", "'dong'", "[1.0, 1.0]"),
+    5: ("[title] Stop; {v};x", "'player'", "TRUE", "'Stop'", "[10, 70, 20]"),
+    6: ("[subtitle] Go;{v};5", "'player'", "TRUE", "'Go'", "[v, 5, 20]"),
+    7: ("[actionbar] {v}", "'player'", "TRUE", "v", "[]"),
+    8: ("[console-command] kick {v}", "'console'", "TRUE", "'kick ' || v", "[]"),
+    9: ("[player-command] spawn", "'player'", "TRUE", "'spawn'", "[]"),
+    10: ("[effect] slow {v} 2", "'player'", "TRUE", "'slow'", "[v * 20, 1]"),
+    11: ("[effect] slow long", "'player'", "FALSE", "'slow'", "[NULL, 0]"),
+    12: ("[teleport] {v} 64 -1.5 world", "'player'", "TRUE", "'world'", "[v, 64, -1.5]"),
+    13: ("[teleport] {v} 64", "'player'", "FALSE", "NULL", "[v, 64, NULL]"),
+    14: ("[give-item] stone {v}", "'player'", "TRUE", "'STONE'", "[v]"),
+    15: ("[give-item] stone", "'player'", "FALSE", "'STONE'", "[NULL]"),
+    16: ("[dance] on", "NULL", "FALSE", "'on'", "[]"),
+    17: ("plain", "'player'", "TRUE", "'plain'", "[]"),
+}
+
+
+@q("WITH e AS (SELECT event_id, event_id % 18 AS k, user_id AS v FROM events) " + " UNION ALL ".join(f"SELECT event_id, {who} AS target, {ok} AS valid, CAST({name} AS VARCHAR) AS name, CAST({numbers} AS DOUBLE[])[1] AS a, CAST({numbers} AS DOUBLE[])[2] AS b, CAST({numbers} AS DOUBLE[])[3] AS c FROM e WHERE k = {k}" for k, (_, who, ok, name, numbers) in _ACTIONS.items()))
+def action_rows(spark, d):
+    lines = F.array(*[F.lit(line) for line, *_ in _ACTIONS.values()])
+    line = F.replace(F.get(lines, (F.col("event_id") % 18).cast("int")), F.lit("{v}"), F.col("user_id").cast("string"))
+    rows = sinks.action_rows(table(spark, d, "events").select("event_id", F.array(line).alias("actions"))).select("event_id", F.explode("typed").alias("t"))
+    return rows.select("event_id", "t.target", "t.valid", "t.name", *[F.get("t.numbers", F.lit(i)).alias(n) for i, n in enumerate("abc")])
+
+
+@q("""WITH own AS (SELECT n_name AS value, n_nationkey AS ord, lower(n_name) AS k FROM nation),
+ asked AS (SELECT trim(value) AS value, kind, ord, lower(trim(value)) AS k FROM (
+  SELECT lower(n_name) AS value, 'add' AS kind, n_nationkey AS ord FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name || ' ', 'remove', 30 + n_nationkey FROM nation WHERE n_nationkey % 3 = 0
+  UNION ALL SELECT ' ' || r_name, 'add', 100 + r_regionkey FROM region UNION ALL SELECT lower(n_name), 'add', 200 + n_nationkey FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT ' ', 'add', 300)),
+ gone AS (SELECT k, max(ord) AS last FROM asked WHERE kind = 'remove' GROUP BY k), stay AS (SELECT * FROM own WHERE k NOT IN (SELECT k FROM gone)),
+ fresh AS (SELECT a.k, arg_min(a.value, a.ord) AS value, min(a.ord) AS ord FROM asked a LEFT JOIN gone g ON g.k = a.k WHERE a.kind = 'add' AND a.k <> '' AND (g.last IS NULL OR a.ord > g.last) AND a.k NOT IN (SELECT k FROM stay) GROUP BY a.k)
+ SELECT value, CAST(ord AS BIGINT) AS ord FROM stay UNION ALL SELECT value, CAST(ord + (SELECT max(ord) + 1 FROM own) AS BIGINT) FROM fresh""")
+def list_changes(spark, d):
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    entries = nation.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("ord"))
+    add, remove = F.lit("add").alias("kind"), F.lit("remove").alias("kind")
+    key = F.col("n_nationkey")
+    changes = nation.filter(key % 2 == 0).select(F.lower("n_name").alias("value"), add, key.alias("ord"))
+    changes = changes.union(nation.filter(key % 3 == 0).select(F.concat("n_name", F.lit(" ")), remove, key + 30)).union(region.select(F.concat(F.lit(" "), "r_name"), add, F.col("r_regionkey") + 100))
+    changes = changes.union(nation.filter(key % 6 == 0).select(F.lower("n_name"), add, key + 200)).union(region.filter("r_regionkey = 0").select(F.lit(" "), add, F.lit(300)))
+    return lexicon.changed(entries, changes)
+
+
+@q("""WITH c AS (SELECT user_id, event_type <> 'error' AS enabled, event_id AS ord FROM events WHERE event_type IN ('error', 'click')), last AS (SELECT user_id, arg_max(enabled, ord) AS enabled FROM c GROUP BY user_id),
+ p AS (SELECT c_custkey AS user_id, c_acctbal > 0 AS enabled FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM last) UNION ALL SELECT user_id, enabled FROM last)
+ SELECT event_id, c_custkey AS admin_id FROM events, customer WHERE event_type = 'purchase' AND c_custkey < 20 AND c_custkey <> user_id AND c_custkey NOT IN (SELECT user_id FROM p WHERE NOT enabled)""")
+def notify_preferred(spark, d):
+    events, customer = table(spark, d, "events"), table(spark, d, "customer")
+    changes = events.filter("event_type IN ('error', 'click')").select("user_id", (F.col("event_type") != "error").alias("enabled"), F.col("event_id").alias("ord"))
+    wishes = policy.preferred(customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("enabled")), changes)
+    admins = customer.filter("c_custkey < 20").select(F.col("c_custkey").alias("admin_id"))
+    return policy.fan_out(events.filter("event_type = 'purchase'"), admins, preferences=wishes).select("event_id", "admin_id")
+
+
+@q("""WITH s AS (SELECT user_id AS k, event_id, event_id % 500 AS a, event_id % 500 + event_id % 7 AS b FROM events WHERE event_type <> 'error'), r AS (SELECT user_id AS k, event_id % 490 AS a, event_id % 490 + event_id % 40 AS b FROM events WHERE event_type = 'error')
+ SELECT event_id FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = s.k AND s.a < r.b AND r.a < s.b AND s.b > s.a AND r.b > r.a)""")
+def protected_overlap(spark, d):
+    events = table(spark, d, "events")
+    spans = events.filter("event_type <> 'error'").select("user_id", "event_id", (F.col("event_id") % 500).alias("start"), (F.col("event_id") % 500 + F.col("event_id") % 7).alias("end"))
+    regions = events.filter("event_type = 'error'").select("user_id", (F.col("event_id") % 490).alias("start"), (F.col("event_id") % 490 + F.col("event_id") % 40).alias("end"))
+    return without_overlaps(spans, regions, "user_id").select("event_id")
+
+
+@q("SELECT event_id, CASE WHEN event_id % 5 > 0 THEN 'v' || user_id || '.' || event_id % 9 END AS tag, event_id % 5 > 0 AND user_id * 10 + event_id % 9 > 7000 AS newer, event_id % 3 = 0 OR event_id % 100 >= 30 AS due FROM events")
+def release_check(spark, d):
+    tag = F.concat(F.lit('", "tag_name" : "v'), F.col("user_id").cast("string"), F.lit("."), (F.col("event_id") % 9).cast("string"), F.lit('"}'))
+    body = F.concat(F.lit('{"name": "x'), F.when(F.col("event_id") % 5 > 0, tag).otherwise(F.lit('"}')))
+    found = X.release_tag(body)
+    due = X.update_due(F.when(F.col("event_id") % 3 != 0, F.lit(0)), F.col("event_id") % 100 * 60_000)
+    return table(spark, d, "events").select("event_id", found.alias("tag"), (found.isNotNull() & X.newer_version(F.coalesce(found, F.lit("")), F.lit("700.0"))).alias("newer"), due.alias("due"))
+
+
+@q(f"""WITH f AS ({_FLAGS}), u AS (SELECT f.*, f.doc_id % 60 + 1 AS user_id FROM f),
+ x AS (SELECT c_custkey AS user_id, 'bad_words' AS filter FROM customer WHERE c_acctbal < 3000 UNION SELECT c_custkey, 'blocked_words' FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') UNION SELECT c_custkey, 'caps' FROM customer WHERE c_mktsegment = 'MACHINERY'),
+ b AS (SELECT u.*, coalesce(list_sort(list_append((SELECT list(filter) FROM x WHERE x.user_id = u.user_id), 'anti_spam')), ['anti_spam']) AS off FROM u),
+ d AS (SELECT doc_id, array_to_string(off, ',') AS bypassed, CASE WHEN blocked_w AND NOT list_contains(off, 'blocked_words') THEN 'blocked_words' WHEN bad_w AND NOT list_contains(off, 'bad_words') THEN 'bad_words'
+  WHEN link AND NOT list_contains(off, 'links') THEN 'links' WHEN caps AND NOT list_contains(off, 'caps') THEN 'caps' END AS decided_by FROM b)
+ SELECT doc_id, bypassed, decided_by, coalesce(decided_by IN ('blocked_words', 'links'), FALSE) AS blocked FROM d""")
+def bypass_decisions(spark, d):
+    customer = table(spark, d, "customer").withColumnRenamed("c_custkey", "user_id")
+    users = customer.filter("c_acctbal < 3000").select("user_id", F.lit("bad_words").alias("filter"))
+    groups = spark.createDataFrame([("BUILDING", "blocked_words"), ("MACHINERY", "blocked_words"), ("MACHINERY", "caps")], "group string, filter string")
+    members = customer.select("user_id", F.col("c_mktsegment").alias("group"))
+    cfg = Settings(spam=Spam(enabled=False))
+    own = policy.bypass_sets(_flags(spark, d).withColumn("user_id", F.col("doc_id") % 60 + 1), users, groups, members, cfg)
+    return policy.decide(own, cfg, "bypassed").select("doc_id", F.array_join("bypassed", ",").alias("bypassed"), "decided_by", "blocked")
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:

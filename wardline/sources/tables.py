@@ -80,5 +80,5 @@ def migrated_nodes(nodes: DataFrame, renames: DataFrame) -> DataFrame:
 
     renames: old, new.
     """
-    due = nodes.join(F.broadcast(renames), nodes["node"] == renames["old"]).select("holder", F.col("new").alias("node"), "value", "context", "expiry")
+    due = nodes.join(renames, nodes["node"] == renames["old"]).select("holder", F.col("new").alias("node"), "value", "context", "expiry")
     return due.join(nodes.select("holder", "node", "value", "context"), ["holder", "node", "value", "context"], "left_anti").select("holder", "node", "value", "context", "expiry")
