@@ -72,12 +72,11 @@ def split_join(rows: DataFrame, other: DataFrame, key: str, spread: str, counted
     keys of ``rows`` as often, or in ``rows``; that is read twice then, so it should be a table.
     """
     hot = (rows if counted is None else counted).groupBy(key).count().filter(F.col("count") > SPLIT).select(key, F.ceil(F.col("count") / SPLIT).cast("int").alias("_parts"))
-    hot = saved(hot, "hot")
-    n = hot.count()
-    if not n:
+    some = hot.limit(MOST_HOT + 1).collect()
+    if not some:
         return rows.join(other, key)
     parts = F.coalesce("_parts", F.lit(1))
-    small = F.broadcast(hot) if n <= MOST_HOT else hot
+    small = F.broadcast(rows.sparkSession.createDataFrame(some, hot.schema)) if len(some) <= MOST_HOT else hot
     left = rows.join(small, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
     right = other.join(small, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return left.join(right, [key, "_salt"]).drop("_salt")
