@@ -29,7 +29,7 @@ from wardline.llm.common import release_memory, shuffle_partitions
 #: Mean bytes of a chunk are 2 ** CHUNK_BITS; the rolling hash covers 16 bytes.
 CHUNK_BITS = 11
 #: Characters of the chunks that a task keeps for reuse.
-CACHE_CHARS = 24_000_000
+CACHE_CHARS = 12_000_000
 #: A letter, a space, a letter: the pre-tokenizer always splits before the space. ASCII only, so no Unicode table matters.
 SYNC = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: The two libraries' tables of letters, numbers and spaces agree on these; other windows take the first library.

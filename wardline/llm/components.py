@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import saved
+from wardline.llm.common import release_memory, saved
 
 #: Links that a task holds before it reduces them to a forest.
 HELD = 1_000_000
@@ -53,6 +53,7 @@ def spanned(links: DataFrame) -> DataFrame:
                 (a, b), held = forest(*(np.concatenate([own, *(h[i] for h in held)]) for i, own in enumerate((a, b)))), []
         a, b = forest(*(np.concatenate([own, *(h[i] for h in held)]) for i, own in enumerate((a, b))))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        release_memory()
 
     return links.filter("a <> b").select("a", "b").mapInArrow(reduce, "a long, b long")
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import saved, shuffle_partitions, word_count
+from wardline.llm.common import release_memory, saved, shuffle_partitions, word_count
 
 #: Documents in a bucket, on average.
 BUCKET = 4096
@@ -108,6 +108,7 @@ def _rounded(rated: DataFrame, cap: int) -> DataFrame:
                     copies[i] = min(cap * n, max(0, math.floor(due / size + 0.5)))
                     due -= int(copies[i]) * size
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies)], names=[*batch.schema.names, "copies"])
+        release_memory()
 
     return dealt.mapInArrow(work, T.StructType([*rated.schema.fields, T.StructField("copies", T.LongType())]))
 

@@ -17,7 +17,7 @@ round runs over pairs of salts.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -176,6 +176,7 @@ def frequent_tokens(docs: DataFrame, width: int, least: int, most: int) -> tuple
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, n = np.unique(np.concatenate([_from_planes(b, np.uint32) for b in pdf["blob"]]), return_counts=True)
         keep = n >= least
+        release_memory()
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "keys": [keys[keep].tobytes()], "counts": [n[keep].astype(np.uint32).tobytes()]})
 
     got = docs.select("text").mapInArrow(send, "part int, blob binary").groupBy("part").applyInPandas(count, "part int, keys binary, counts binary")
@@ -269,6 +270,7 @@ def postings(docs: DataFrame, width: int, percent: int, keys: np.ndarray, counts
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = key[1:] == key[:-1]
         keep = same[1:] | same[:-1] | (salts > 1)
+        release_memory()
         return pd.DataFrame({"key": key[keep].view(np.int64), "salts": salts[keep], "set": sets[keep], "n": n[keep].astype(np.int32)})
 
     sent = docs.select("text").mapInArrow(send, "part int, keys binary, sets binary, sizes binary, salts binary")
@@ -297,6 +299,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 both = Sketches(batch.column("sa").to_pylist() + batch.column("sb").to_pylist())
                 keep = both.room(np.arange(len(a)), np.arange(len(a)) + len(a), np.concatenate([na, nb]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        release_memory()
 
     met = split_join(split_join(pairs, left, "a", "b"), right, "b", "a", pairs)
     return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(fit, "a long, b long")
@@ -339,14 +342,15 @@ class Sketches:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """A forest of the pairs that link, on whole sets. Sets are built again for one text each; the other texts are kept from Python."""
     used = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    texts = nodes.join(used, "set", "left_semi").select("hash").distinct()
+    texts = saved(nodes.join(used, "set", "left_semi").select("hash").distinct(), "texts")
+    keep, known = _filter(texts)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"set": pa.int64(), "tokens": pa.list_(pa.int64())}
         rows, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                tokens = shingles(text.as_py(), width)
+            for i in keep(batch.column("hash").to_numpy()):
+                tokens = shingles(batch.column("text")[int(i)].as_py(), width)
                 rows.append((set_id(tokens), tokens.view(np.int64)))
                 size += len(tokens)
                 if size > 200_000:
@@ -356,46 +360,52 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
             yield _rows(kinds, rows)
         release_memory()
 
-    sets = _with_hash(docs.select("text", "hash"), saved(texts, "texts")).select("text").mapInArrow(build, "set long, tokens array<long>")
-    sets = sets.join(used, "set", "left_semi").dropDuplicates(["set"])
+    own = docs.select("text", "hash") if known else docs.select("text", "hash").join(texts, "hash", "left_semi")
+    sets = own.mapInArrow(build, "set long, tokens array<long>").join(used, "set", "left_semi").dropDuplicates(["set"])
     left, right = (sets.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     joined = split_join(split_join(pairs, left, "a", "b"), right, "b", "a", pairs).withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long"))
     links = F.col("both") * 100 >= (F.size("ta") + F.size("tb") - F.col("both")) * percent
     return saved(spanned(joined.filter(links)), "links")
 
 
-def _with_hash(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The docs whose hash is wanted, and some others: by a Bloom filter of BLOOM_MOST bits at most, or exactly, by a join, where that is too small."""
+def _filter(wanted: DataFrame) -> tuple[Callable[[np.ndarray], np.ndarray], bool]:
+    """A function from hashes to the places of those that may be wanted, by a Bloom filter of BLOOM_MOST bits at most; beyond that a function
+    that lets all pass, and False."""
     blocks = 1 << max(0, (BLOOM_EACH * wanted.count() // BLOOM_BLOCK).bit_length())
     if blocks * BLOOM_BLOCK > BLOOM_MOST:
-        return docs.join(wanted, "hash", "left_semi")
+        return (lambda hashes: np.arange(len(hashes))), False
 
     def places(hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        h = _mix(hashes.astype(np.int64).view(_U))
-        return (h >> _U(48)).astype(np.int64) & (blocks - 1), [(h >> _U(16 * k)).astype(np.int64) & (BLOOM_BLOCK - 1) for k in range(3)]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(places(hashes)[0]), pa.array(hashes)], names=["block", "hash"])
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(BLOOM_BLOCK // 8, np.uint8)
-        for at in places(pdf["hash"].to_numpy())[1]:
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [bits.tobytes()]})
+        plain = hashes.astype(np.int64).view(_U)
+        mixed = _mix(plain)
+        return (plain >> _U(48)).astype(np.int64) & (blocks - 1), [(mixed >> _U(16 * k)).astype(np.int64) & (BLOOM_BLOCK - 1) for k in range(3)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column(0).to_numpy() for b in batches]
+        hashes = np.concatenate([np.empty(0, np.int64), *held])
+        if not len(hashes):
+            return
+        block, at = places(hashes)
+        order = np.argsort(block, kind="stable")
+        names, start = np.unique(block[order], return_index=True)
+        for name, rows in zip(names, np.split(order, start[1:]), strict=True):
+            bits = np.zeros(BLOOM_BLOCK // 8, np.uint8)
+            for x in at:
+                np.bitwise_or.at(bits, x[rows] >> 3, (1 << (x[rows] & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+        release_memory()
 
     bloom = np.zeros((blocks, BLOOM_BLOCK // 8), np.uint8)
-    for r in wanted.mapInArrow(deal, "block long, hash long").groupBy("block").applyInPandas(mark, "block long, bits binary").toLocalIterator():
-        bloom[r.block] = np.frombuffer(r.bits, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    dealt = wanted.select("hash").repartition(min(blocks, shuffle_partitions(wanted.sparkSession)), F.shiftrightunsigned("hash", 48).bitwiseAND(blocks - 1))
+    for r in dealt.mapInArrow(mark, "block long, bits binary").collect():  # a block comes once: BLOOM_MOST bits in all
+        bloom[r.block] |= np.frombuffer(r.bits, np.uint8)
+    sent = wanted.sparkSession.sparkContext.broadcast(bloom)
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, at = places(batch.column("hash").to_numpy())
-            yield batch.filter(pa.array(np.logical_and.reduce([sent.value[block, x >> 3] >> (x & 7) & 1 for x in at]).astype(bool)))
+    def keep(hashes: np.ndarray) -> np.ndarray:
+        block, at = places(hashes)
+        return np.flatnonzero(np.logical_and.reduce([sent.value[block, x >> 3] >> (x & 7) & 1 for x in at]))
 
-    return docs.mapInArrow(select, docs.schema)
+    return keep, True
 
 
 def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -432,6 +442,7 @@ def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int)
             held = [c[end:] for c in held]
             if len(pairs[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=["a", "b"])
+        release_memory()
 
     return placed.select(*order, "salt", "set", "label", "firsts", "sketch").mapInArrow(compare, "a long, b long").distinct()
 
