@@ -1,11 +1,14 @@
 """Spam and suspicion: hand-traced sequences, and batch against stream."""
 
+import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from wardline.config import Caps, Links, Spam
-from wardline.operators import policy, retention
+from wardline.functions.chars import ad_similarity
+from wardline.operators import policy, retention, spam
 from wardline.operators.spam import SpamFold, State, step
 from wardline.operators.suspicion import SuspicionFold, suspicion
 
@@ -64,6 +67,30 @@ def test_violations_and_logs(spark):
     assert {r.seq for r in retention.keep_latest(log, 1).collect()} == {2, 3}
 
 
+def test_measures_against_plain_ones():
+    r = random.Random(1)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(4000):
+        s, a, b = ("".join(r.choice(letters) for _ in range(r.randrange(0, n))) for letters, n in (("ab c\n", 30), ("abc", 12), ("abc", 12)))
+        cfg = Spam(flood_chars=r.choice([0, 1, 2, 5]), flood_patterns=r.choice([1, 2, 3]))
+        flood = re.search(rf"(?s)(.)\1{{{cfg.flood_chars},}}", s) or (cfg.flood_patterns > 1 and re.search(rf"(?s)(.{{2,4}})\1{{{cfg.flood_patterns},}}", s))
+        assert spam.is_flood(s, cfg) == bool(flood)
+        most = r.choice([0, 1, 2, 4])
+        assert spam.distance_up_to(a, b, most) == min(edits(a, b), most + 1)
+        least, whole = r.random(), ad_similarity(a * 3, b * 2)
+        bounded = ad_similarity(a * 3, b * 2, least)
+        assert bounded == whole if whole >= least else bounded < least
+
+
 def test_texts_are_looked_at_once(spark):
     df = _chat(spark, [(k, k % 3, f"see example.com and @friend{k % 4}") for k in range(24)])
     both = [sorted(map(str, suspicion(df, distinct=d).collect())) for d in (True, False)]

@@ -24,9 +24,13 @@ def text(c: Column | str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility composition, for which Spark has no function; ASCII texts pass untouched."""
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition, for which Spark has no function; ASCII texts, which it leaves as they are, do not go to Python."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def map_chars(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline import fixed
@@ -122,3 +122,17 @@ def pattern_flood(c: Column | str, most: int = 3) -> Column:
 def length_within(c: Column | str, least: int, most: int) -> Column:
     n = F.length(text(c))
     return (n >= max(least, 0)) & (n <= most if most > 0 else F.lit(True))
+
+
+def placed_tokens(df: DataFrame, key: str, column: str, alnum: bool = False) -> DataFrame:
+    """key, token, start, end of each run without white space, or of each run of letters and digits; places count from 0, the end is past it.
+
+    ``key`` tells rows apart. A row's pieces are summed up in the order they stand in.
+    """
+    inside = r"\p{L}\p{Nd}" if alnum else r"\S"
+    outside = r"[^\p{L}\p{Nd}]" if alnum else r"\s"
+    pieces = F.split(text(column), rf"(?<=[{inside}])(?={outside})|(?<={outside})(?=[{inside}])")
+    rows = df.select(key, F.posexplode(pieces).alias("_at", "token"))
+    before = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("start", F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int"))
+    return placed.filter(F.col("token").rlike(f"^[{inside}]")).select(key, "token", "start", (F.col("start") + F.length("token")).alias("end"))

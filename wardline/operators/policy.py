@@ -191,3 +191,24 @@ def conflicts(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """msg_id, expected, actual of messages that were not delivered as decided; a null text is a blocked message."""
     both = expected.select("msg_id", F.col("final_text").alias("expected")).join(actual.select("msg_id", F.col("final_text").alias("actual")), "msg_id")
     return both.filter(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def reapplied(decided: DataFrame, seen: DataFrame, again_ms: int = 250, keep_ms: int = 3_000) -> DataFrame:
+    """msg_id, final_text, blocked, slot of messages that something else changed after their decision, which then holds once more.
+
+    decided: msg_id, at_ms, final_text, blocked; seen: msg_id, at_ms, text as it stands. A decision counts for ``keep_ms``; the same text is
+    given once for each ``again_ms`` since the decision (slot). A later decision of the same message replaces an earlier one; null ids meet
+    nothing.
+    """
+    last = decided.groupBy("msg_id").agg(F.max_by(F.struct("at_ms", "final_text", "blocked"), F.struct("at_ms", "final_text")).alias("d")).select("msg_id", "d.*")
+    changed = seen.select("msg_id", F.col("at_ms").alias("_seen"), "text").join(last, "msg_id")
+    changed = changed.filter((F.col("_seen") >= F.col("at_ms")) & (F.col("_seen") - F.col("at_ms") <= keep_ms) & ~F.col("text").eqNullSafe(F.col("final_text")))
+    slot = F.floor((F.col("_seen") - F.col("at_ms")) / again_ms)
+    return changed.select("msg_id", "final_text", "blocked", slot.alias("slot")).distinct()
+
+
+def online(registry: DataFrame, until: Column | None = None) -> DataFrame:
+    """user_id, name of who is online: the last of a user's rows (user_id, name, kind, ts) up to ``until`` is a join. Of rows of one time a quit is the last."""
+    rows = registry if until is None else registry.filter(F.col("ts") <= until)
+    last = rows.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.max_by(F.struct("kind", "name"), F.struct("ts", (F.col("kind") == "quit").alias("q"), "name")).alias("r"))
+    return last.filter("r.kind = 'join'").select("user_id", "r.name")

@@ -138,6 +138,23 @@ def domain_normalize(spark, d):
     return table(spark, d, "pages").select("page_id", N.for_detection("url").alias("domain"))
 
 
+_ENDS = (".c0m", ".Phun", " . t0p", "..net", ".", "·pr0", ",orgg", "", ".x.funn")
+_ONE = {k: v for k, v in fixed.DOMAIN_FOLD.items() if len(v) == 1}
+_GONE = "".join(k for k, v in fixed.DOMAIN_FOLD.items() if not v)
+_ALIASES = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in fixed.TLD_ALIASES.items())
+
+
+@q(rf"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS w FROM benchmark), e AS (SELECT unnest([{', '.join(map(quoted, _ENDS))}]) AS e),
+ t AS (SELECT w || e AS word FROM w, e WHERE w <> ''), f AS (SELECT word, regexp_replace(translate(replace(regexp_replace(lower(word), '[․·,;\s]', '.', 'g'), 'я', 'ya'), {quoted(''.join(_ONE) + _GONE)}, {quoted(''.join(_ONE.values()))}), '[^a-z0-9_.-]', '', 'g') AS x FROM t),
+ s AS (SELECT word, regexp_replace(regexp_replace(x, '\.+', '.', 'g'), '^\.+|\.+$', '', 'g') AS x FROM f), l AS (SELECT word, x, regexp_extract(x, '[^.]*$') AS last, regexp_replace(x, '[^.]*$', '') AS head FROM s),
+ a AS (SELECT word, CASE WHEN (CASE last {_ALIASES} END) IS NOT NULL AND (NOT contains(x, '.') OR (length(head) > 1 AND length(last) > 0)) THEN head || (CASE last {_ALIASES} END) ELSE x END AS domain FROM l)
+ SELECT DISTINCT word, domain, length(word) BETWEEN 1 AND 63 AND (regexp_matches(word, '^[A-Za-z0-9_-]{{1,63}}$') OR (NOT (regexp_matches(word, '\p{{Cyrillic}}') AND NOT regexp_matches(word, '[A-Za-z]') AND length(word) > 3) AND regexp_matches(domain, '^[A-Za-z0-9_-]{{1,63}}$') AND length(domain) <= 24)) AS label FROM a""")
+def latin_domains(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("w")).filter("w <> ''").distinct()
+    own = words.select(F.explode(F.array(*[F.concat("w", F.lit(e)) for e in _ENDS])).alias("word")).distinct()
+    return own.select("word", N.latin_domain("word").alias("domain"), N.is_domain_token("word").alias("label"))
+
+
 LISTED = ("https://m.ththth.example.net/x", "www.thther.example.org", "therha.example.com")
 
 
@@ -187,6 +204,21 @@ def token_counts(spark, d):
     return per_doc(n_words=F.size(S.whitespace_tokens("text")).cast("long"), n_tokens=F.size(S.alnum_tokens("text")).cast("long"), n_distinct=F.size(S.token_set("text")).cast("long"))(spark, d)
 
 
+def _placed_sql(inside: str, outside: str) -> str:
+    return rf"""SELECT doc_id, token, "start", "end" FROM (SELECT doc_id, token, coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS "start",
+ sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos)::INT AS "end" FROM (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{inside}+|{outside}+') AS l FROM documents))) WHERE regexp_matches(token, '^{inside}')"""
+
+
+@q(_placed_sql(r"\S", r"\s"))
+def token_places(spark, d):
+    return S.placed_tokens(docs(spark, d), "doc_id", "text")
+
+
+@q(_placed_sql(r"[\p{L}\p{Nd}]", r"[^\p{L}\p{Nd}]"))
+def word_places(spark, d):
+    return S.placed_tokens(docs(spark, d), "doc_id", "text", alnum=True)
+
+
 _HANDLES = (
     rf"list_concat(regexp_extract_all(coalesce(text, ''), {quoted(fixed.HANDLE_LOOSE)}, 1), regexp_extract_all(' ' || coalesce(text, '') || ' ', {quoted(fixed.HANDLE_STRICT)}, 1))"
 )
@@ -560,6 +592,24 @@ def moderated_chat(spark, d):
     return done.select("msg_id", "user_id", F.size("links").alias("n_links"), "level", "spam_reason", "decided_by", "blocked")
 
 
+@q("""WITH d AS (SELECT user_id AS msg_id, max(event_id) AS at FROM events WHERE event_type = 'error' GROUP BY user_id),
+ s AS (SELECT user_id AS msg_id, event_id AS seen, CASE WHEN event_id % 4 = 0 THEN 'kept' ELSE props END AS text FROM events)
+ SELECT DISTINCT s.msg_id, (s.seen - d.at) // 250 AS slot FROM s JOIN d USING (msg_id) WHERE s.seen BETWEEN d.at AND d.at + 3000 AND s.text <> 'kept'""")
+def decisions_reapplied(spark, d):
+    events = table(spark, d, "events")
+    decided = events.filter("event_type = 'error'").select(F.col("user_id").alias("msg_id"), F.col("event_id").alias("at_ms"), F.lit("kept").alias("final_text"), F.lit(False).alias("blocked"))
+    seen = events.select(F.col("user_id").alias("msg_id"), F.col("event_id").alias("at_ms"), F.when(F.col("event_id") % 4 == 0, F.lit("kept")).otherwise(F.col("props")).alias("text"))
+    return policy.reapplied(decided, seen).select("msg_id", "slot")
+
+
+@q("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'error' DESC, event_id DESC) AS n FROM events WHERE event_type IN ('click', 'error') AND ts <= TIMESTAMP '2024-01-20 00:00:00')
+ SELECT user_id, 'p' || user_id AS name FROM r WHERE n = 1 AND event_type = 'click'""")
+def names_online(spark, d):
+    rows = table(spark, d, "events").filter("event_type IN ('click', 'error')")
+    registry = rows.select("user_id", F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("name"), F.when(F.col("event_type") == "click", "join").otherwise("quit").alias("kind"), "ts")
+    return policy.online(registry, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+
+
 # Logs and settings -----------------------------------------------------------------------------------------------------------------
 
 
