@@ -4,8 +4,8 @@ Texts are cut where a rolling hash of their bytes says so, hence copied passages
 one chunk. Documents are range-partitioned by the smallest hash of their chunks (ties by doc_id, so a large group of copies splits over
 tasks), which brings documents that share chunks together; each task encodes a chunk once. A chunk's encoding holds only
 between its sync points, places at which the pre-tokenizer splits whatever stands around them. What lies between the last sync
-point of one chunk and the first of the next is encoded again, over as many chunks as it takes to find one. Each join is compared: encoded
-once more from one sync point further out on both sides, it must give the ids at hand; if it does not, the text is encoded whole.
+point of one chunk and the first of the next is encoded again, over as many chunks as it takes to find one, and from one sync point further
+out on both sides: there it must give the ids that the chunks have; if it does not, the text is encoded whole.
 """
 
 from __future__ import annotations
@@ -76,6 +76,22 @@ def content_key(text: str | None) -> int:
     return best
 
 
+def sync_points(text: str) -> tuple[int, int, int, int] | None:
+    """The first two and the last two; None if there is but one."""
+    first = SYNC.search(text)
+    second = first and SYNC.search(text, first.start() + 1)
+    if second is None:
+        return None
+    found, end = [], len(text)
+    while len(found) < 2:
+        size = 64
+        while not (some := [m.start() for m in SYNC.finditer(text, max(0, end - size), end)]) and size < end:
+            size *= 4
+        found += some[::-1][: 2 - len(found)]
+        end = found[-1]
+    return first.start(), second.start(), found[1], found[0]
+
+
 class Chunk(NamedTuple):
     """A chunk with sync points: the text before the first, ids between the first and the last, the text after it; and the first and the
     last stretch between two neighbouring sync points, with their ids, for the comparison of joins."""
@@ -122,11 +138,11 @@ class Codec:
         if key in self.cache:
             return self.cache[key]
         text = data.decode()
-        at = [m.start() for m in SYNC.finditer(text)]
         got = None
-        if len(at) > 1:
-            step, back = text[at[0] : at[1]], text[at[-2] : at[-1]]
-            got = Chunk(text[: at[0]], array.array("I", self.plain(text[at[0] : at[-1]])), text[at[-1] :], (step, self.plain(step)), (back, self.plain(back)))
+        if (at := sync_points(text)) is not None:
+            first, second, before, last = at
+            step, back = text[first:second], text[before:last]
+            got = Chunk(text[:first], array.array("I", self.plain(text[first:last])), text[last:], (step, self.plain(step)), (back, self.plain(back)))
         self.remember(len(text))
         self.cache[key] = got
         return got
@@ -152,9 +168,10 @@ class Codec:
         self.cached = 0
 
     def joined(self, back: tuple[str, list[int]], between: str, step: tuple[str, list[int]]) -> list[int] | None:
-        """The ids of a join, if both sides agree with its encoding from one sync point further out."""
-        ids = self.plain(between)
-        return ids if self.plain(back[0] + between + step[0]) == back[1] + ids + step[1] else None
+        """The ids of a join, if its encoding from one sync point further out agrees with both sides there."""
+        ids = self.plain(back[0] + between + step[0])
+        own = ids[len(back[1]) : len(ids) - len(step[1])]
+        return own if back[1] + own + step[1] == ids else None
 
     def segment(self, text: str) -> list[int]:
         data = text.encode()
