@@ -3,7 +3,8 @@
 Vectors are turned into integers and copies collapse. Data are range-partitioned by the nearest of a few top centres; every partition
 builds a cover tree over its vectors, and the queries that reach it get one too. A pair of nodes is dropped when no inner product
 between them, bounded by the centres' product and the covering radii, can reach the worst kth score among the node's queries. The same
-bound drops whole partitions for query groups, whose first scores come from the partition of their own centre.
+bound drops whole partitions for query groups. Groups visit the likeliest partition first, then a few more, then all that may still hold a
+score as good as the kth found by then, so that these answer with little.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import checkpointed, saved, shuffle_partitions, smallest
-from wardline.llm.vectors import distinct, queries, ranked, valid
+from wardline.llm.vectors import best, distinct, queries, ranked, valid
 
 #: Centres at the top, chosen among at most FIT_ROWS vectors; children of a node; vectors of a leaf; queries of a group.
 CENTRES, FIT_ROWS, FAN, LEAF, GROUP = 32, 2048, 8, 512, 256
+#: Partitions, the likeliest by their bounds, that queries visit in the first rounds.
+ROUNDS = (1, 12)
 #: Products of doubles are exact while no vector's squared length reaches this; integers are multiplied beyond.
 DOUBLES = 2.0**52
 
@@ -171,51 +174,56 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([middle.tobytes()]), pa.array([radius])], names=["pid", "middle", "radius"])
 
     parts = [(r.pid, Node(np.empty(0), np.frombuffer(r.middle, np.float64), r.radius, [])) for r in dealt.select("vector").mapInArrow(outline, "pid int, middle binary, radius double").collect()]
-    asking = asked.select("vector").distinct().withColumn("node", centre("vector"))
+    asking = asked.select("vector").distinct()
 
     def local(data: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(query):
-            return pd.DataFrame({"vector": [], "near": [], "home": []}, dtype=object).astype({"home": "int32"})
+            return pd.DataFrame({"vector": [], "near": [], "pid": []}, dtype=object).astype({"pid": "int32"})
         ids = data["ids"].to_numpy()
         tops = dual_search(_matrix(list(query["vector"]), kind), _matrix(list(data["vector"]), kind), np.array([i[0] for i in ids]), k + 1, query["worst"].to_numpy(float))
         near = []
         for score, row in zip(tops.score, tops.row, strict=True):
-            best = sorted((-int(s), int(i)) for s, r in zip(score, row, strict=True) if r >= 0 for i in ids[r])[: k + 1]
-            near.append([{"score": s, "vec_id": i} for s, i in best])
-        return pd.DataFrame({"vector": query["vector"], "near": near, "home": query["pid"]})
+            found = sorted((-int(s), int(i)) for s, r in zip(score, row, strict=True) if r >= 0 for i in ids[r])[: k + 1]
+            near.append([{"score": s, "vec_id": i} for s, i in found])
+        return pd.DataFrame({"vector": query["vector"], "near": near, "pid": query["pid"]})
 
-    near_type = "vector binary, near array<struct<score: long, vec_id: long>>, home int"
-
-    def reach(home: bool):
-        """Query rows for the partitions that may hold a score as good as a query's kth: the likeliest one, or all but that."""
+    def reach(most: int | None):
+        """Query rows for the partitions that may hold a score as good as a query's kth, of a group's ``most`` likeliest, or of all, but those
+        that it has been to."""
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vectors, worsts, homes = (batch.column(c) for c in ("vector", "worst", "home"))
+                vectors, worsts, beens = (batch.column(c) for c in ("vector", "worst", "been"))
                 for at in range(0, batch.num_rows, GROUP):
-                    blobs, worst, been = vectors[at : at + GROUP].to_pylist(), worsts.to_numpy()[at : at + GROUP], homes.to_numpy()[at : at + GROUP]
+                    blobs, worst = vectors[at : at + GROUP].to_pylist(), worsts.to_numpy()[at : at + GROUP]
+                    been = beens[at : at + GROUP].to_pylist()
                     own = doubles(blobs)
                     middle = own.mean(0)
                     group = Node(np.empty(0), middle, float(np.sqrt(((own - middle) ** 2).sum(1).max())), [])
-                    best = sorted(((bound(group, node), pid) for pid, node in parts), reverse=True)
-                    for most, pid in best[: 1 if home else None]:
-                        go = np.flatnonzero((been != pid) & (worst <= most))
-                        if len(go):
+                    for top, pid in sorted(((bound(group, node), pid) for pid, node in parts), reverse=True)[:most]:
+                        go = [i for i in np.flatnonzero(worst <= top) if pid not in been[i]]
+                        if go:
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(go), pid, np.int32)), pa.array([blobs[i] for i in go], pa.binary()), pa.array(worst[go])], names=["pid", "vector", "worst"])
 
         return send
 
-    def visit(asking: DataFrame, home: bool) -> DataFrame:
-        sent = asking.select("vector", "worst", "home").mapInArrow(reach(home), "pid int, vector binary, worst double")
-        return sent.groupBy("pid").cogroup(data.groupBy("pid")).applyInPandas(lambda q, d: local(d, q), near_type)
-
-    asking = asking.withColumn("worst", F.lit(float("-inf"))).withColumn("home", F.lit(-1))
-    first = saved(visit(asking.repartitionByRange("node", "vector").sortWithinPartitions("node", "vector"), True), "tree-first")
-    score = F.get("near", F.lit(k))["score"].cast("double")
-    under = -score if kind is np.float64 else -score - F.abs(score) * 2.0**-50  # rounded down, so that ties stay
-    kth = first.select("vector", F.when(F.size("near") > k, under).otherwise(float("-inf")).alias("worst"), "home")
-    again = kth.withColumn("node", centre("vector")).repartitionByRange("node", "vector").sortWithinPartitions("node", "vector")
-    return ranked(asked, first.union(visit(again, False)), k, ascending=False)
+    def visit(asking: DataFrame, most: int | None) -> DataFrame:
+        near = asking.withColumn("node", centre("vector")).repartitionByRange("node", "vector").sortWithinPartitions("node", "vector")
+        sent = near.select("vector", "worst", "been").mapInArrow(reach(most), "pid int, vector binary, worst double")
+        kinds = "vector binary, near array<struct<score: long, vec_id: long>>, pid int"
+        return sent.groupBy("pid").cogroup(data.groupBy("pid")).applyInPandas(lambda q, d: local(d, q), kinds)
+
+    kth = asking.withColumn("worst", F.lit(float("-inf"))).withColumn("been", F.array().cast("array<int>"))
+    found = None
+    for most in ROUNDS:
+        round_ = saved(visit(kth, most), "tree-round")
+        found = round_ if found is None else found.unionByName(round_)
+        tops = best(found, k + 1).withColumn("score", F.get("near", F.lit(k))["score"].cast("double"))
+        # rounded down where doubles round, so that ties stay
+        under = -F.col("score") if kind is np.float64 else -F.col("score") - F.abs("score") * 2.0**-50
+        been = found.groupBy("vector").agg(F.collect_set("pid").alias("been"))
+        kth = asking.join(been, "vector", "left").join(tops, "vector", "left").select("vector", F.coalesce(under, F.lit(float("-inf"))).alias("worst"), F.coalesce("been", F.array().cast("array<int>")).alias("been"))
+    return ranked(asked, found.unionByName(visit(kth, None)), k, ascending=False)
 
 
 def op9(vectors: DataFrame) -> DataFrame:

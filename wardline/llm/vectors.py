@@ -71,15 +71,20 @@ def queries(rows: DataFrame, every: int) -> DataFrame:
     return own.mapInArrow(pack, "query_id long, vector binary").distinct()
 
 
+def best(found: DataFrame, n: int) -> DataFrame:
+    """vector, near: the n best (score, vec_id) of all its rows of found, sorted, each id once, smaller scores being better."""
+    items = found.select("vector", F.inline("near")).groupBy("vector", "vec_id").agg(F.min("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("score", "vec_id"))
+    return items.withColumn("place", place).filter(F.col("place") <= n).groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+
+
 def ranked(asked: DataFrame, found: DataFrame, k: int, ascending: bool) -> DataFrame:
     """query_id, rank, vec_id, score: the best k of found (vector, near: array of (score, vec_id)) without the query itself, ties to the smaller id.
 
     near holds scores such that smaller is better. Copies of an id count once, at their best, in what is asked for too. What partitions have found for a vector is
     cut to its best k + 1 before it meets the queries, many of which may ask for one vector.
     """
-    items = found.select("vector", F.inline("near")).groupBy("vector", "vec_id").agg(F.min("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("vector").orderBy("score", "vec_id"))
-    tops = items.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    tops = best(found, k + 1)
     near = asked.join(tops, "vector").select("query_id", F.inline("near")).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", (F.col("score") if ascending else -F.col("score")).alias("score"))
