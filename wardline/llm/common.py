@@ -45,7 +45,8 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if _SCRATCH and not keep:
         _SCRATCH[-1].append(path)
-    df.write.parquet(path)
+    # what operators save on the way are hashes and sketches, which do not get smaller; a codec would only hold memory outside the heap
+    df.write.option("compression", "snappy" if keep else "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

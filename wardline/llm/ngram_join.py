@@ -43,7 +43,7 @@ FIRSTS = 8
 BRIEF = 1024
 #: Bits of a Bloom filter for each text hash, of one of its blocks, and of the largest that is broadcast.
 BLOOM_EACH, BLOOM_BLOCK, BLOOM_MOST = 12, 1 << 16, 1 << 28
-FLUSH = 600_000
+FLUSH = 400_000
 
 _U = np.uint64
 _BYTE = np.random.default_rng(23).integers(0, 2**64, 256, dtype=_U)
@@ -293,9 +293,10 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     left, right = (nodes.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
-            if len(a):
+        for rows in batches:
+            for at in range(0, rows.num_rows, 1024):  # sketches of long texts are long
+                batch = rows.slice(at, 1024)
+                a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
                 both = Sketches(batch.column("sa").to_pylist() + batch.column("sb").to_pylist())
                 keep = both.room(np.arange(len(a)), np.arange(len(a)) + len(a), np.concatenate([na, nb]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
