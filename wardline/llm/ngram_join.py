@@ -348,9 +348,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"set": pa.int64(), "tokens": pa.list_(pa.int64())}
-        rows, size = [], 0
+        rows, size, done = [], 0, set()
         for batch in batches:
-            for i in keep(batch.column("hash").to_numpy()):
+            hashes = batch.column("hash").to_numpy()
+            for i in keep(hashes):
+                if hashes[i] in done:  # a task sends a text once, so copies are no hot key
+                    continue
+                done.add(hashes[i])
                 tokens = shingles(batch.column("text")[int(i)].as_py(), width)
                 rows.append((set_id(tokens), tokens.view(np.int64)))
                 size += len(tokens)
