@@ -453,10 +453,14 @@ def _spam(**more) -> Spam:
     return Spam(**{"cooldown_ms": HOUR, "similar_ms": 48 * HOUR, "flood_ms": 24 * HOUR, "lock_ms": 0, "state_ttl_ms": 96 * HOUR} | more)
 
 
+def _sql_run(length: int, gap: int) -> str:
+    """Whether as many neighbours in a list of characters c equal the one ``gap`` places on."""
+    return f"len(list_filter(range(1, len(c) - {length + gap - 2}), lambda i: {' AND '.join(f'c[i + {k}] = c[i + {k + gap}]' for k in range(length))})) > 0"
+
+
 #: Two forms are within four edits only if their words differ in twelve at most: an edit takes and gives three words in all.
-_SPAM_SQL = rf"""WITH RECURSIVE l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(lower(coalesce(text, '')), '') AS l FROM documents),
- f AS (SELECT doc_id, text, {_FORM} AS form, len(list_filter(range(1, length(text) + 1), lambda i: length(substr(text, i, 6)) = 6 AND substr(text, i, 6) = repeat(substr(text, i, 1), 6)
-   OR len(list_filter([2, 3, 4], lambda n: i + 4 * n - 1 <= length(text) AND substr(text, i, 4 * n) = repeat(substr(text, i, n), 4))) > 0)) > 0 AS flood FROM l),
+_SPAM_SQL = rf"""WITH RECURSIVE l AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), '') AS c, string_split(lower(coalesce(text, '')), '') AS l FROM documents),
+ f AS (SELECT doc_id, text, {_FORM} AS form, {' OR '.join((_sql_run(5, 1), *(_sql_run(3 * n, n) for n in (2, 3, 4))))} AS flood FROM l),
  w AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY form) AS fid, list_distinct(list_filter(list_transform(regexp_split_to_array(form, '\s+'), lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda t: t <> '')) AS ws FROM f),
  u AS (SELECT * FROM w WHERE doc_id = fid),
  p AS (SELECT a.fid AS a, b.fid AS b, a.form AS fa, b.form AS fb, len(a.ws) + len(b.ws) AS n, len(list_intersect(a.ws, b.ws)) AS shared, length(a.form) < 8 OR length(b.form) < 8 AS short FROM u a JOIN u b ON a.fid <> b.fid AND abs(length(a.form) - length(b.form)) <= 6),
