@@ -13,10 +13,13 @@ from wardline import fixed
 from wardline.config import Ads
 from wardline.functions.chars import ad_similarity, bigrams, compact, is_alnum, is_subsequence, lexical
 from wardline.functions.domains import is_domain_token, latin_domain, latin_letters, tld_alias
+from wardline.functions.scan import LONG, form_of, scan
 from wardline.operators.spans import java
 
 
 def handles(s: str) -> list[str]:
+    if "@" not in s:
+        return []
     found = [m[1] for m in java(fixed.HANDLE_LOOSE).finditer(s)] + [m[1] for m in java(fixed.HANDLE_STRICT).finditer(f" {s} ")]
     return [h for h in dict.fromkeys(map(compact, found)) if 4 <= len(h) <= 32]
 
@@ -43,7 +46,8 @@ def keyword_matches(form: str, tokens: Iterable[str], key: str) -> bool:
 
 def keywords(s: str, keys: Iterable[str]) -> list[str]:
     """Folded keywords of a message, in the order of the list."""
-    form, tokens = compact(s), significant_tokens(s)
+    form = form_of(s)
+    tokens = () if len(s) >= LONG and scan(s).plain else significant_tokens(s)  # words of a plain text are parts of its form, and too long for short keys
     return [k for k in dict.fromkeys(map(compact, keys)) if keyword_matches(form, tokens, k)]
 
 
@@ -52,7 +56,8 @@ def is_weak(key: str) -> bool:
 
 
 def is_urlish(s: str) -> bool:
-    return java(fixed.URLISH).search(s) is not None
+    low = s.lower()
+    return any(w in low for w in ("://", "www.", ".me/", ".gg/", ".com/")) and java(fixed.URLISH).search(s) is not None
 
 
 def _has_word(s: str, word: str) -> bool:
@@ -180,14 +185,17 @@ class Templates:
         self.templates = [t for t in map(compile_template, raws) if t]
         self.least = max(0.5, min(1.0, percent / 100))
         self.min_length = max(6, min_length)
+        self.longest = max((len(p.skeleton) for p in self.templates), default=0)
 
     def best(self, s: str | None) -> Phrase | None:
         """The most similar template for any target cut out of the message; the first of equals."""
         if not s or len(s) < self.min_length or not self.templates:
             return None
-        form = compact(s)
+        form = form_of(s)
         if len(form) < self.min_length - 2:
             return None
+        if len(s) >= LONG and scan(s).plain and self._too_long(form, scan(s).widest() + 34 * ("@" in s), scan(s).pairs()):
+            return None
         found = targets(s)
         if not found or self._hopeless(form, max(len(t.raw) for t in found)):
             return None
@@ -205,8 +213,11 @@ class Templates:
     def _hopeless(self, form: str, cut: int) -> bool:
         """Whether a message is too long for any template even with ``cut`` characters gone: then a similarity of 0.93 is asked for, which
         takes 0.8 of shared bigrams, but too many of the message's are in no template."""
-        longest = max(len(p.skeleton) for p in self.templates)
-        return len(form) - cut - 2 > 6 * longest + 40 and 0.8 * (len(bigrams(form)) - cut - 3) > longest
+        return self._too_long(form, cut, len(form)) and self._too_long(form, cut, len(bigrams(form)))
+
+    def _too_long(self, form: str, cut: int, pairs: int) -> bool:
+        """pairs: no more than the form's different bigrams."""
+        return len(form) - cut - 2 > 6 * self.longest + 40 and 0.8 * (pairs - cut - 3) > self.longest
 
     def _similarity(self, p: Template, t: Target, form: str) -> float | None:
         anchors = _anchors_in(form, p.anchors)
@@ -272,7 +283,7 @@ class AdScorer:
         gone = {compact(m[1]) for m in java(fixed.MENTION).finditer(s) if len(lexical(m[1])) >= 2 and lexical(m[1]) in self.names}
         keys = keywords(s, self.keys)
         own = tuple(h for h in handles(s) if h not in gone)
-        return Signals(s, compact(s), own, tuple(keys), any(not is_weak(k) for k in keys), linked, urlish, phrase)
+        return Signals(s, form_of(s), own, tuple(keys), any(not is_weak(k) for k in keys), linked, urlish, phrase)
 
     def hit(self, s: str, reason: str, score: int) -> Hit:
         end = len(s) if self.cfg.whole_message else min(len(s), 32)

@@ -21,7 +21,7 @@ def caps_word(word: Column | str, cfg: Caps = Caps()) -> Column:
 
 
 def is_caps(c: Column | str, cfg: Caps = Caps()) -> Column:
-    return F.exists(F.split(text(c), r"\s+"), lambda w: _shouts(w, cfg))
+    return text(c).rlike(r"\p{Lu}\S*\p{Lu}") & F.exists(F.split(text(c), r"\s+"), lambda w: _shouts(w, cfg))  # two capitals in a word, at least
 
 
 def fix_caps(c: Column | str, cfg: Caps = Caps()) -> Column:
