@@ -4,11 +4,12 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardline import queries
 from wardline.config import Ads, Caps, Links, Settings, Spam, Words
 from wardline.operators import policy, spam
-from wardline.operators.suspicion import SuspicionFold
+from wardline.operators.suspicion import SuspicionFold, suspicion
 from wardline.operators.words import engine
 from wardline.plans.moderate import moderate, moderate_chat, moderate_distinct
 
@@ -163,3 +164,16 @@ def test_chat_against_a_plain_loop(spark):
         want[r.msg_id] = (final, level, len(links), result and result.reason, "anti_spam" if stops else by, stops or by in ("blocked_words", "links"))
     got = {r.msg_id: (r.final_text, r.level, len(r.links), r.spam_reason, r.decided_by, r.blocked) for r in moderate_chat(chat, cfg).collect()}
     assert got == want and len({v[4] for v in want.values()}) >= 4
+
+
+def test_texts_are_shuffled_once(spark):
+    """Rows meet what was made of their texts by digest alone; the texts, null ones too, are as they were."""
+    df = spark.createDataFrame([(1, "see example.com", "a"), (2, None, "b"), (3, "", "c"), (4, "see example.com", "d")], "id long, text string, more string")
+    out = moderate_distinct(df)
+    assert out.columns[:3] == df.columns and sorted(tuple(r)[:3] for r in out.collect()) == sorted(map(tuple, df.collect()))
+    chat = df.select(F.col("id").alias("msg_id"), F.lit(START).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), "text")
+    for made in (out, suspicion(chat)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        join = next(i for i, line in enumerate(plan.split("\n")) if "Join Inner" in line)
+        side = plan.split("\n")[join + 1]
+        assert "Project" in side and not re.search(r"[\[ ]text#\d+[,\]]", side) and "RepartitionByExpression" not in plan.split("Join Inner")[1]

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from wardline.config import Ads, Links, Words
 from wardline.functions import scan
 from wardline.functions.chars import compact
-from wardline.operators import ads, links, words
+from wardline.operators import ads, links, spam, words
 from wardline.operators.links import LinkFinder
 from wardline.operators.suspicion import SuspicionFold
 
@@ -53,3 +54,24 @@ def test_long_texts_are_not_cut_into_words():
     assert [m.text for m in engine.find(text)] == ["wonderful"] and len(engine.memo) < 5
     assert finder.find(text) == [] or len(finder.endings) < 5
     assert len(finder.endings) < 5
+
+
+def test_forms_and_runs_of_long_texts():
+    rnd = random.Random(1)
+    for _ in range(500):
+        s = "".join(rnd.choice("aabßéé1 \nÿ·") * rnd.randint(1, 4) for _ in range(rnd.randint(0, 40)))
+        assert spam._single_letters(s) == spam._LETTERS.sub(r"\1", s)
+        codes = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+        for gap in (1, 2, 3, 4):
+            same = "".join("x" if i + gap < len(s) and s[i] == s[i + gap] else " " for i in range(len(s)))
+            assert spam._longest_run(codes, gap) == max(map(len, same.split()), default=0)
+
+
+def test_a_message_under_a_record_is_folded_once_in_arrays(monkeypatch):
+    """With a record, each long message was folded letter by letter again."""
+    asked = []
+    monkeypatch.setattr("wardline.functions.scan.chars.compact", lambda s, *a: asked.append(s) or compact(s, *a))
+    fold, text = SuspicionFold(), " ".join(PLAIN * 10) + " see example.com"
+    record = fold.new()
+    levels = [fold.step(record, at, {"text": text})[1] for at in (0, 1000, 2000)]
+    assert levels == [1, 2, 3] and not [s for s in asked if len(s) >= scan.LONG]

@@ -13,7 +13,6 @@ _FOLD = str.maketrans(fixed.DOMAIN_FOLD)
 _LABEL = regex.compile(r"[A-Za-z0-9_-]{1,63}")
 _TAIL = regex.compile("[/?#].*", regex.S)
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
-_EDGES = regex.compile(r"^[-.]+|[-.]+$")
 _GAP, _FOREIGN, _DOTS, _LATIN = (regex.compile(p) for p in (r"[․·,;\s]", "[^a-z0-9_.-]", r"\.+", "[A-Za-z]"))
 _CYRILLIC = regex.compile(r"\p{Script=Cyrillic}")
 
@@ -56,9 +55,14 @@ def is_domain_token(s: str) -> bool:
 
 @lru_cache(maxsize=65536)
 def for_detection(s: str) -> str:
-    s = java(fixed.INVISIBLE).sub("", s)
-    s = java(fixed.SCHEME).sub("", s, count=1)
-    s = _TAIL.sub("", s)
-    s = java(fixed.OBFUSCATED_DOT).sub(".", s)
-    s = _EDGES.sub("", _OTHER.sub(".", s))
-    return tld_alias(s.lower().translate(_FOLD))
+    plain = s.isascii()
+    if not plain:
+        s = java(fixed.INVISIBLE).sub("", s)
+    if ":" in s:
+        s = java(fixed.SCHEME).sub("", s, count=1)
+    if "/" in s or "?" in s or "#" in s:
+        s = _TAIL.sub("", s)
+    if not plain or "dot" in s.lower():
+        s = java(fixed.OBFUSCATED_DOT).sub(".", s)
+    s = _OTHER.sub(".", s).strip(".").lower()
+    return tld_alias(s if plain else s.translate(_FOLD))

@@ -40,12 +40,25 @@ _LETTERS = regex.compile(r"(\p{L})\1+", regex.I)
 _WORD_GAPS = regex.compile(r"[^\p{L}\p{N}\s\x1c-\x1f]")
 
 
+_LATIN_LETTERS = np.array([chr(i).isalpha() for i in range(256)])
+
+
+def _single_letters(s: str) -> str:
+    """Repeats of a letter become one; in Latin-1 and lower case, letters are equal only to themselves."""
+    try:
+        codes = np.frombuffer(s.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return _LETTERS.sub(r"\1", s)
+    again = (codes[1:] == codes[:-1]) & _LATIN_LETTERS[codes[1:]]
+    return np.delete(codes, np.flatnonzero(again) + 1).tobytes().decode("latin-1") if again.any() else s
+
+
 @lru_cache(maxsize=256)
 def similarity_form(s: str) -> str:
     s = s.lower()
     if not s.isascii():
         s = unicodedata.normalize("NFKC", s)
-    return _LETTERS.sub(r"\1", s).strip("".join(map(chr, range(33))))
+    return _single_letters(s).strip("".join(map(chr, range(33))))
 
 
 @lru_cache(maxsize=256)
@@ -84,8 +97,14 @@ def similar(a: Recent, b: Recent, percent: int) -> bool:
 
 def _longest_run(codes: np.ndarray, gap: int) -> int:
     """The longest row of characters that equal the one ``gap`` places on."""
+    n = len(codes) - gap
+    if n <= 0:
+        return 0
     apart = np.flatnonzero(codes[:-gap] != codes[gap:])
-    return int(np.diff(apart, prepend=-1, append=max(0, len(codes) - gap)).max()) - 1
+    if not len(apart):
+        return n
+    inner = int((apart[1:] - apart[:-1]).max()) - 1 if len(apart) > 1 else 0
+    return max(int(apart[0]), n - 1 - int(apart[-1]), inner)
 
 
 @lru_cache(maxsize=256)

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.config import Links
-from wardline.functions.chars import ad_similarity, compact, contains_spaced
+from wardline.functions.chars import ad_similarity, contains_spaced
 from wardline.functions.normalize import text
+from wardline.functions.scan import form_of
 from wardline.operators.ads import Hit, Signals, is_weak
 from wardline.operators.fold import Fold, along
 from wardline.operators.links import SPAN, LinkFinder, Span, disjoint
@@ -77,7 +78,7 @@ class SuspicionFold(Fold):
             r.level, r.history, r.handles, r.keywords = 0, [], [], []
         if not r.level and not v["hinted"]:
             return [], 0
-        x = Signals(s, compact(s), tuple(v["handles"]), tuple(v["keywords"]), any(not is_weak(k) for k in v["keywords"]), linked, v["urlish"], v["phrase"])
+        x = Signals(s, form_of(s), tuple(v["handles"]), tuple(v["keywords"]), any(not is_weak(k) for k in v["keywords"]), linked, v["urlish"], v["phrase"])
         score, hits = ads.first_hits(x, r.level)
         if r.level:
             hits += self._elevated(r, x, score)
@@ -151,7 +152,6 @@ def suspicion(messages: DataFrame, cfg: Links = Links(), names: Iterable[str] =
     if not distinct:
         return SuspicionFold(cfg, names).batch(messages)
     own = messages.select("msg_id", "ts", "user_id", text("text").alias("text")).withColumn("_key", F.sha2("text", 256))
-    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for is not merged for its few bytes
-    once = own.select("_key", "text").dropDuplicates(["_key"]).repartition(parts, "_key").select("_key", ads(messages.sparkSession, cfg, names)(F.col("text")).alias("ads"))
+    once = own.select("_key", "text").dropDuplicates(["_key"]).select("_key", "text", ads(messages.sparkSession, cfg, names)(F.col("text")).alias("ads"))
     fold = SuspicionFold(cfg, names, True)
-    return fold.batch(own.join(once, "_key"))
+    return fold.batch(own.drop("text").join(once, "_key"))  # a text comes back with what it says, so rows go to the join without it

@@ -69,12 +69,17 @@ def moderate(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = (
 
 
 def _once(df: DataFrame, bypass: str | None, analyze) -> DataFrame:
-    """Adds to each row what ``analyze`` makes of its text and bypassed filters, which is worked out once for each and joined by their digest."""
+    """Adds to each row what ``analyze`` makes of its text and bypassed filters, which is worked out once for each and joined by their digest.
+
+    Rows go to the join without their text, which comes back with what was made of it: a text is shuffled once, however often it is said.
+    """
     own = F.lit("") if bypass is None else F.array_join(F.array_sort(F.coalesce(bypass, F.array().cast("array<string>"))), ",")
-    keyed = df.drop(*ADDED).withColumn("_key", F.sha2(F.concat(own, F.lit("\x1f"), text("text")), 256))
+    rows = df.drop(*ADDED)
+    keyed = rows.withColumn("_none", F.col("text").isNull()).withColumn("_key", F.sha2(F.concat(own, F.lit("\x1f"), text("text")), 256))
     some = keyed.select("_key", text("text").alias("text"), *([bypass] if bypass else [])).dropDuplicates(["_key"])
-    some = some.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")  # analysis is dear; a number that is asked for is not merged
-    return keyed.join(analyze(some).drop("text", *([bypass] if bypass else [])), "_key").drop("_key")
+    done = analyze(some).drop(*([bypass] if bypass else []))
+    back = [F.when(~F.col("_none"), F.col("text")).alias("text") if c == "text" else c for c in rows.columns]
+    return keyed.drop("text").join(done, "_key").select(*back, *(c for c in done.columns if c not in ("_key", "text")))
 
 
 def moderate_distinct(df: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = (), bypass: str | None = None) -> DataFrame:
