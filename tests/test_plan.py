@@ -177,3 +177,15 @@ def test_texts_are_shuffled_once(spark):
         join = next(i for i, line in enumerate(plan.split("\n")) if "Join Inner" in line)
         side = plan.split("\n")[join + 1]
         assert "Project" in side and not re.search(r"[\[ ]text#\d+[,\]]", side) and "RepartitionByExpression" not in plan.split("Join Inner")[1]
+
+
+def test_documents_of_a_chat_are_shuffled_once(spark):
+    """Both sides of the join by digest read the texts through one exchange, and unchanged texts do not travel twice."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.QUERIES["moderated_chat"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(re.findall(r"FileScan parquet \[doc_id", plan)) == 1 and "ReusedExchange" in plan

@@ -55,8 +55,9 @@ class Fold(ABC):
         return run(self, messages, late)
 
 
-def along(messages: DataFrame, *folds: tuple[Fold, dict[str, str]]) -> DataFrame:
-    """The messages with what folds add, in one pass. Each fold comes with the column that each of its needs is read from.
+def along(messages: DataFrame, *folds: tuple[Fold, dict[str, str | tuple[str, str]]]) -> DataFrame:
+    """The messages with what folds add, in one pass. Each fold comes with the column that each of its needs is read from, or with two, the
+    second for where the first is null.
 
     Users are dealt over tasks and streamed in order of (ts, msg_id): a task holds one user's state, never a user's messages, and a row
     comes out once whatever its msg_id. Rows without a user have no record and stand alone; rows without a time (``_ms``, if there is that
@@ -65,7 +66,8 @@ def along(messages: DataFrame, *folds: tuple[Fold, dict[str, str]]) -> DataFrame
     if not folds:
         return messages
     timed = messages if "_ms" in messages.columns else messages.withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    reads = list(dict.fromkeys(c for _, own in folds for c in own.values()))
+    folds = tuple((fold, {need: (c, c) if isinstance(c, str) else c for need, c in own.items()}) for fold, own in folds)
+    reads = list(dict.fromkeys(c for _, own in folds for both in own.values() for c in both))
     plain = [c for c in reads if timed.schema[c].dataType.typeName() not in ("struct", "array", "map")]
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     alone = F.when(F.col("user_id").isNull(), F.xxhash64("ts", "msg_id", *plain))
@@ -86,7 +88,7 @@ def along(messages: DataFrame, *folds: tuple[Fold, dict[str, str]]) -> DataFrame
                 if not states or who is None or who != user:
                     user, states = who, [fold.new() for fold, _ in folds]
                 for (fold, own), state, cols in zip(folds, states, made, strict=True):
-                    got = (None,) * len(cols) if at is None else fold.step(state, at, {need: values[c][i] for need, c in own.items()})
+                    got = (None,) * len(cols) if at is None else fold.step(state, at, {need: values[c][i] if values[c][i] is not None else values[other][i] for need, (c, other) in own.items()})
                     for col, value in zip(cols, got, strict=True):
                         col.append(value)
             new = [pa.array(col, kind) for cols, own in zip(made, kinds, strict=True) for col, kind in zip(cols, own, strict=True)]

@@ -151,7 +151,7 @@ def suspicion(messages: DataFrame, cfg: Links = Links(), names: Iterable[str] =
     """msg_id, ts, user_id, links, level and ad_score; with ``distinct`` each different text is looked at once and joined back by its digest."""
     if not distinct:
         return SuspicionFold(cfg, names).batch(messages)
-    own = messages.select("msg_id", "ts", "user_id", text("text").alias("text")).withColumn("_key", F.sha2("text", 256))
+    own = messages.select("msg_id", "ts", "user_id", text("text").alias("text")).withColumn("_key", F.coalesce(F.sha2("text", 256), F.lit("")))  # never null: else a filter for it parts the two scans
     once = own.select("_key", "text").dropDuplicates(["_key"]).select("_key", "text", ads(messages.sparkSession, cfg, names)(F.col("text")).alias("ads"))
     fold = SuspicionFold(cfg, names, True)
     return fold.batch(own.drop("text").join(once, "_key"))  # a text comes back with what it says, so rows go to the join without it

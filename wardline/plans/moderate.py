@@ -75,7 +75,7 @@ def _once(df: DataFrame, bypass: str | None, analyze) -> DataFrame:
     """
     own = F.lit("") if bypass is None else F.array_join(F.array_sort(F.coalesce(bypass, F.array().cast("array<string>"))), ",")
     rows = df.drop(*ADDED)
-    keyed = rows.withColumn("_none", F.col("text").isNull()).withColumn("_key", F.sha2(F.concat(own, F.lit("\x1f"), text("text")), 256))
+    keyed = rows.withColumn("_none", F.col("text").isNull()).withColumn("_key", F.coalesce(F.sha2(F.concat(own, F.lit("\x1f"), text("text")), 256), F.lit("")))  # never null: else a filter for it parts the two scans
     some = keyed.select("_key", text("text").alias("text"), *([bypass] if bypass else [])).dropDuplicates(["_key"])
     done = analyze(some).drop(*([bypass] if bypass else []))
     back = [F.when(~F.col("_none"), F.col("text")).alias("text") if c == "text" else c for c in rows.columns]
@@ -100,14 +100,15 @@ def moderate_chat(messages: DataFrame, cfg: Settings = Settings(), names: Iterab
         out = _words(some, cfg, names, bypass)
         return out.withColumn("_ads", ads(spark, cfg.links, names)(F.when(policy.applies("links", bypass), F.col("filtered")))) if on else out
 
-    folds = [(SuspicionFold(cfg.links, names, True), {"text": "filtered", "ads": "_ads"})] if on else []
+    folds = [(SuspicionFold(cfg.links, names, True), {"text": ("filtered", "text"), "ads": "_ads"})] if on else []
     done = _once(messages.drop("level", "ad_score", "spam_reason", "spam_remaining_s", "spam_duplicate"), bypass, analyze)
     if cfg.spam.enabled:
         watched = policy.applies(policy.SPAM, bypass)
         first = F.unix_millis(F.col("first_seen").cast("timestamp")) if "first_seen" in messages.columns else F.lit(None).cast("long")
         done = done.withColumn("_first", first).withColumn("_watched", watched)
         folds.append((SpamFold(cfg.spam), {"text": "text", "first_seen": "_first", "watched": "_watched"}))
-    out = along(done, *folds)
+    own = F.col("filtered")  # a text that no filter changes does not travel twice
+    out = along(done.withColumn("filtered", F.when(own != text("text"), own)), *folds).withColumn("filtered", F.coalesce(own, text("text")))
     if on:
         out = out.withColumn("_spans", F.coalesce("links", F.col("_ads.links"), F.array().cast(SPAN))).drop("links", "_ads")
     else:
