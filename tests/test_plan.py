@@ -1,5 +1,6 @@
 """The whole plan: precedence of capitals, bypassed filters, and rows whose msg_id, user or time says nothing."""
 
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -11,7 +12,7 @@ from wardline.config import Ads, Caps, Links, Settings, Spam, Words
 from wardline.operators import policy, spam
 from wardline.operators.suspicion import SuspicionFold, suspicion
 from wardline.operators.words import engine
-from wardline.plans.moderate import moderate, moderate_chat, moderate_distinct
+from wardline.plans.moderate import moderate, moderate_brief, moderate_chat, moderate_distinct
 
 START = datetime(2024, 1, 1)
 BAD = Words(words=("dogs",))
@@ -189,3 +190,40 @@ def test_documents_of_a_chat_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(re.findall(r"FileScan parquet \[doc_id", plan)) == 1 and "ReusedExchange" in plan
+
+
+def _brief_against_whole(spark, rows, texts, cfg):
+    """What moderate_brief() decides, and what moderate_chat() does on the same messages with their texts."""
+    messages = spark.createDataFrame(rows, "msg_id long, ts timestamp_ntz, user_id long, text_id long")
+    said = spark.createDataFrame(texts, "text_id long, text string")
+    cols = ["msg_id", "user_id", "level", "ad_score", "spam_reason", "spam_remaining_s", "spam_duplicate", "is_caps", "decided_by", "blocked"]
+    brief = moderate_brief(messages, said, cfg).select(*cols, "n_links", "n_blocked_words", "n_bad_words")
+    whole = moderate_chat(messages.join(said, "text_id"), cfg).select(*cols, F.size("links"), F.size("blocked_words"), F.size("bad_words"))
+    return [sorted(map(tuple, df.collect()), key=str) for df in (brief, whole)]
+
+
+def test_brief_decides_as_with_texts(spark):
+    """Long and short texts, near copies, handles, shared text_ids, rows without user, time or text: the same decisions as with the texts."""
+    draw = random.Random(3)
+    words = ["lorem", "ipsum", "dolor", "dogs", "XRAY", "example.com", "discord", "telegram", "join", "@somehandle", "somehandle", "https://t.me/abc", "amet"]
+    texts = [(i, " ".join(draw.choices(words[:3] + words[-1:] + draw.sample(words, 2), k=draw.choice((1, 3, 6, 15, 30))))) for i in range(30)]
+    texts += [(30 + i, t[:-1] + draw.choice("xy")) for i, t in texts] + [(60, None), (61, ""), (61, "a second text of one id"), (62, "the same text twice"), (62, "the same text twice")]
+    rows = [(i, START + timedelta(seconds=draw.randrange(4000)) if i % 25 else None, draw.choice((1, 1, 2, 3, None)), draw.randrange(64)) for i in range(300)]
+    settings = Settings(bad=BAD, links=Links(ads=Ads(ttl_ms=600_000)), spam=Spam(lock_ms=0, cooldown_ms=1000, similar_ms=900_000, state_ttl_ms=1_800_000))
+    brief, whole = _brief_against_whole(spark, rows, texts, settings)
+    assert brief == whole and {r[4] for r in brief} >= {"similar-message-cooldown", None} and {r[2] for r in brief} >= {0, 1, 5}
+
+
+def test_texts_do_not_travel_to_users(spark):
+    """No exchange by user carries the texts of all messages, which take as much room as is said, not as is written."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.QUERIES["moderated_chat"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    folds = [line for line in plan if "MapInArrow work(" in line]
+    assert folds and all("facts" in line for line in folds if not re.search(r"[ (]text#", line)) and any("facts" in line for line in folds)
+    whole = [i for i, line in enumerate(plan) if "MapInArrow work(" in line and re.search(r"[ (]text#", line)]
+    assert len(whole) == 1 and any("LeftSemi" in line for line in plan[whole[0] :])

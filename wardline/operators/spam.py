@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Sized
 from dataclasses import dataclass, field
 from functools import lru_cache
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import regex
@@ -120,7 +121,7 @@ def is_flood(s: str, cfg: Spam) -> bool:
     return _is_flood(s, cfg.flood_chars, cfg.flood_patterns)
 
 
-def _within(s: str, least: int, most: int) -> bool:
+def _within(s: Sized, least: int, most: int) -> bool:
     return len(s) >= max(0, least) and (most <= 0 or len(s) <= most)
 
 
@@ -128,14 +129,23 @@ def _left(ms: int) -> int:
     return -(-ms // 1000)
 
 
-def step(cfg: Spam, state: State, at: int, s: str, first_seen: int | None = None) -> Result | None:
-    """Result for a message (None: accepted), changing the state. first_seen None: the user is new at this moment."""
-    now = Recent(at, similarity_form(s))
+class Seen(NamedTuple):
+    """What the rules ask of a text that is elsewhere: its form, whether it floods, and what tells forms apart."""
+
+    form: Any
+    flood: bool
+    like: Callable[[Recent, Recent, int], bool]
+
+
+def step(cfg: Spam, state: State, at: int, s: Sized, first_seen: int | None = None, seen: Seen | None = None) -> Result | None:
+    """Result for a message (None: accepted), changing the state. first_seen None: the user is new at this moment. With seen, only the length of s counts."""
+    now = Recent(at, similarity_form(s) if seen is None else seen.form)
     if state.checked and at - state.checked[1] <= cfg.dedupe_ms and state.checked[0] == now.form:
         old = state.checked[2]
         return old and old._replace(duplicate=True)
     state.history = [r for r in state.history if at - r.at <= cfg.state_ttl_ms]
-    result = _locked(cfg, at, first_seen) or _flooded(cfg, state, at, s) or _repeated(cfg, state, now, s) or _hasty(cfg, state, at, s)
+    result = _locked(cfg, at, first_seen) or _flooded(cfg, state, at, is_flood(s, cfg) if seen is None else seen.flood)
+    result = result or _repeated(cfg, state, now, s, similar if seen is None else seen.like) or _hasty(cfg, state, at, s)
     if result is None:
         state.history = [*state.history, now][-cfg.history :]
     state.checked = (now.form, at, result)
@@ -147,9 +157,9 @@ def _locked(cfg: Spam, at: int, first_seen: int | None) -> Result | None:
     return Result("new-player-chat-lock", max(1, _left(left))) if cfg.lock_ms > 0 and left > 0 else None
 
 
-def _flooded(cfg: Spam, state: State, at: int, s: str) -> Result | None:
+def _flooded(cfg: Spam, state: State, at: int, flood: bool) -> Result | None:
     """The first flood is delivered and starts the clock; floods before it runs out are blocked and leave it."""
-    if not is_flood(s, cfg):
+    if not flood:
         return None
     if state.flooded is not None and at - state.flooded < cfg.flood_ms:
         return Result("character-flood", max(1, _left(cfg.flood_ms - (at - state.flooded))))
@@ -157,15 +167,15 @@ def _flooded(cfg: Spam, state: State, at: int, s: str) -> Result | None:
     return Result("character-flood-first", _left(cfg.flood_ms))
 
 
-def _repeated(cfg: Spam, state: State, now: Recent, s: str) -> Result | None:
+def _repeated(cfg: Spam, state: State, now: Recent, s: Sized, like: Callable[[Recent, Recent, int], bool]) -> Result | None:
     if cfg.similar_ms <= 0 or not _within(s, cfg.similar_min, cfg.similar_max):
         return None
-    live = (cfg.similar_ms - (now.at - r.at) for r in state.history if cfg.similar_ms > now.at - r.at and similar(now, r, cfg.similar_percent))
+    live = (cfg.similar_ms - (now.at - r.at) for r in state.history if cfg.similar_ms > now.at - r.at and like(now, r, cfg.similar_percent))
     left = next(live, None)
     return None if left is None else Result("similar-message-cooldown", _left(left))
 
 
-def _hasty(cfg: Spam, state: State, at: int, s: str) -> Result | None:
+def _hasty(cfg: Spam, state: State, at: int, s: Sized) -> Result | None:
     if not state.history or not _within(s, cfg.cooldown_min, cfg.cooldown_max):
         return None
     left = cfg.cooldown_ms - (at - state.history[-1].at)

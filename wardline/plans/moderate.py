@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardline.config import Settings
 from wardline.functions.normalize import text
 from wardline.operators import policy
+from wardline.operators.brief import BriefFold, answers, facts
 from wardline.operators.caps import fix_caps, is_caps
 from wardline.operators.fold import along
 from wardline.operators.links import SPAN, find_links
@@ -118,3 +119,61 @@ def moderate_chat(messages: DataFrame, cfg: Settings = Settings(), names: Iterab
         stops = policy.spam_blocks(F.col("spam_reason"))
         out = out.withColumn("decided_by", F.when(stops, F.lit(policy.SPAM)).otherwise(F.col("decided_by"))).withColumn("blocked", stops | F.col("blocked"))
     return out.drop("_first", "_watched")
+
+
+def moderate_brief(messages: DataFrame, texts: DataFrame, cfg: Settings = Settings(), names: Iterable[str] = ()) -> DataFrame:
+    """What moderate_chat() decides on msg_id, ts, user_id, text_id, without the texts, which are in text_id, text: numbers of what was found in their place.
+
+    Messages go to their user's task with the facts of their text (see operators.brief); only users for whom an answer is yes are stepped
+    with the texts. A message comes out for every text of its text_id, and not at all if there is none.
+    """
+    spark, on = messages.sparkSession, cfg.links.enabled
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = texts.select(F.col("text_id").cast("long").alias("text_id"), text("text").alias("text")).filter("text_id IS NOT NULL").repartition(n, "text_id")
+    keyed = own.withColumn("_h", F.xxhash64("text"))  # two texts of one id are told apart
+    same = lambda a, b: a.bitwiseXOR(b) == 0  # noqa: E731  as a key it would have the texts shuffled again
+    found = [F.size("blocked_words").alias("n_blocked_words"), F.size("bad_words").alias("n_bad_words")]
+    known = _words(keyed, cfg, names, None).withColumn("_f", facts(spark, cfg, names)("text", "filtered"))
+    known = known.select("text_id", "_h", "is_caps", *found, F.col("_f.facts").alias("facts"), F.col("_f.n_links").alias("_n_links"))
+    rows = messages.select("msg_id", "ts", "user_id", F.col("text_id").cast("long").alias("text_id")).join(known, "text_id")
+    stepped = along(rows, (BriefFold(cfg, names), {"facts": "facts", "id": "text_id", "h": "_h"})).withColumn("n_links", F.coalesce("n_links", "_n_links"))
+
+    asked = stepped.select("user_id", F.explode("asks").alias("_q")).select("user_id", "_q.*")
+    for side in ("a", "b"):
+        with_text = keyed.join(asked.hint("shuffle_hash"), (F.col("text_id") == F.col(side)) & same(F.col("_h"), F.col(f"{side}h")))
+        if on:  # links are sought in what the word filters leave
+            split = with_text.withColumn("_whole", F.when(F.col("kind") == "spam", F.col("text"))).withColumn("text", F.when(F.col("kind") != "spam", F.col("text")))
+            with_text = _words(split, cfg, names, None).withColumn("text", F.coalesce("_whole", "filtered"))
+        asked = with_text.select("user_id", *(c for c in asked.columns if c not in ("user_id", side, f"{side}h")), F.col("text").alias(f"_{side}"))
+    again = asked.filter(answers("kind", "_a", "_b", "arg")).select("user_id").distinct()
+
+    lone = F.when(F.col("user_id").isNull(), F.xxhash64("msg_id", "ts", "text_id"))  # rows without a user ask nothing and are dealt out
+    keys = [F.col("user_id").isNull().alias("_null"), F.coalesce("user_id", lone).alias("_who")]
+    again = again.select(F.lit(False).alias("_null"), F.col("user_id").alias("_who"))
+    stepped = stepped.select("*", *keys)
+    settled = stepped.join(again, ["_null", "_who"], "left_anti")
+    open_rows = stepped.select("msg_id", "ts", "user_id", "text_id", "_h", "_null", "_who").join(again, ["_null", "_who"], "left_semi").select("msg_id", "ts", "user_id", "text_id", "_h")
+    ids = open_rows.select(F.col("text_id").alias("_id"), F.col("_h").alias("_idh")).hint("shuffle_hash")
+    some = keyed.join(ids, (F.col("text_id") == F.col("_id")) & same(F.col("_h"), F.col("_idh")), "left_semi").dropDuplicates(["text_id", "_h"])
+    looked = _words(some, cfg, names, None)
+    folds, adds = [], ["msg_id", "ts", "user_id", "is_caps", "n_blocked_words", "n_bad_words", "n_links"]
+    if on:
+        looked = looked.withColumn("_ads", ads(spark, cfg.links, names)(F.col("filtered")))
+        folds.append((SuspicionFold(cfg.links, names, True), {"text": ("filtered", "text"), "ads": "_ads"}))
+        adds += ["level", "ad_score"]
+    if cfg.spam.enabled:
+        looked = looked.withColumn("_first", F.lit(None).cast("long"))
+        folds.append((SpamFold(cfg.spam), {"text": "text", "first_seen": "_first"}))
+        adds += ["spam_reason", "spam_remaining_s", "spam_duplicate"]
+    looked = looked.select(F.col("text_id").alias("_id"), F.col("_h").alias("_idh"), "text", F.when(F.col("filtered") != F.col("text"), F.col("filtered")).alias("filtered"), "is_caps", *found, *(["_ads"] if on else []), *(["_first"] if cfg.spam.enabled else []))
+    said = open_rows.join(looked, (F.col("text_id") == F.col("_id")) & same(F.col("_h"), F.col("_idh"))).drop("text_id", "_h", "_id", "_idh")
+    whole = along(said, *folds)
+    whole = whole.withColumn("n_links", F.size(F.coalesce("links", F.col("_ads.links"), F.array().cast(SPAN))) if on else F.lit(0))
+    out = settled.select(*adds).unionByName(whole.select(*adds))
+
+    filled = {name: F.array_repeat(F.lit(""), F.col(f"n_{name}")) for name in ("blocked_words", "bad_words", "links")}
+    out = policy.decide(out.withColumns(filled), cfg).drop(*filled)
+    if cfg.spam.enabled:
+        stops = policy.spam_blocks(F.col("spam_reason"))
+        out = out.withColumn("decided_by", F.when(stops, F.lit(policy.SPAM)).otherwise(F.col("decided_by"))).withColumn("blocked", stops | F.col("blocked"))
+    return out
